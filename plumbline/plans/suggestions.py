@@ -262,6 +262,31 @@ def profile(df: DataFrame) -> list[ColumnProfile]:
     return profiles
 
 
+PROFILE_SCHEMA = (
+    "column_name string, data_type string, size bigint, completeness double, approx_distinct double, "
+    "minimum double, maximum double, mean double, deviation double"
+)
+
+
+def profile_frame(df: DataFrame) -> DataFrame:
+    """The profile as a table, one row per column."""
+    rows = [
+        (
+            p.name,
+            p.data_type.simpleString(),
+            p.size,
+            p.completeness,
+            p.approx_distinct,
+            p.minimum,
+            p.maximum,
+            p.mean,
+            p.deviation,
+        )
+        for p in profile(df)
+    ]
+    return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+
+
 def _near_unique(p: ColumnProfile) -> bool:
     return p.completeness == 1.0 and (p.approx_distinct or 0) / p.size >= 1 - 3 * DEVIATION
 
