@@ -13,4 +13,4 @@ SOCIAL_SECURITY_NUMBER = (
 
 INTEGRAL = r"^(-|[+])? ?[0-9]+$"
 FRACTIONAL = r"^(-|[+])? ?[0-9]*[.][0-9]+$"
-BOOLEAN = r"^(true|false)$"
+BOOLEANS = ("true", "false")

@@ -92,7 +92,7 @@ def _all(column: str, pattern: str) -> str:
 TYPES = (
     f"(SELECT CASE WHEN {_all('{c}', patterns.INTEGRAL)} THEN 'Integral' "
     f"WHEN {_all('{c}', patterns.INTEGRAL + '|' + patterns.FRACTIONAL)} THEN 'Fractional' "
-    f"WHEN {_all('{c}', patterns.BOOLEAN)} THEN 'Boolean' END AS kind FROM {ORDERS_TAILED.sql})"
+    f"WHEN {_all('{c}', '^(true|false)$')} THEN 'Boolean' END AS kind FROM {ORDERS_TAILED.sql})"
 )
 
 

@@ -223,7 +223,7 @@ DATATYPE_MIXED = " UNION ALL ".join(
             f"CASE WHEN mixed IS NULL THEN 'Unknown' "
             f"WHEN regexp_matches(mixed, '{patterns.INTEGRAL}') THEN 'Integral' "
             f"WHEN regexp_matches(mixed, '{patterns.FRACTIONAL}') THEN 'Fractional' "
-            f"WHEN regexp_matches(mixed, '{patterns.BOOLEAN}') THEN 'Boolean' ELSE 'String' END",
+            f"WHEN mixed IN {patterns.BOOLEANS} THEN 'Boolean' ELSE 'String' END",
             f"{MIXED.sql} AS t",
         ),
         _types_sql("value", "CASE WHEN value IS NULL THEN 'Unknown' ELSE 'Fractional' END", "events"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_text, find_field, quoted
 from plumbline.operators.metrics import Histogram, Metric, MutualInformation, Tally
-from plumbline.operators.rows import Placed, aggregate_rows
+from plumbline.operators.rows import Placed, aggregate_rows, labelled
 
 COUNT = "rows in group"
 
@@ -76,9 +76,9 @@ def histogram_bins(counts: DataFrame, text: Column, placed: Placed) -> DataFrame
         F.coalesce(text, F.lit(metric.NULL_BIN)).alias("bin"), quoted(COUNT).alias("count")
     )
     top = bins.orderBy(F.desc("count"), F.asc("bin")).limit(metric.maxDetailBins)
-    absolute = placed.row(F.concat(F.lit("Histogram.abs."), "bin"), F.col("count"))
-    ratio = placed.row(F.concat(F.lit("Histogram.ratio."), "bin"), F.col("count") / total)
-    return top.select(F.inline(F.array(absolute, ratio)))
+    labels = [placed.label("Histogram.abs."), placed.label("Histogram.ratio.")]
+    values = F.array(F.col("count").cast("double"), F.col("count") / total)
+    return labelled(top, labels, values, suffix=F.col("bin"))
 
 
 def mutual_information(counts: DataFrame, placed: Placed, distinct_columns: int) -> DataFrame:

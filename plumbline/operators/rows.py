@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.metrics import Metric
 
 # ``position`` is the place of the metric in its run; ``filter`` its row condition.
+LABELS = "array<struct<position:int, entity:string, instance:string, name:string, filter:string>>"
 SCHEMA = "position int, entity string, instance string, name string, value double, filter string"
 
 
@@ -21,28 +23,45 @@ class Placed:
     position: int
     metric: Metric
 
-    def row(self, name: str | Column, value: Column) -> Column:
+    def label(self, name: str) -> dict:
         metric = self.metric
-        return F.struct(
-            F.lit(self.position).alias("position"),
-            F.lit(metric.entity).alias("entity"),
-            F.lit(metric.instance).alias("instance"),
-            (F.lit(name) if isinstance(name, str) else name).alias("name"),
-            value.cast("double").alias("value"),
-            F.lit(metric.where).cast("string").alias("filter"),
-        )
+        return {
+            "position": self.position,
+            "entity": metric.entity,
+            "instance": metric.instance,
+            "name": name,
+            "filter": metric.where,
+        }
 
     def local_row(self, name: str, value: float | None) -> tuple:
         metric = self.metric
         return (self.position, metric.entity, metric.instance, name, value, metric.where)
 
 
+def labelled(df: DataFrame, labels: list[dict], values: Column, suffix: Column | None = None) -> DataFrame:
+    """One row per label and element of the array ``values``; ``suffix`` is added to the names.
+
+    The labels are a single literal: built one by one as columns they would take the driver
+    longer than the aggregation they describe takes on a small table.
+    """
+    known = F.from_json(F.lit(json.dumps(labels)), LABELS)
+    ending = F.lit("") if suffix is None else suffix
+    arrays = df.select(known.alias("labels"), values.alias("measured"), ending.alias("suffix"))
+    return arrays.selectExpr(
+        "inline(transform(labels, (label, i) -> named_struct('position', label.position, "
+        "'entity', label.entity, 'instance', label.instance, 'name', concat(label.name, suffix), "
+        "'value', measured[i], 'filter', label.filter)))"
+    )
+
+
 def aggregate_rows(df: DataFrame, outputs: Iterable[tuple[Placed, str, Column]]) -> DataFrame:
     """Evaluate aggregates over ``df`` together, and turn the one result row into many."""
-    outputs = list(outputs)
-    totals = df.agg(*[value.cast("double").alias(f"v{i}") for i, (_, _, value) in enumerate(outputs)])
-    rows = [placed.row(name, F.col(f"v{i}")) for i, (placed, name, _) in enumerate(outputs)]
-    return totals.select(F.inline(F.array(*rows)))
+    labels, values = [], []
+    for placed, name, value in outputs:
+        labels.append(placed.label(name))
+        values.append(value.alias(f"v{len(values)}"))
+    doubles = ", ".join(f"cast(v{i} AS double)" for i in range(len(values)))
+    return labelled(df.agg(*values), labels, F.expr(f"array({doubles})"))
 
 
 def local_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:

@@ -83,8 +83,7 @@ def metric_frame(df: DataFrame, metrics: list[Placed]) -> DataFrame:
     for placed in metrics:
         family[placed.metric.family].append(placed)
     frames = []
-    if family["scan"]:
-        frames.append(scan_rows(df, family["scan"]))
+    frames += scan_rows(df, family["scan"])
     if family["selection"]:
         frames.append(selection_rows(df, family["selection"]))
     frames += frequency_rows(df, family["frequency"])

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from plumbline.functions.columns import as_text, find_field
 from plumbline.operators import metrics as M
 from plumbline.operators.frequency import COUNT, resolved, rows_of_counts, value_counts
-from plumbline.operators.rows import Placed
+from plumbline.operators.rows import Placed, aggregate_rows
 from plumbline.operators.validation import fault_of
 from plumbline.plans.evaluation import METRIC_COLUMNS
 
@@ -264,11 +264,11 @@ def count_states(df: DataFrame, columns: tuple[str, ...], where: str | None, par
 def scan_values(states: DataFrame, metrics: list[Placed]) -> DataFrame:
     ids = [repr(one.metric) for one in metrics]
     merged = merge_states(states.filter(F.col("metric").isin(*ids)))
-    rows = F.lit(None)
+    outputs = []
     for one, key in zip(metrics, ids):
-        values = F.array(*[one.row(name, value) for name, value in read_state(one.metric)])
-        rows = F.when(F.col("metric") == key, values).otherwise(rows)
-    return merged.select(F.inline(rows))
+        is_it = F.col("metric") == key
+        outputs += [(one, name, F.first(F.when(is_it, value), True)) for name, value in read_state(one.metric)]
+    return aggregate_rows(merged, outputs)
 
 
 def count_values(states: DataFrame, columns: int, metrics: list[Placed]) -> list[DataFrame]:
