@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame
@@ -32,22 +33,30 @@ class Scope:
     def __init__(self, schema: T.StructType, where: str | None):
         self.schema = schema
         self.where = where
+        self._columns: dict[str, Column] = {}
 
     def field(self, name: str) -> T.StructField:
         return find_field(self.schema, name)
 
     def column(self, name: str) -> Column:
-        return quoted(self.field(name).name)
+        if name not in self._columns:
+            self._columns[name] = quoted(self.field(name).name)
+        return self._columns[name]
+
+    @cached_property
+    def condition(self) -> Column | None:
+        return None if self.where is None else F.expr(self.where)
+
+    @cached_property
+    def rows(self) -> Column:
+        return F.count(F.lit(1)) if self.where is None else F.count_if(self.condition)
 
     def kept(self, value: Column) -> Column:
         """``value`` in the rows that count, NULL elsewhere, where aggregates pass it over."""
-        return value if self.where is None else F.when(F.expr(self.where), value)
+        return value if self.where is None else F.when(self.condition, value)
 
     def count_if(self, condition: Column) -> Column:
-        return F.count_if(condition if self.where is None else F.expr(self.where) & condition)
-
-    def rows(self) -> Column:
-        return F.count(F.lit(1)) if self.where is None else F.count_if(F.expr(self.where))
+        return F.count_if(condition if self.where is None else self.condition & condition)
 
 
 def _names(columns: str | Sequence[str]) -> tuple[str, ...]:
@@ -120,7 +129,7 @@ class Size(ScanMetric):
     instance = "*"
 
     def value(self, scope: Scope) -> Column:
-        return scope.rows()
+        return scope.rows
 
 
 @dataclass(frozen=True)
@@ -131,7 +140,7 @@ class Share(ScanMetric):
         raise NotImplementedError
 
     def value(self, scope: Scope) -> Column:
-        return F.try_divide(scope.count_if(self.holds(scope)), scope.rows())
+        return F.try_divide(scope.count_if(self.holds(scope)), scope.rows)
 
 
 @dataclass(frozen=True)
@@ -262,7 +271,7 @@ class DataType(ScanMetric):
         counted = list(zip(self.CLASSES, self.counts(scope)))
         absolute = [(f"DataType.abs.{kind}", count) for kind, count in counted]
         return absolute + [
-            (f"DataType.ratio.{kind}", F.try_divide(count, scope.rows())) for kind, count in counted
+            (f"DataType.ratio.{kind}", F.try_divide(count, scope.rows)) for kind, count in counted
         ]
 
 

@@ -1,12 +1,13 @@
 """Exact quantiles by selection: no sort, no shuffle of the data, no map of its values.
 
 ``percentile_disc`` keeps every distinct value in one task.  Here each pass is a plain
-aggregation over one pruned column.  A pass either proposes pivots near the wanted ranks, by
-a bounded sketch of the values still in question, or counts the rows below and at each
+aggregation over one pruned column.  A pass proposes pivots near the wanted ranks, by a
+bounded sketch of the values still in question; the next counts the rows below and at each
 pivot.  A pivot whose rows cover the wanted rank is the answer; any other one narrows the
-range.  With sketches of accuracy A a range of n values shrinks by a factor near A per pair of
-passes, so 10^12 rows take three pairs.  All quantiles of all columns share the passes,
-and only pivots and counts reach the driver.
+range.  Once a range is known to hold few rows, one pass picks the value among them.  With
+sketches of accuracy A a pair of passes shrinks a range by a factor near A, so 10^12 rows take
+two pairs and the last pass.  All quantiles of all columns share the passes, and only pivots
+and counts reach the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from fractions import Fraction
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from plumbline.operators.metrics import Scope
 
 ACCURACY = 10_000
 MARGIN = 2 / ACCURACY
+FEW_ROWS = 100_000  # as many values as one task may hold
 
 
 @dataclass
@@ -47,19 +49,32 @@ class _Search:
         self.rank = max(1, math.ceil(Fraction(str(self.quantile)) * n))
         self.done = n == 0
 
-    def open_values(self) -> Column:
+    @property
+    def open_rows(self) -> int:
+        return self.below_high - self.up_to_low
+
+    def pick(self) -> Column:
+        """The value itself, from a range that holds ``FEW_ROWS`` rows at most."""
+        return F.sort_array(F.collect_list(self.open_values()))[self.rank - self.up_to_low - 1]
+
+    def is_open(self) -> Column | None:
+        """The rows still in question; None for all of them."""
         bounds = []
         if self.low is not None:
             bounds.append(self.values > F.lit(self.low))
         if self.high is not None:
             bounds.append(self.values < F.lit(self.high))
-        return F.when(reduce(and_, bounds), self.values) if bounds else self.values
+        return reduce(and_, bounds) if bounds else None
+
+    def open_values(self) -> Column:
+        inside = self.is_open()
+        return self.values if inside is None else F.when(inside, self.values)
 
     def spots(self) -> list[float]:
         """Where the wanted rank lies among the open values, and a little to both sides."""
         at = self.quantile
         if self.rank is not None:
-            at = (self.rank - self.up_to_low) / (self.below_high - self.up_to_low)
+            at = (self.rank - self.up_to_low) / self.open_rows
         return [min(1.0, max(0.0, at + step)) for step in (-MARGIN, 0.0, MARGIN)]
 
     def counts(self) -> Column:
@@ -96,13 +111,26 @@ def _propose(rows: DataFrame, searches: dict[tuple, _Search]) -> None:
         )
         for group in sharing.values()
     ]
-    for group, (n, pivots) in zip(sharing.values(), _together(rows, asked)):
+    found = _together(_open_rows(rows, searches.values()), asked)
+    for group, (n, pivots) in zip(sharing.values(), found):
         for i, search in enumerate(group):
             if search.rank is None:
                 search.start(n)
             search.pivots = sorted(set(pivots[3 * i : 3 * i + 3])) if n else []
 
 
+def _pick(rows: DataFrame, searches: list[_Search]) -> None:
+    picked = _together(_open_rows(rows, searches), [search.pick() for search in searches])
+    for search, value in zip(searches, picked):
+        search.answer, search.done = value, True
+
+
+def _open_rows(rows: DataFrame, searches: Iterable[_Search]) -> DataFrame:
+    """Only rows that some search still asks for, which clustered files can prune by."""
+    conditions = [search.is_open() for search in searches]
+    return rows if any(c is None for c in conditions) else rows.filter(reduce(or_, conditions))
+
+
 def _together(rows: DataFrame, columns: list[Column]) -> Row:
     return rows.agg(*[column.alias(f"c{i}") for i, column in enumerate(columns)]).first()
 
@@ -121,14 +149,15 @@ def exact_quantiles(
         values = scope.kept(scope.column(column).cast("double"))
         searches[column, where, quantile] = _Search(values, quantile)
 
-    running = searches
-    while running:
-        _propose(rows, running)
-        running = {key: search for key, search in running.items() if not search.done}
-        if not running:
-            break
-        counted = _together(rows, [search.counts() for search in running.values()])
-        for search, counts in zip(running.values(), counted):
+    def running() -> dict[tuple, _Search]:
+        return {key: search for key, search in searches.items() if not search.done}
+
+    while running():
+        _propose(rows, running())
+        counted = _together(rows, [search.counts() for search in running().values()]) if running() else []
+        for search, counts in zip(running().values(), counted):
             search.narrow(counts)
-        running = {key: search for key, search in running.items() if not search.done}
+        few = [search for search in running().values() if search.open_rows <= FEW_ROWS]
+        if few:
+            _pick(rows, few)
     return {key: search.answer for key, search in searches.items()}

@@ -64,5 +64,14 @@ def aggregate_rows(df: DataFrame, outputs: Iterable[tuple[Placed, str, Column]])
     return labelled(df.agg(*values), labels, F.expr(f"array({doubles})"))
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame of a few rows that are known on the driver, as one literal in the plan."""
+    names = [column.split()[0] for column in schema.split(", ")]
+    fields = ", ".join(column.replace(" ", ":", 1) for column in schema.split(", "))
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    known = F.from_json(F.lit(text), f"array<struct<{fields}>>")
+    return spark.range(1, numPartitions=1).select(F.inline(known))
+
+
 def local_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, SCHEMA)
+    return small_frame(spark, rows, SCHEMA)

@@ -35,8 +35,9 @@ def fused_rows(df: DataFrame, metrics: list[Placed]) -> DataFrame:
     if None not in conditions:
         rows = df.filter(reduce(lambda a, b: a | b, [F.expr(text) for text in sorted(conditions)]))
     hoisted = len(conditions) == 1
+    scopes = {where: Scope(df.schema, None if hoisted else where) for where in conditions}
     outputs = []
     for placed in metrics:
-        scope = Scope(df.schema, None if hoisted else placed.metric.where)
-        outputs += [(placed, name, value) for name, value in placed.metric.outputs(scope)]
+        found = placed.metric.outputs(scopes[placed.metric.where])
+        outputs += [(placed, name, value) for name, value in found]
     return aggregate_rows(rows, outputs)

@@ -30,27 +30,45 @@ SUITS = {
 }
 
 
-def fault_of(df: DataFrame, metric: Metric) -> tuple[str, str] | None:
-    """``(kind, explanation)`` when ``metric`` cannot be computed on ``df``, else None."""
-    wrong = metric.fault()
-    if wrong:
-        return "IllegalParameter", wrong
-    for name in metric.columns:
-        field = find_field(df.schema, name)
-        if field is None:
-            return "MissingColumn", f"no column named {name!r}"
-        if not SUITS[metric.needs](field.dataType):
-            return "WrongType", f"column {name!r} is {field.dataType.simpleString()}, not {metric.needs}"
-    for text in metric.conditions:
+Fault = tuple[str, str]
+
+
+class Validator:
+    """Finds ``(kind, explanation)`` of what keeps a metric from being computed on a table."""
+
+    def __init__(self, df: DataFrame):
+        self._df = df
+        self._conditions: dict[str, Fault | None] = {}
+
+    def fault_of(self, metric: Metric) -> Fault | None:
+        wrong = metric.fault()
+        if wrong:
+            return "IllegalParameter", wrong
+        for name in metric.columns:
+            field = find_field(self._df.schema, name)
+            if field is None:
+                return "MissingColumn", f"no column named {name!r}"
+            if not SUITS[metric.needs](field.dataType):
+                kind = field.dataType.simpleString()
+                return "WrongType", f"column {name!r} is {kind}, not {metric.needs}"
+        for text in metric.conditions:
+            if text not in self._conditions:
+                self._conditions[text] = self._condition_fault(text)
+            if self._conditions[text]:
+                return self._conditions[text]
+        if metric.pattern_text is not None and not _compiles(self._df, metric.pattern_text):
+            return "IllegalParameter", f"not a regular expression: {metric.pattern_text!r}"
+        return None
+
+    def _condition_fault(self, text: str) -> Fault | None:
+        """Analysis finds unknown names and wrong types; bad values show only in a run."""
         try:
-            found = df.filter(F.expr(text)).select(F.expr(text)).schema[0].dataType
+            found = self._df.filter(F.expr(text)).select(F.expr(text)).schema[0].dataType
         except PySparkException as error:
             return "InvalidPredicate", f"{text!r}: {error.getCondition()}"
         if not isinstance(found, T.BooleanType):
             return "InvalidPredicate", f"{text!r} is {found.simpleString()}, not boolean"
-    if metric.pattern_text is not None and not _compiles(df, metric.pattern_text):
-        return "IllegalParameter", f"not a regular expression: {metric.pattern_text!r}"
-    return None
+        return None
 
 
 def _compiles(df: DataFrame, pattern: str) -> bool:

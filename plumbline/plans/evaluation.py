@@ -13,9 +13,9 @@ from plumbline.operators.containment import containment_rows
 from plumbline.operators.frequency import frequency_rows
 from plumbline.operators.metrics import Metric
 from plumbline.operators.quantiles import exact_quantiles
-from plumbline.operators.rows import Placed, local_rows
+from plumbline.operators.rows import Placed, local_rows, small_frame
 from plumbline.operators.scan import scan_rows
-from plumbline.operators.validation import fault_of, is_data_fault
+from plumbline.operators.validation import Validator, is_data_fault
 
 METRIC_COLUMNS = ["entity", "instance", "name", "value"]
 FAILURE_SCHEMA = "entity string, instance string, name string, filter string, error string, message string"
@@ -48,7 +48,7 @@ class Evaluation:
         return self.long_frame().select(*METRIC_COLUMNS)
 
     def failure_frame(self) -> DataFrame:
-        return self.spark.createDataFrame([failure.row() for failure in self.failures], FAILURE_SCHEMA)
+        return small_frame(self.spark, [failure.row() for failure in self.failures], FAILURE_SCHEMA)
 
     def value(self, metric: Metric) -> float | None:
         """The value of a metric that has just one."""
@@ -67,9 +67,9 @@ class Evaluation:
 
 def sort_out(df: DataFrame, metrics: list[Metric]) -> tuple[list[Placed], list[Failure]]:
     """Place the computable metrics, once each; report the others."""
-    good, bad = [], []
+    good, bad, validator = [], [], Validator(df)
     for position, metric in enumerate(metrics):
-        fault = fault_of(df, metric)
+        fault = validator.fault_of(metric)
         if fault:
             bad.append(Failure(metric, *fault))
         else:

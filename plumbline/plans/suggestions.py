@@ -28,6 +28,7 @@ from plumbline.operators.metrics import (
     StandardDeviation,
     Uniqueness,
 )
+from plumbline.operators.rows import small_frame
 from plumbline.operators.validation import SUITS
 from plumbline.plans.evaluation import evaluate
 from plumbline.sources.frames import as_spark_frame
@@ -284,7 +285,7 @@ def profile_frame(df: DataFrame) -> DataFrame:
         )
         for p in profile(df)
     ]
-    return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+    return small_frame(df.sparkSession, rows, PROFILE_SCHEMA)
 
 
 def _near_unique(p: ColumnProfile) -> bool:
@@ -367,7 +368,7 @@ class Suggestions:
     found: list[Suggestion]
 
     def as_frame(self) -> DataFrame:
-        return self.spark.createDataFrame([one.row() for one in self.found], SUGGESTION_SCHEMA)
+        return small_frame(self.spark, [one.row() for one in self.found], SUGGESTION_SCHEMA)
 
     def as_json(self) -> DataFrame:
         """One JSON record per suggestion."""

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.rows import small_frame
 from plumbline.plans.analysis import save
 from plumbline.plans.checks import Against, Check, CheckLevel, Constraint, OfType
 from plumbline.plans.evaluation import Evaluation, evaluate
@@ -102,7 +103,7 @@ def _sql_outcomes(
     outcome = F.lit(None).cast("boolean")
     for i, constraint in texts.items():
         outcome = F.when(F.col("position") == i, F.expr(constraint.assertion)).otherwise(outcome)
-    frame = spark.createDataFrame(rows, "position int, value double")
+    frame = small_frame(spark, rows, "position int, value double")
     return dict(map(tuple, frame.select("position", outcome).collect()))
 
 
@@ -137,7 +138,7 @@ class VerificationResult:
 
     @staticmethod
     def checkResultsAsDataFrame(spark: SparkSession, result: Verified) -> DataFrame:
-        return spark.createDataFrame(result.rows(), RESULT_SCHEMA)
+        return small_frame(spark, result.rows(), RESULT_SCHEMA)
 
     @staticmethod
     def successMetricsAsDataFrame(spark: SparkSession, result: Verified) -> DataFrame:

@@ -24,7 +24,7 @@ from plumbline.functions.columns import as_text, find_field
 from plumbline.operators import metrics as M
 from plumbline.operators.frequency import COUNT, resolved, rows_of_counts, value_counts
 from plumbline.operators.rows import Placed, aggregate_rows
-from plumbline.operators.validation import fault_of
+from plumbline.operators.validation import Validator
 from plumbline.plans.evaluation import METRIC_COLUMNS
 
 TYPE_COUNTS = [kind.lower() for kind in M.DataType.CLASSES]
@@ -64,9 +64,9 @@ def state_of(metric: M.Metric, scope: M.Scope) -> dict[str, Column]:
         numbers = [scope.kept(scope.column(name).cast("double")) for name in metric.columns]
     match metric:
         case M.Size():
-            return {"n": scope.rows()}
+            return {"n": scope.rows}
         case M.Share():
-            return {"n": scope.rows(), "hits": scope.count_if(metric.holds(scope))}
+            return {"n": scope.rows, "hits": scope.count_if(metric.holds(scope))}
         case M.Minimum() | M.MinLength():
             return {"low": metric.value(scope).cast("double")}
         case M.Maximum() | M.MaxLength():
@@ -79,7 +79,7 @@ def state_of(metric: M.Metric, scope: M.Scope) -> dict[str, Column]:
             x, y = numbers
             return _moments(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y))
         case M.DataType():
-            return {"n": scope.rows(), **dict(zip(TYPE_COUNTS, metric.counts(scope)))}
+            return {"n": scope.rows, **dict(zip(TYPE_COUNTS, metric.counts(scope)))}
         case M.ApproxCountDistinct():
             data_type = scope.field(metric.column).dataType
             value = as_text(scope.column(metric.column), data_type)
@@ -214,8 +214,9 @@ class StateStore:
         return write
 
     def _check(self, df: DataFrame, metrics: Sequence[M.Metric]) -> None:
+        validator = Validator(df)
         for metric in metrics:
-            fault = fault_of(df, metric)
+            fault = validator.fault_of(metric)
             if fault or not has_state(metric):
                 raise ValueError(f"{metric}: {': '.join(fault) if fault else 'no mergeable state'}")
 
@@ -236,8 +237,9 @@ class StateStore:
 def scan_states(df: DataFrame, metrics: Sequence[M.Metric], part: Column) -> DataFrame:
     """All scan metrics of all parts in one pass, as one row per part and metric."""
     aggregates, rows = [], []
+    scopes = {metric.where: M.Scope(df.schema, metric.where) for metric in metrics}
     for i, metric in enumerate(metrics):
-        state = state_of(metric, M.Scope(df.schema, metric.where))
+        state = state_of(metric, scopes[metric.where])
         aggregates += [value.alias(f"s{i}_{name}") for name, value in state.items()]
         fields = [
             (F.col(f"s{i}_{name}") if name in state else F.lit(None)).cast(kind).alias(name)
