@@ -41,12 +41,6 @@ def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(dict(names))
 
 
-def schema_frame(df: DataFrame) -> DataFrame:
-    """The schema as rows ``(position, column, type)``."""
-    rows = [(i, field.name, field.dataType.simpleString()) for i, field in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, type string")
-
-
 def as_text(value: Column, data_type: T.DataType) -> Column:
     """A text form that differs whenever the values differ."""
     return F.hex(value) if isinstance(data_type, T.BinaryType) else value.cast("string")

@@ -497,9 +497,10 @@ class Histogram(FrequencyMetric):
     where: str | None = None
 
     NULL_BIN: ClassVar[str] = "NullValue"
+    MOST_BINS: ClassVar[int] = 1000  # bins reach the driver
 
     def fault(self) -> str | None:
-        return None if self.maxDetailBins >= 0 else "negative number of bins"
+        return None if 0 <= self.maxDetailBins <= self.MOST_BINS else f"bins outside [0, {self.MOST_BINS}]"
 
     def outputs(self, tally: Tally) -> Outputs:
         return [("Histogram.bins", tally.bins)]

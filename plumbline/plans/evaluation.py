@@ -117,7 +117,7 @@ def evaluate(df: DataFrame, metrics: list[Metric]) -> Evaluation:
 
 
 def _run(df: DataFrame, metrics: list[Placed], result: Evaluation) -> None:
-    """Run together; after a value broke the run, halve until the culprit stands alone."""
+    """Run all metrics together.  Should a value break the run, report its metrics and run the rest."""
     if not metrics:
         return
     try:
@@ -125,13 +125,8 @@ def _run(df: DataFrame, metrics: list[Placed], result: Evaluation) -> None:
     except PySparkException as error:
         if not is_data_fault(error):
             raise
-        if len(metrics) == 1:
-            message = f"{error.getCondition()} while computing"
-            result.failures.append(Failure(metrics[0].metric, "BadValue", message))
-        else:
-            middle = len(metrics) // 2
-            _run(df, metrics[:middle], result)
-            _run(df, metrics[middle:], result)
+        for group in _without_culprits(df, metrics, result, error):
+            _run(df, group, result)
         return
     present = [row for row in rows if row[4] is not None]
     result.rows += present
@@ -141,6 +136,41 @@ def _run(df: DataFrame, metrics: list[Placed], result: Evaluation) -> None:
             result.failures.append(Failure(placed.metric, "EmptyState", "no values to compute from"))
 
 
+def _without_culprits(
+    df: DataFrame, metrics: list[Placed], result: Evaluation, error: PySparkException
+) -> list[list[Placed]]:
+    """What to run after a failure: the metrics whose conditions can be evaluated.
+
+    Conditions are user text, so each combination of them is probed by one pruned count.  If
+    none is to blame the metrics are halved until the culprit stands alone.
+    """
+    combined = {placed.metric.conditions for placed in metrics} - {()}
+    broken = {}
+    if len(metrics) > 1:
+        broken = {texts: fault for texts in combined if (fault := _probe(df, texts)) is not None}
+    elif metrics:
+        broken = {metrics[0].metric.conditions: error}
+    for placed in metrics:
+        fault = broken.get(placed.metric.conditions)
+        if fault is not None:
+            message = f"{fault.getCondition()} while computing"
+            result.failures.append(Failure(placed.metric, "BadValue", message))
+    if broken:
+        return [[placed for placed in metrics if placed.metric.conditions not in broken]]
+    middle = len(metrics) // 2
+    return [metrics[:middle], metrics[middle:]]
+
+
+def _probe(df: DataFrame, texts: tuple[str, ...]) -> PySparkException | None:
+    try:
+        reduce(lambda rows, text: rows.filter(F.expr(text)), texts, df).count()
+    except PySparkException as error:
+        if not is_data_fault(error):
+            raise
+        return error
+    return None
+
+
 def lazy_success_frame(df: DataFrame, metrics: list[Metric]) -> DataFrame:
     """The values as a plan: each action on it reads the table anew."""
     good, _ = sort_out(df, list(dict.fromkeys(metrics)))

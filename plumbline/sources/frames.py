@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from plumbline.functions.columns import find_field, quoted
+from plumbline.operators.rows import small_frame
 
 
 def as_spark_frame(spark: SparkSession, df) -> DataFrame:
@@ -34,3 +35,9 @@ def read_csv(
 def value_set(df: DataFrame, column: str) -> DataFrame:
     """The distinct values of a column, as a frame to join with."""
     return df.select(quoted(find_field(df.schema, column).name)).distinct()
+
+
+def schema_frame(df: DataFrame) -> DataFrame:
+    """The schema as rows ``(position, column, type)``."""
+    rows = [(i, field.name, field.dataType.simpleString()) for i, field in enumerate(df.schema)]
+    return small_frame(df.sparkSession, rows, "position int, column string, type string")

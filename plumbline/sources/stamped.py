@@ -46,7 +46,8 @@ class MetricTable:
 
     def append(self, stamped: DataFrame) -> None:
         self.create()
-        stamped.coalesce(1).write.insertInto(self.table)
+        columns = [column.split()[0] for column in STAMPED_SCHEMA.split(", ")]
+        stamped.select(*columns).repartition(1).write.insertInto(self.table)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -60,7 +61,7 @@ class JdbcMetricTable:
 
     def append(self, stamped: DataFrame) -> None:
         text = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        self.table.append(stamped.coalesce(1).withColumn("timestamp", text), JDBC_TYPES)
+        self.table.append(stamped.repartition(1).withColumn("timestamp", text), JDBC_TYPES)
 
 
 def stamp_and_append(df_metrics: DataFrame, target: MetricTarget, tag: str = DEFAULT_TAG) -> DataFrame:

@@ -209,7 +209,11 @@ class StateStore:
         """For ``writeStream.foreachBatch``: each micro-batch is a part; a replay replaces it."""
 
         def write(batch: DataFrame, batch_id: int) -> None:
-            self.save(batch, metrics, f"batch-{batch_id}")
+            kept = batch.persist()
+            try:
+                self.save(kept, metrics, f"batch-{batch_id}")
+            finally:
+                kept.unpersist()
 
         return write
 

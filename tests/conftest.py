@@ -20,8 +20,8 @@ def spark():
         spark_sql_shuffle_partitions=4,
         spark_ui_enabled="false",
         spark_driver_memory="6g",
+        spark_checkpoint_dir=tempfile.mkdtemp(prefix="plumbline-tests-"),
     )
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="plumbline-tests-"))
     yield session
     session.stop()
