@@ -97,13 +97,23 @@ class Suggestion:
         )
 
 
-Rule = Callable[[ColumnProfile], Suggestion | None]
+@dataclass(frozen=True)
+class Rule:
+    """Turns a column's profile into a suggestion; ``needs`` names what it reads of the profile."""
+
+    suggest: Callable[[ColumnProfile], Suggestion | None]
+    needs: frozenset[str]
+
+
+def rule(*needs: str) -> Callable[[Callable[[ColumnProfile], Suggestion | None]], Rule]:
+    return lambda suggest: Rule(suggest, frozenset(needs))
 
 
 def _text_list(values: Sequence[str]) -> str:
     return ", ".join("'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" for value in values)
 
 
+@rule("completeness")
 def complete_if_complete(p: ColumnProfile) -> Suggestion | None:
     if p.completeness != 1.0:
         return None
@@ -117,6 +127,7 @@ def complete_if_complete(p: ColumnProfile) -> Suggestion | None:
     )
 
 
+@rule("completeness")
 def retain_completeness(p: ColumnProfile) -> Suggestion | None:
     c = p.completeness
     if c is None or not 0.2 < c < 1:
@@ -132,6 +143,7 @@ def retain_completeness(p: ColumnProfile) -> Suggestion | None:
     )
 
 
+@rule("types")
 def retain_type(p: ColumnProfile) -> Suggestion | None:
     present = sum(count for kind, count in p.types.items() if kind != "Unknown")
     if not p.is_text or not present:
@@ -159,6 +171,7 @@ def _categorical(p: ColumnProfile) -> bool:
     return p.is_text and bool(p.values) and p.values_seen_once <= SEEN_ONCE_AT_MOST
 
 
+@rule("values")
 def categorical_range(p: ColumnProfile) -> Suggestion | None:
     if not _categorical(p):
         return None
@@ -172,6 +185,7 @@ def categorical_range(p: ColumnProfile) -> Suggestion | None:
     )
 
 
+@rule("completeness", "values")
 def fractional_categorical_range(p: ColumnProfile) -> Suggestion | None:
     if not p.is_text or not p.common or _categorical(p) or p.common_seen_once > SEEN_ONCE_AT_MOST:
         return None
@@ -189,6 +203,7 @@ def fractional_categorical_range(p: ColumnProfile) -> Suggestion | None:
     )
 
 
+@rule("minimum")
 def non_negative_numbers(p: ColumnProfile) -> Suggestion | None:
     if not p.is_numeric or p.minimum is None or p.minimum < 0:
         return None
@@ -202,6 +217,7 @@ def non_negative_numbers(p: ColumnProfile) -> Suggestion | None:
     )
 
 
+@rule("unique")
 def unique_if_unique(p: ColumnProfile) -> Suggestion | None:
     if not p.unique:
         return None
@@ -228,24 +244,35 @@ def DEFAULT() -> list[Rule]:
     ]
 
 
-def profile(df: DataFrame) -> list[ColumnProfile]:
-    """Profile every column; only scalars and the values of low-cardinality columns come back."""
+STATISTICS = frozenset(
+    ["completeness", "approx_distinct", "types", "minimum", "maximum", "mean", "deviation"]
+)
+
+
+def profile(df: DataFrame, needs: frozenset[str] = STATISTICS) -> list[ColumnProfile]:
+    """Profile every column as far as needed.
+
+    Only scalars and the values of low-cardinality columns come back.
+    """
     fields = df.schema.fields
     asked: dict[str, dict[str, Metric]] = {}
     for column in fields:
-        wanted = {"completeness": Completeness(column.name)}
-        if SUITS["groupable"](column.dataType):
-            wanted["approx_distinct"] = ApproxCountDistinct(column.name, relativeDeviation=DEVIATION)
+        name = column.name
+        suited = {"completeness": Completeness(name)}
+        distinct = needs & {"approx_distinct", "unique"} or "values" in needs and SUITS["text"](column.dataType)
+        if distinct and SUITS["groupable"](column.dataType):
+            suited["approx_distinct"] = ApproxCountDistinct(name, relativeDeviation=DEVIATION)
         if SUITS["text"](column.dataType):
-            wanted["types"] = DataType(column.name)
+            suited["types"] = DataType(name)
         if SUITS["numeric"](column.dataType):
-            wanted |= {
-                "minimum": Minimum(column.name),
-                "maximum": Maximum(column.name),
-                "mean": Mean(column.name),
-                "deviation": StandardDeviation(column.name),
+            suited |= {
+                "minimum": Minimum(name),
+                "maximum": Maximum(name),
+                "mean": Mean(name),
+                "deviation": StandardDeviation(name),
             }
-        asked[column.name] = wanted
+        always = {"completeness", "approx_distinct"} if "unique" in needs else {"approx_distinct"}
+        asked[name] = {key: metric for key, metric in suited.items() if key in needs | always}
     found = evaluate(df, [Size(), *[metric for wanted in asked.values() for metric in wanted.values()]])
     size = int(found.value(Size()))
 
@@ -258,8 +285,11 @@ def profile(df: DataFrame) -> list[ColumnProfile]:
             else:
                 setattr(p, attribute, found.value(metric))
         profiles.append(p)
-    _add_value_counts(df, [p for p in profiles if p.is_text and 0 < (p.approx_distinct or 0) <= FEW_VALUES])
-    _add_uniqueness(df, [p for p in profiles if _near_unique(p)])
+    if "values" in needs:
+        few = [p for p in profiles if p.is_text and 0 < (p.approx_distinct or 0) <= FEW_VALUES]
+        _add_value_counts(df, few)
+    if "unique" in needs:
+        _add_uniqueness(df, [p for p in profiles if _near_unique(p)])
     return profiles
 
 
@@ -293,6 +323,7 @@ def _near_unique(p: ColumnProfile) -> bool:
 
 
 def _add_uniqueness(df: DataFrame, profiles: list[ColumnProfile]) -> None:
+    """Test exactly: one grouping pass per near-unique column."""
     metrics = {p.name: Uniqueness(p.name) for p in profiles}
     found = evaluate(df, list(metrics.values()))
     for p in profiles:
@@ -352,13 +383,14 @@ class ConstraintSuggestionBuilder:
         self._df = df
         self._rules: list[Rule] = []
 
-    def addConstraintRule(self, rule: Rule | Sequence[Rule]) -> ConstraintSuggestionBuilder:
+    def addConstraintRule(self, added: Rule | Sequence[Rule]) -> ConstraintSuggestionBuilder:
         """Add a rule, or a bundle such as ``DEFAULT()``."""
-        self._rules += [rule] if callable(rule) else list(rule)
+        self._rules += [added] if isinstance(added, Rule) else list(added)
         return self
 
     def run(self) -> Suggestions:
-        found = [rule(p) for p in profile(self._df) for rule in self._rules]
+        needs = frozenset().union(*[one.needs for one in self._rules])
+        found = [one.suggest(p) for p in profile(self._df, needs) for one in self._rules]
         return Suggestions(self._spark, [suggestion for suggestion in found if suggestion])
 
 
