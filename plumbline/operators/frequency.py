@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_text, find_field, quoted
 from plumbline.operators.metrics import Histogram, Metric, MutualInformation, Tally
-from plumbline.operators.rows import Placed, aggregate_rows, labelled
+from plumbline.operators.rows import (
+    MEASURED_ROWS,
+    Placed,
+    aggregate_rows,
+    label_literal,
+    measured_values,
+    row_struct,
+)
 
 COUNT = "rows in group"
 
@@ -58,27 +65,50 @@ def rows_of_counts(counts: DataFrame, texts: list[Column], metrics: list[Placed]
     outputs = [
         (placed, name, value) for placed in metrics for name, value in placed.metric.outputs(tally)
     ]
-    if outputs:
+    histograms = [placed for placed in metrics if isinstance(placed.metric, Histogram)]
+    if histograms:
+        frames.append(rows_with_bins(counts, texts[0], outputs, histograms))
+    elif outputs:
         frames.append(aggregate_rows(counts, outputs))
     for placed in metrics:
-        if isinstance(placed.metric, Histogram):
-            frames.append(histogram_bins(counts, texts[0], placed))
-        elif isinstance(placed.metric, MutualInformation):
+        if isinstance(placed.metric, MutualInformation):
             frames.append(mutual_information(counts, placed, len(keys)))
     return frames
 
 
-def histogram_bins(counts: DataFrame, text: Column, placed: Placed) -> DataFrame:
-    """Counts and shares of the commonest values; ties go to the lesser text."""
-    metric = placed.metric
-    total = counts.agg(F.sum(quoted(COUNT))).scalar()
+def rows_with_bins(
+    counts: DataFrame,
+    text: Column,
+    outputs: list[tuple[Placed, str, Column]],
+    histograms: list[Placed],
+) -> DataFrame:
+    """The aggregates, and counts and shares of the commonest values; ties go to the lesser text.
+
+    The counts are read twice, for the aggregates and for the top values.  Both give one row,
+    the latter of at most ``Histogram.MOST_BINS`` values, and meet in one last aggregation.
+    """
+    values = [(name, value) for _, name, value in outputs]
+    summary = measured_values(counts, values, F.sum(quoted(COUNT)).alias("total"))
+    most = max(placed.metric.maxDetailBins for placed in histograms)
     bins = counts.select(
-        F.coalesce(text, F.lit(metric.NULL_BIN)).alias("bin"), quoted(COUNT).alias("count")
+        (-quoted(COUNT)).alias("less"), F.coalesce(text, F.lit(Histogram.NULL_BIN)).alias("bin")
+    )
+    commonest = bins.orderBy("less", "bin").limit(most)
+    top = commonest.agg(F.sort_array(F.collect_list(F.struct("less", "bin"))).alias("top"))
+    both = summary.select("measured", "total").unionByName(top, allowMissingColumns=True)
+    once = both.agg(
+        F.first("measured", True).alias("measured"),
+        F.max("total").alias("total"),
+        F.first("top", True).alias("top"),
+        label_literal([placed.label(name) for placed, name, _ in outputs]).alias("labels"),
+        label_literal([placed.label("") for placed in histograms]).alias("shown"),
     )
-    top = bins.orderBy(F.desc("count"), F.asc("bin")).limit(metric.maxDetailBins)
-    labels = [placed.label("Histogram.abs."), placed.label("Histogram.ratio.")]
-    values = F.array(F.col("count").cast("double"), F.col("count") / total)
-    return labelled(top, labels, values, suffix=F.col("bin"))
+    parts = [MEASURED_ROWS]
+    for i, placed in enumerate(histograms):
+        for kind, value in (("abs", "-t.less"), ("ratio", "-t.less / total")):
+            row = row_struct(f"shown[{i}]", f"concat('Histogram.{kind}.', t.bin)", value)
+            parts.append(f"transform(slice(top, 1, {placed.metric.maxDetailBins}), t -> {row})")
+    return once.selectExpr(f"inline(concat({', '.join(parts)}))")
 
 
 def mutual_information(counts: DataFrame, placed: Placed, distinct_columns: int) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.metrics import Metric
+from plumbline.operators.metrics import Metric, Outputs
 
 # ``position`` is the place of the metric in its run; ``filter`` its row condition.
 LABELS = "array<struct<position:int, entity:string, instance:string, name:string, filter:string>>"
@@ -38,30 +38,40 @@ class Placed:
         return (self.position, metric.entity, metric.instance, name, value, metric.where)
 
 
-def labelled(df: DataFrame, labels: list[dict], values: Column, suffix: Column | None = None) -> DataFrame:
-    """One row per label and element of the array ``values``; ``suffix`` is added to the names.
+def label_literal(labels: list[dict]) -> Column:
+    """Labels as a single literal.
 
-    The labels are a single literal: built one by one as columns they would take the driver
-    longer than the aggregation they describe takes on a small table.
+    Built one by one as columns they would take the driver longer than the aggregation they
+    describe takes on a small table.
     """
-    known = F.from_json(F.lit(json.dumps(labels)), LABELS)
-    ending = F.lit("") if suffix is None else suffix
-    arrays = df.select(known.alias("labels"), values.alias("measured"), ending.alias("suffix"))
-    return arrays.selectExpr(
-        "inline(transform(labels, (label, i) -> named_struct('position', label.position, "
-        "'entity', label.entity, 'instance', label.instance, 'name', concat(label.name, suffix), "
-        "'value', measured[i], 'filter', label.filter)))"
+    return F.from_json(F.lit(json.dumps(labels)), LABELS)
+
+
+def row_struct(label: str, name: str, value: str) -> str:
+    """SQL for one long-form row, from SQL for its label, name and value."""
+    return (
+        f"named_struct('position', {label}.position, 'entity', {label}.entity, 'instance', {label}.instance, "
+        f"'name', {name}, 'value', cast({value} AS double), 'filter', {label}.filter)"
     )
 
 
+# One row per label: the value at the same place of the array ``measured``.
+MEASURED_ROWS = f"transform(labels, (label, i) -> {row_struct('label', 'label.name', 'measured[i]')})"
+
+
+def measured_values(df: DataFrame, outputs: Outputs, *further: Column) -> DataFrame:
+    """One row: all aggregates over ``df`` in the array ``measured``, and further aggregates."""
+    totals = df.agg(*[value.alias(f"v{i}") for i, (_, value) in enumerate(outputs)], *further)
+    doubles = ", ".join(f"cast(v{i} AS double)" for i in range(len(outputs)))
+    return totals.withColumn("measured", F.expr(f"array({doubles})"))
+
+
 def aggregate_rows(df: DataFrame, outputs: Iterable[tuple[Placed, str, Column]]) -> DataFrame:
     """Evaluate aggregates over ``df`` together, and turn the one result row into many."""
-    labels, values = [], []
-    for placed, name, value in outputs:
-        labels.append(placed.label(name))
-        values.append(value.alias(f"v{len(values)}"))
-    doubles = ", ".join(f"cast(v{i} AS double)" for i in range(len(values)))
-    return labelled(df.agg(*values), labels, F.expr(f"array({doubles})"))
+    outputs = list(outputs)
+    values = measured_values(df, [(name, value) for _, name, value in outputs])
+    labels = label_literal([placed.label(name) for placed, name, _ in outputs])
+    return values.select("measured", labels.alias("labels")).selectExpr(f"inline({MEASURED_ROWS})")
 
 
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
