@@ -114,22 +114,26 @@ def rows_with_bins(
 def mutual_information(counts: DataFrame, placed: Placed, distinct_columns: int) -> DataFrame:
     """``ln N + (S(a,b) - S(a) - S(b)) / N`` with ``S`` the sum of ``c ln c`` over counts.
 
-    The counts of either column alone come from the counts of the pairs.  A column paired
-    with itself has one key, and the formula then gives its entropy.
+    The counts of either column alone come from the counts of the pairs, both in one regrouping,
+    which carries the sum over the pairs along.  A column paired with itself has one key, and
+    the formula then gives its entropy.
     """
     keys = [F.col(f"k{i}") for i in range(distinct_columns)]
     both = reduce(lambda a, b: a & b, [key.isNotNull() for key in keys])
     pairs = F.when(both, quoted(COUNT))
-
-    def spread(count: Column) -> Column:
-        return F.sum(count * F.ln(count))
-
-    parts = counts.agg(spread(pairs).alias("spread"), F.sum(pairs).alias("rows"))
-    for key in (keys * 2)[:2]:
-        alone = counts.groupBy(key).agg(F.sum(pairs).alias("c"))
-        parts = parts.unionByName(
-            alone.agg((-spread(F.col("c"))).alias("spread"), F.lit(None).cast("bigint").alias("rows"))
-        )
-    rows = F.sum("rows")
-    value = F.ln(rows) + F.sum("spread") / rows
-    return aggregate_rows(parts, [(placed, placed.metric.name, value)])
+    if distinct_columns == 1:
+        rows = F.sum(pairs)
+        value = F.ln(rows) - F.sum(pairs * F.ln(pairs)) / rows
+        return aggregate_rows(counts, [(placed, placed.metric.name, value)])
+    first, second = keys
+    alone = counts.groupingSets([[first], [second]], first, second).agg(
+        F.grouping_id().alias("set"),
+        F.sum(pairs).alias("c"),
+        F.sum(pairs * F.ln(pairs)).alias("spread"),
+    )
+    in_first = F.col("set") == 1
+    rows = F.sum(F.when(in_first, F.col("c")))
+    of_pairs = F.sum(F.when(in_first, F.col("spread")))
+    of_columns = F.sum(F.col("c") * F.ln(F.col("c")))
+    value = F.ln(rows) + (of_pairs - of_columns) / rows
+    return aggregate_rows(alone, [(placed, placed.metric.name, value)])

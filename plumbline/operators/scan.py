@@ -18,9 +18,23 @@ from plumbline.operators.metrics import Scope
 from plumbline.operators.rows import Placed, aggregate_rows
 
 
+MOST_TOGETHER = 200
+
+
 def scan_rows(df: DataFrame, metrics: list[Placed]) -> list[DataFrame]:
-    groups = [[placed for placed in metrics if placed.metric.sketch is kind] for kind in (False, True)]
-    return [fused_rows(df, group) for group in groups if group]
+    """Wide tables are taken some columns at a time, to keep the generated code compilable.
+
+    Metrics on the same columns stay together, so the parts of a columnar source that
+    several aggregations read are few.
+    """
+    frames = []
+    for kind in (False, True):
+        group = [placed for placed in metrics if placed.metric.sketch is kind]
+        if len(group) > MOST_TOGETHER:
+            group.sort(key=lambda placed: placed.metric.columns)
+        for start in range(0, len(group), MOST_TOGETHER):
+            frames.append(fused_rows(df, group[start : start + MOST_TOGETHER]))
+    return frames
 
 
 def fused_rows(df: DataFrame, metrics: list[Placed]) -> DataFrame:

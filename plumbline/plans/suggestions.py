@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, astuple, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -86,16 +86,6 @@ class Suggestion:
     current_value: float
     description: str
 
-    def row(self) -> tuple:
-        return (
-            self.column_name,
-            self.rule,
-            self.constraint,
-            self.sql_predicate,
-            self.current_value,
-            self.description,
-        )
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -400,7 +390,11 @@ class Suggestions:
     found: list[Suggestion]
 
     def as_frame(self) -> DataFrame:
-        return small_frame(self.spark, [one.row() for one in self.found], SUGGESTION_SCHEMA)
+        return small_frame(self.spark, [astuple(one) for one in self.found], SUGGESTION_SCHEMA)
+
+    def as_dict(self) -> dict[str, list[dict]]:
+        """The records under the key ``constraint_suggestions``, ready for ``json.dumps``."""
+        return {"constraint_suggestions": [asdict(one) for one in self.found]}
 
     def as_json(self) -> DataFrame:
         """One JSON record per suggestion."""

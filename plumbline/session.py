@@ -9,7 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def build_session(name: str = "plumbline", master: str | None = None, **settings: object) -> SparkSession:
-    """A session with adaptive execution and UTC times; ``settings`` use ``_`` for ``.``."""
+    """A session with adaptive execution and UTC times; ``settings`` use ``_`` for ``.``.
+
+    Looking up a call site for every column expression is switched off: the expressions of a
+    wide table's metrics are built here, and their call sites would tell the user nothing.
+    """
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
@@ -17,6 +21,7 @@ def build_session(name: str = "plumbline", master: str | None = None, **settings
         builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in settings.items():
         builder = builder.config(key.replace("_", "."), str(value))

@@ -16,7 +16,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import quoted
 
 MILLIS_PER_DAY = 24 * 60 * 60 * 1000
 IDENTITY = ["dataset_date", "tags_key", "filter", "entity", "instance", "name"]

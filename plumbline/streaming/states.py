@@ -12,13 +12,13 @@ mean)^2)``, because differences of sums of squares lose digits.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.columns import as_text, find_field
 from plumbline.operators import metrics as M
@@ -245,13 +245,14 @@ def scan_states(df: DataFrame, metrics: Sequence[M.Metric], part: Column) -> Dat
     for i, metric in enumerate(metrics):
         state = state_of(metric, scopes[metric.where])
         aggregates += [value.alias(f"s{i}_{name}") for name, value in state.items()]
-        fields = [
-            (F.col(f"s{i}_{name}") if name in state else F.lit(None)).cast(kind).alias(name)
+        fields = ", ".join(
+            f"'{name}', cast({f's{i}_{name}' if name in state else 'NULL'} AS {kind})"
             for name, kind in FIELDS.items()
-        ]
-        rows.append(F.struct(F.lit(repr(metric)).alias("metric"), *fields))
-    wide = df.groupBy(part.cast("string").alias("part")).agg(*aggregates)
-    return wide.select("part", F.inline(F.array(*rows)))
+        )
+        rows.append(f"named_struct('metric', metrics[{i}], {fields})")
+    ids = F.from_json(F.lit(json.dumps([repr(metric) for metric in metrics])), "array<string>")
+    wide = df.groupBy(part.cast("string").alias("part")).agg(*aggregates).withColumn("metrics", ids)
+    return wide.selectExpr("part", f"inline(array({', '.join(rows)}))")
 
 
 def count_states(df: DataFrame, columns: tuple[str, ...], where: str | None, part: Column) -> DataFrame:

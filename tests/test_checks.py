@@ -1,5 +1,7 @@
 """Constraints that pass and fail on purpose, levels and statuses."""
 
+import json
+
 import employees
 import pytest
 
@@ -113,6 +115,8 @@ def test_suggestions_hold_on_their_data(spark, staff):
     assert not any(one.rule == "UniqueIfUnique" for one in found.found)
     assert found.head().count() == 5
     assert {"column_name", "rule", "record"} == set(found.as_json().columns)
+    records = json.loads(json.dumps(found.as_dict()))["constraint_suggestions"]
+    assert len(records) == len(found.found) == found.as_frame().count()
 
 
 def test_suggestions_on_text_with_quotes(spark):

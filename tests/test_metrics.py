@@ -102,6 +102,48 @@ def test_first_notebook_run(staff):
     assert frame.count() == 10
 
 
+def test_second_notebook_run(staff):
+    where = "Salary > 100000"
+    ages = ["Age in Yrs", "Age in Company (Years)"]
+    metrics = [
+        Size(where=where),
+        Completeness("Emp ID", where),
+        Compliance("Salary > 100000 and `Year of Joining` > 2005", where=where),
+        ApproxCountDistinct("Emp ID", where),
+        ApproxQuantile("Salary", 0.25, 0.05, where),
+        ApproxQuantiles("Salary", [0.25, 0.5, 0.75, 0.9], 0.0),
+        Correlation("Salary", "Age in Company (Years)", where),
+        CountDistinct(["Emp ID", "SSN", "Phone No", "E Mail", "Salary", "Year of Joining"]),
+        DataType("Emp ID", where),
+        Distinctness("EMP ID", where),
+        Distinctness(["Age in Company (Years)", "Salary"], where),
+        Entropy("SSN", where),
+        Histogram("Salary", where=where),
+        Maximum("Salary", where),
+        MaxLength("E Mail", where),
+        Mean("Salary", where),
+        Minimum("Salary", where),
+        MinLength("E Mail", where),
+        MutualInformation(ages, where),
+        StandardDeviation("Salary", where),
+        Sum("Salary", where),
+        Uniqueness(ages, where),
+        UniqueValueRatio(ages, where),
+        PatternMatch("SSN", r"\d{3}-\d{2}-\d{4}", where=where),
+    ]
+    result = run(staff, *metrics)
+    assert not result.failures
+    values = [result.value(metric) for metric in metrics]
+    kept = [120000.5, 150000, 101000, 200000]
+    assert values[0] == 4 and values[1] == 1 and values[2] == 0.75 and values[3] == 4
+    quartiles = {row[3]: row[4] for row in result.rows if row[0] == 5}
+    assert list(quartiles.values()) == [55000, 99999.5, 120000.5, 200000]
+    assert values[7] == 10 and values[9] == 1 and values[11] == pytest.approx(math.log(3))
+    assert values[13] == 200000 and values[14] == 12 and values[15] == pytest.approx(sum(kept) / 4)
+    assert values[16] == 101000 and values[17] == 10 and values[20] == sum(kept)
+    assert values[18] == pytest.approx(math.log(3)) and values[21] == 1 and values[23] == 0.75
+
+
 def test_names_match_in_any_case_and_keep_their_spelling(staff):
     result = run(staff, Distinctness("EMP ID"), Distinctness("Emp ID"))
     assert [row[2] for row in result.rows] == ["EMP ID", "Emp ID"]
