@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -50,19 +50,28 @@ class Evaluation:
     def failure_frame(self) -> DataFrame:
         return small_frame(self.spark, [failure.row() for failure in self.failures], FAILURE_SCHEMA)
 
+    @cached_property
+    def _values(self) -> dict[Metric, dict[str, float]]:
+        found: dict[Metric, dict[str, float]] = {}
+        for position, _, _, name, value, _ in self.rows:
+            found.setdefault(self.metrics[position], {})[name] = value
+        return found
+
+    @cached_property
+    def _failed(self) -> dict[Metric, Failure]:
+        return {failure.metric: failure for failure in self.failures}
+
     def value(self, metric: Metric) -> float | None:
-        """The value of a metric that has just one."""
-        position = self.metrics.index(metric)
-        return next((row[4] for row in self.rows if row[0] == position), None)
+        """The value of a metric, or the first of several."""
+        return next(iter(self._values.get(metric, {}).values()), None)
 
     def parts(self, metric: Metric, prefix: str) -> dict[str, float]:
         """The values of a metric that has many, by the rest of their names."""
-        position = self.metrics.index(metric)
-        named = {row[3]: row[4] for row in self.rows if row[0] == position}
+        named = self._values.get(metric, {})
         return {name.removeprefix(prefix): value for name, value in named.items() if name.startswith(prefix)}
 
     def failure(self, metric: Metric) -> Failure | None:
-        return next((failure for failure in self.failures if failure.metric == metric), None)
+        return self._failed.get(metric)
 
 
 def sort_out(df: DataFrame, metrics: list[Metric]) -> tuple[list[Placed], list[Failure]]:
@@ -112,7 +121,8 @@ def evaluate(df: DataFrame, metrics: list[Metric]) -> Evaluation:
     result = Evaluation(df.sparkSession, metrics, failures=bad)
     _run(df, good, result)
     result.rows.sort(key=lambda row: row[0])
-    result.failures.sort(key=lambda failure: metrics.index(failure.metric))
+    place = {metric: position for position, metric in enumerate(metrics)}
+    result.failures.sort(key=lambda failure: place[failure.metric])
     return result
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,7 +85,12 @@ class VerificationRunBuilder:
         declared = [(check, constraint) for check in self._checks for constraint in check.constraints]
         evaluation = evaluate(self._df, [m for _, constraint in declared for m in constraint.needed()])
         save(evaluation, self._repository, self._key)
-        by_text = _sql_outcomes(self._spark, evaluation, [constraint for _, constraint in declared])
+        texts = {
+            i: (constraint.assertion, evaluation.value(constraint.metric))
+            for i, (_, constraint) in enumerate(declared)
+            if isinstance(constraint.assertion, str)
+        }
+        by_text = _text_outcomes(self._spark, texts)
         outcomes = []
         for i, (check, constraint) in enumerate(declared):
             passed, message = _outcome(evaluation, constraint, by_text.get(i))
@@ -92,22 +98,27 @@ class VerificationRunBuilder:
         return Verified(evaluation, outcomes)
 
 
-def _sql_outcomes(
-    spark: SparkSession, evaluation: Evaluation, constraints: list[Constraint]
-) -> dict[int, bool | None]:
-    """Evaluate the assertions given as SQL text, all in one frame of scalar values."""
-    texts = {i: c for i, c in enumerate(constraints) if isinstance(c.assertion, str)}
+def _text_outcomes(
+    spark: SparkSession, texts: dict[int, tuple[str, float | None]]
+) -> dict[int, bool | PySparkException | None]:
+    """Evaluate SQL conditions over ``value``: together, or singly when one of them is faulty."""
     if not texts:
         return {}
-    rows = [(i, evaluation.value(constraint.metric)) for i, constraint in texts.items()]
     outcome = F.lit(None).cast("boolean")
-    for i, constraint in texts.items():
-        outcome = F.when(F.col("position") == i, F.expr(constraint.assertion)).otherwise(outcome)
-    frame = small_frame(spark, rows, "position int, value double")
-    return dict(map(tuple, frame.select("position", outcome).collect()))
+    for i, (text, _) in texts.items():
+        outcome = F.when(F.col("place") == i, F.expr(text)).otherwise(outcome)
+    values = small_frame(spark, [(i, value) for i, (_, value) in texts.items()], "place int, value double")
+    try:
+        return dict(map(tuple, values.select("place", outcome).collect()))
+    except PySparkException as error:
+        if len(texts) == 1:
+            return dict.fromkeys(texts, error)
+        return {i: one[i] for i in texts for one in [_text_outcomes(spark, {i: texts[i]})]}
 
 
-def _outcome(evaluation: Evaluation, constraint: Constraint, by_text: bool | None) -> tuple[bool, str]:
+def _outcome(
+    evaluation: Evaluation, constraint: Constraint, by_text: bool | PySparkException | None
+) -> tuple[bool, str]:
     hint = f": {constraint.hint}" if constraint.hint else ""
     for metric in constraint.needed():
         failure = evaluation.failure(metric)
@@ -116,6 +127,8 @@ def _outcome(evaluation: Evaluation, constraint: Constraint, by_text: bool | Non
     value = evaluation.value(constraint.metric)
     shown = f"value {value}"
     try:
+        if isinstance(by_text, PySparkException):
+            return False, f"the assertion raised {by_text.getCondition()}{hint}"
         if isinstance(constraint.assertion, str):
             passed = bool(by_text)
         elif isinstance(constraint.assertion, Against):

@@ -90,6 +90,21 @@ def test_an_assertion_that_raises_fails_its_constraint(staff):
     assert found == [("Failure", "the assertion raised ZeroDivisionError"), ("Success", "")]
 
 
+def test_faulty_sql_assertions_fail_their_constraints_only(staff):
+    found = outcome(
+        staff,
+        lambda c: c.hasSize("value = 10")
+        .hasSize("valu = 10")
+        .hasSize("value + 1")
+        .hasSize("value / (value - 10) > 1")
+        .hasSize("value > 10")
+        .hasSize("value = 10"),
+    )
+    assert [status for status, _ in found] == ["Success", *["Failure"] * 4, "Success"]
+    assert found[1][1].startswith("the assertion raised UNRESOLVED_COLUMN")
+    assert "DIVIDE_BY_ZERO" in found[3][1]
+
+
 def test_levels_and_status(spark, staff):
     failing = Check(spark, CheckLevel.Warning, "w").hasSize("value > 100").hasSize("value > 1")
     passing = Check(spark, CheckLevel.Error, "e").hasSize("value > 1")

@@ -72,7 +72,7 @@ def test_bad_casts_become_null(staff):
     assert types["Salary"] == "double" and types["Phone No"] == "int" and types["Emp ID"] == "string"
 
 
-def test_first_notebook_run(staff):
+def test_profile_of_staff(staff):
     metrics = [
         Size(),
         Completeness("Emp ID"),
@@ -102,7 +102,7 @@ def test_first_notebook_run(staff):
     assert frame.count() == 10
 
 
-def test_second_notebook_run(staff):
+def test_all_kinds_of_metrics_in_one_run(staff):
     where = "Salary > 100000"
     ages = ["Age in Yrs", "Age in Company (Years)"]
     metrics = [
@@ -351,8 +351,8 @@ def test_pandas_input(spark):
 
 def test_decimal_and_time_columns(spark):
     df = spark.sql(
-        "SELECT cast(id AS decimal(10,2)) AS d, timestamp_seconds(id) AS t, id % 2 = 0 AS b, cast(cast(id AS string) AS binary) AS x "
-        "FROM range(10)"
+        "SELECT cast(id AS decimal(10,2)) AS d, timestamp_seconds(id) AS t, id % 2 = 0 AS b, "
+        "cast(cast(id AS string) AS binary) AS x FROM range(10)"
     )
     assert value(df, Sum("d")) == 45.0 and value(df, Maximum("d")) == 9.0
     assert value(df, Uniqueness("t")) == 1.0 and value(df, Entropy("b")) == pytest.approx(math.log(2))
