@@ -39,6 +39,9 @@ class Validator:
     def __init__(self, df: DataFrame):
         self._df = df
         self._conditions: dict[str, Fault | None] = {}
+        exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+        names = [name if exact else name.lower() for name in df.columns]
+        self._doubled = {name.lower() for name in names if names.count(name) > 1}
 
     def fault_of(self, metric: Metric) -> Fault | None:
         wrong = metric.fault()
@@ -48,6 +51,8 @@ class Validator:
             field = find_field(self._df.schema, name)
             if field is None:
                 return "MissingColumn", f"no column named {name!r}"
+            if name.lower() in self._doubled:
+                return "AmbiguousColumn", f"several columns named {name!r}"
             if not SUITS[metric.needs](field.dataType):
                 kind = field.dataType.simpleString()
                 return "WrongType", f"column {name!r} is {kind}, not {metric.needs}"

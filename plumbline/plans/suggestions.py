@@ -38,6 +38,7 @@ SEEN_ONCE_AT_MOST = 0.1
 COVERAGE = 0.9
 DEVIATION = 0.05
 CONFIDENCE = 1.96
+GROUPINGS_AT_ONCE = 8
 
 SUGGESTION_SCHEMA = (
     "column_name string, rule string, constraint string, sql_predicate string, "
@@ -313,11 +314,15 @@ def _near_unique(p: ColumnProfile) -> bool:
 
 
 def _add_uniqueness(df: DataFrame, profiles: list[ColumnProfile]) -> None:
-    """Test exactly: one grouping pass per near-unique column."""
-    metrics = {p.name: Uniqueness(p.name) for p in profiles}
-    found = evaluate(df, list(metrics.values()))
-    for p in profiles:
-        p.unique = found.value(metrics[p.name]) == 1.0
+    """Test exactly: one grouping pass per near-unique column.
+
+    Such a pass shuffles about as many values as the table has rows, so only a few run at once.
+    """
+    for start in range(0, len(profiles), GROUPINGS_AT_ONCE):
+        some = profiles[start : start + GROUPINGS_AT_ONCE]
+        found = evaluate(df, [Uniqueness(p.name) for p in some])
+        for p in some:
+            p.unique = found.value(Uniqueness(p.name)) == 1.0
 
 
 def _add_value_counts(df: DataFrame, profiles: list[ColumnProfile]) -> None:

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import as_text, find_field
+from plumbline.functions.columns import as_text, find_field, quoted
 from plumbline.operators import metrics as M
 from plumbline.operators.frequency import COUNT, resolved, rows_of_counts, value_counts
 from plumbline.operators.rows import Placed, aggregate_rows
@@ -147,8 +147,9 @@ def read_state(metric: M.Metric) -> M.Outputs:
                 (f"DataType.ratio.{kind}", F.try_divide(field, n)) for kind, field in kinds
             ]
         case M.ApproxQuantile() | M.ApproxQuantiles():
+            filled = F.kll_sketch_get_n_double("rank_sketch") > 0
             return [
-                (label, F.kll_sketch_get_quantile_double("rank_sketch", F.lit(float(q))))
+                (label, F.when(filled, F.kll_sketch_get_quantile_double("rank_sketch", F.lit(float(q)))))
                 for label, q in zip(metric.labels(), metric.quantiles)
             ]
         case _:
@@ -170,9 +171,11 @@ class StateStore:
         self._counts_path = f"{path.rstrip('/')}/counts"
 
     def save(self, df: DataFrame, metrics: Sequence[M.Metric], part: str | Column) -> None:
-        """Store states of ``df``; ``part`` names it, or is a column that splits it into parts."""
+        """Store states of ``df``; ``part`` names it, or is a column that splits it into parts.
+
+        A named part without rows is stored as such, and so replaces what it held before.
+        """
         self._check(df, metrics)
-        part = F.lit(part) if isinstance(part, str) else part
         scan = [metric for metric in dict.fromkeys(metrics) if metric.family == "scan"]
         if scan:
             self._write(scan_states(df, scan, part), self._scan_path, "part")
@@ -200,7 +203,8 @@ class StateStore:
                 sets.setdefault((resolved(like, one.metric), one.metric.where), []).append(one)
         for (columns, where), group in sets.items():
             states = self._read(self._counts_path, COUNTS_SCHEMA, parts)
-            states = states.filter(F.col("column_set") == _column_set(columns, where))
+            of_set = F.col("column_set") == _column_set(columns, where)
+            states = states.filter(of_set & (F.col("count") > 0))
             frames += count_values(states, len(columns), group)
         values = reduce(DataFrame.unionByName, frames)
         return values.filter(F.col("value").isNotNull()).select(*METRIC_COLUMNS)
@@ -238,7 +242,7 @@ class StateStore:
         return states if parts is None else states.filter(F.col("part").isin(*parts))
 
 
-def scan_states(df: DataFrame, metrics: Sequence[M.Metric], part: Column) -> DataFrame:
+def scan_states(df: DataFrame, metrics: Sequence[M.Metric], part: str | Column) -> DataFrame:
     """All scan metrics of all parts in one pass, as one row per part and metric."""
     aggregates, rows = [], []
     scopes = {metric.where: M.Scope(df.schema, metric.where) for metric in metrics}
@@ -251,21 +255,37 @@ def scan_states(df: DataFrame, metrics: Sequence[M.Metric], part: Column) -> Dat
         )
         rows.append(f"named_struct('metric', metrics[{i}], {fields})")
     ids = F.from_json(F.lit(json.dumps([repr(metric) for metric in metrics])), "array<string>")
-    wide = df.groupBy(part.cast("string").alias("part")).agg(*aggregates).withColumn("metrics", ids)
-    return wide.selectExpr("part", f"inline(array({', '.join(rows)}))")
+    if isinstance(part, str):
+        wide = df.agg(*aggregates).withColumn("part", F.lit(part))
+    else:
+        wide = df.groupBy(part.cast("string").alias("part")).agg(*aggregates)
+    return wide.withColumn("metrics", ids).selectExpr("part", f"inline(array({', '.join(rows)}))")
 
 
-def count_states(df: DataFrame, columns: tuple[str, ...], where: str | None, part: Column) -> DataFrame:
+def count_states(
+    df: DataFrame, columns: tuple[str, ...], where: str | None, part: str | Column
+) -> DataFrame:
+    """Value counts of all parts; those of a named part include a row without counts."""
     keys = [f"k{i}" for i in range(len(columns))]
-    marked = df.withColumn("part of data", part.cast("string"))
-    counts = value_counts(marked, (*columns, "part of data"), where)
     texts = [as_text(F.col(key), find_field(df.schema, name).dataType) for key, name in zip(keys, columns)]
-    return counts.select(
-        F.array(*texts).alias("keys"),
-        F.col(f"`{COUNT}`").alias("count"),
-        F.lit(_column_set(columns, where)).alias("column_set"),
-        F.col(f"k{len(columns)}").alias("part"),
+    if isinstance(part, str):
+        counts, of_part = value_counts(df, columns, where), F.lit(part)
+    else:
+        marked = df.withColumn("part of data", part.cast("string"))
+        counts, of_part = value_counts(marked, (*columns, "part of data"), where), F.col(f"k{len(columns)}")
+    of_set = F.lit(_column_set(columns, where)).alias("column_set")
+    states = counts.select(
+        F.array(*texts).alias("keys"), quoted(COUNT).alias("count"), of_set, of_part.alias("part")
     )
+    if isinstance(part, str):
+        nothing = df.sparkSession.range(1, numPartitions=1).select(
+            F.lit(None).cast("array<string>").alias("keys"),
+            F.lit(0).cast("bigint").alias("count"),
+            of_set,
+            of_part.alias("part"),
+        )
+        states = states.unionByName(nothing)
+    return states
 
 
 def scan_values(states: DataFrame, metrics: list[Placed]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import employees
 import pandas as pd
@@ -263,6 +264,20 @@ def test_faults_do_not_stop_the_run(staff):
     assert result.value(good[0]) == 10 and result.value(good[1]) == 200000
 
 
+def test_doubled_names(spark):
+    df = spark.sql("SELECT 1 AS a, 2 AS A, 3 AS b")
+    result = run(df, Mean("a"), Mean("b"), Uniqueness(["A", "b"]))
+    assert [failure.error for failure in result.failures] == ["AmbiguousColumn"] * 2
+    assert result.value(Mean("b")) == 3
+
+
+def test_values_that_are_no_numbers_survive_in_frames(spark):
+    df = spark.sql("SELECT * FROM VALUES (double('NaN'), 1D), (2D, double('Infinity')) AS t(a, b)")
+    frame = AnalyzerContext.successMetricsAsDataFrame(spark, run(df, Mean("a"), Minimum("a"), Maximum("b")))
+    values = [row.value for row in frame.collect()]
+    assert math.isnan(values[0]) and values[1:] == [2.0, math.inf]
+
+
 def test_a_bad_value_costs_one_probe_per_condition(staff, monkeypatch):
     """Only metrics under the failing condition are lost, and the rest run together once more."""
     from plumbline.plans import evaluation
@@ -305,6 +320,43 @@ def test_fused_equals_separate(staff):
         assert {row[3]: row[4] for row in together.rows if row[0] == position} == alone
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_counted_metrics_against_brute_force(spark, seed):
+    """Random tuples with NULLs, a third of them alike."""
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, 1, 2, 3, rng.random()]), rng.choice([None, "a", "b", "c"])) for _ in range(120)]
+    rows += [(7.0, "hot")] * 60
+    df = spark.createDataFrame([(x if x is None else float(x), y) for x, y in rows], "x double, y string")
+    kept = [tuple(row) for row in df.collect()]
+    pairs = Counter(row for row in kept if row != (None, None))
+    n, once = sum(pairs.values()), sum(1 for c in pairs.values() if c == 1)
+    full = Counter(row for row in kept if None not in row)
+    full_n, xs, ys = sum(full.values()), Counter(), Counter()
+    for (x, y), c in full.items():
+        xs[x] += c
+        ys[y] += c
+    words = Counter(y for _, y in kept if y is not None)
+    words_n = sum(words.values())
+    both = ["x", "y"]
+    expected = {
+        CountDistinct(both): len(pairs),
+        Distinctness(both): len(pairs) / n,
+        Uniqueness(both): once / n,
+        UniqueValueRatio(both): once / len(pairs),
+        Entropy("y"): -sum(c / words_n * math.log(c / words_n) for c in words.values()),
+        MutualInformation(both): sum(
+            c / full_n * math.log(c * full_n / (xs[x] * ys[y])) for (x, y), c in full.items()
+        ),
+    }
+    result = run(df.repartition(6), *expected, Histogram("y", 2))
+    for metric, right in expected.items():
+        assert result.value(metric) == pytest.approx(right), metric
+    bins = Counter("NullValue" if y is None else y for _, y in kept)
+    top = sorted(bins.items(), key=lambda item: (-item[1], item[0]))[:2]
+    assert result.parts(Histogram("y", 2), "Histogram.abs.") == dict(top)
+    assert result.value(Histogram("y", 2)) == len(bins)
+
+
 def test_order_of_rows_changes_nothing(spark):
     metrics = [Uniqueness(["Emp ID", "SSN"]), Entropy("First Name"), Histogram("Year of Joining"), Size()]
     rows = list(employees.ROWS) * 3

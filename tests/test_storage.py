@@ -207,6 +207,51 @@ def test_a_part_saved_again_replaces_itself(spark):
     assert only[0].value == df.filter("part = 'p1'").count()
 
 
+def test_a_part_saved_empty_is_empty(spark):
+    df, store = parted(spark), StateStore(spark, scratch_folder(spark, "s"))
+    asked = [*PARTED, ApproxCountDistinct("t"), ApproxQuantiles("x", [0.5], 0.01)]
+    first, nothing = df.filter("part = 'p0'"), df.limit(0)
+
+    def merged():
+        return {(r.instance, r.name): r.value for r in store.metrics(df, asked).collect()}
+
+    store.save(nothing, asked, "p0")
+    zero = merged()
+    assert zero["*", "Size"] == 0 and zero["t,k", "CountDistinct"] == 0 and ("x", "Mean") not in zero
+    assert ("x", "ApproxQuantiles-0.5") not in zero and zero["t", "Histogram.bins"] == 0
+    store.save(first, asked, "p0")
+    assert merged()["x", "Mean"] > 1e9
+    store.save(nothing, asked, "p0")
+    assert merged() == zero
+
+
+def test_micro_batches_merge(spark):
+    df, store = parted(spark), StateStore(spark, scratch_folder(spark, "s"))
+    source, checkpoint = scratch_folder(spark, "in"), scratch_folder(spark, "cp")
+    asked = [Size(), Mean("x"), Uniqueness(["t", "k"]), Histogram("t")]
+
+    def drain():
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        writer = stream.writeStream.foreachBatch(store.batch_writer(asked))
+        writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def merged():
+        return sorted(store.metrics(df, asked).collect())
+
+    def whole(rows):
+        return sorted(AnalysisRunner(spark).onData(rows).addAnalyzers(asked).asDataFrame().collect())
+
+    early, late = df.filter("part < 'p3'"), df.filter("part >= 'p3'")
+    for rows in (early, late):
+        rows.repartition(2).write.mode("append").parquet(source)
+        drain()
+        expected = whole(early if rows is early else df)
+        assert [(r[:3], pytest.approx(r.value)) for r in merged()] == [(r[:3], r.value) for r in expected]
+    files = spark.read.schema(df.schema).parquet(source)
+    store.save(files.limit(0), asked, "batch-9")
+    assert [r[:3] for r in merged()] == [r[:3] for r in whole(df)]
+
+
 def test_sketches_merge(spark):
     df = spark.range(20_000).selectExpr("id % 5000 AS u", "cast(id AS double) AS v", "id % 7 AS p")
     store = StateStore(spark, scratch_folder(spark, "s"))
