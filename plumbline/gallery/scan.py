@@ -90,6 +90,49 @@ PROFILE_SCAN = expected(
 )
 
 
+LINEITEM_NUMBERS = [
+    "l_orderkey",
+    "l_partkey",
+    "l_suppkey",
+    "l_linenumber",
+    "l_quantity",
+    "l_extendedprice",
+    "l_discount",
+    "l_tax",
+]
+LINEITEM_COLUMNS = [*LINEITEM_NUMBERS, "l_returnflag", "l_linestatus", "l_shipdate"]
+STATISTICS = {
+    Minimum: "min",
+    Maximum: "max",
+    Mean: "avg",
+    StandardDeviation: "stddev_pop",
+}
+
+
+def lineitem_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Every column's completeness and every number's statistics: 44 metrics in one aggregation."""
+    metrics = [Size(), *[Completeness(column) for column in LINEITEM_COLUMNS]]
+    metrics += [metric(column) for column in LINEITEM_NUMBERS for metric in STATISTICS]
+    return analysed(table(spark, folder, "lineitem"), metrics, 4)
+
+
+LINEITEM_PROFILE = expected(
+    [
+        ("Dataset", "*", "Size", "SELECT count(*) FROM lineitem"),
+        *[
+            ("Column", column, "Completeness", f"SELECT count({column}) / count(*) FROM lineitem")
+            for column in LINEITEM_COLUMNS
+        ],
+        *[
+            ("Column", column, metric.__name__, f"SELECT {function}({column}) FROM lineitem")
+            for column in LINEITEM_NUMBERS
+            for metric, function in STATISTICS.items()
+        ],
+    ],
+    4,
+)
+
+
 def basic_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Under one common condition, which filters the scan."""
     metrics = [
@@ -289,6 +332,7 @@ UNION ALL SELECT * FROM (VALUES
 
 QUERIES = {
     "profile_scan": Query(profile_scan, PROFILE_SCAN),
+    "lineitem_profile": Query(lineitem_profile, LINEITEM_PROFILE),
     "basic_statistics": Query(
         basic_statistics,
         expected(

@@ -152,12 +152,17 @@ def exact_quantiles(
     def running() -> dict[tuple, _Search]:
         return {key: search for key, search in searches.items() if not search.done}
 
-    while running():
-        _propose(rows, running())
-        counted = _together(rows, [search.counts() for search in running().values()]) if running() else []
-        for search, counts in zip(running().values(), counted):
-            search.narrow(counts)
+    def settle() -> None:
         few = [search for search in running().values() if search.open_rows <= FEW_ROWS]
         if few:
             _pick(rows, few)
+
+    while running():
+        _propose(rows, running())
+        settle()
+        if running():
+            counted = _together(rows, [search.counts() for search in running().values()])
+            for search, counts in zip(running().values(), counted):
+                search.narrow(counts)
+            settle()
     return {key: search.answer for key, search in searches.items()}

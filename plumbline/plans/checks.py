@@ -51,6 +51,11 @@ def close_to(expected: float, tolerance: float = 1e-9) -> Callable[[float], bool
 Assertion = Callable[[float], bool] | str | Against
 
 
+def as_spark_text(value: object) -> str:
+    """A Python value as Spark casts it to text."""
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
 def is_one(value: float) -> bool:
     return value == 1.0
 
@@ -103,7 +108,7 @@ class Check:
             metric = ContainedInTable(column, allowed)
             detail = allowed.columns[0]
         else:
-            metric = ContainedIn(column, tuple(str(value) for value in allowed if value is not None))
+            metric = ContainedIn(column, tuple(as_spark_text(v) for v in allowed if v is not None))
             detail = "[" + ",".join(metric.allowed) + "]"
         return self._add("isContainedIn", metric, assertion, hint, detail)
 

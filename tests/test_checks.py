@@ -1,6 +1,7 @@
 """Constraints that pass and fail on purpose, levels and statuses."""
 
 import json
+from datetime import date
 
 import employees
 import pytest
@@ -60,6 +61,13 @@ def test_each_constraint_can_pass_and_fail(staff, good, bad):
     assert not any(passes(df, bad))
 
 
+def test_allowed_values_of_any_type(spark):
+    df = spark.sql("SELECT true AS b, date'2024-01-02' AS d, 1.5D AS x UNION ALL SELECT NULL, NULL, 2D")
+    good = lambda c: c.isContainedIn("b", [True]).isContainedIn("d", [date(2024, 1, 2)]).isContainedIn("x", [1.5, 2.0])
+    assert passes(df, good) == [True] * 3
+    assert passes(df, lambda c: c.isContainedIn("b", [False]).isContainedIn("x", [None])) == [False] * 2
+
+
 def test_allowed_values_from_a_table(spark, staff):
     months = spark.range(1, 14).selectExpr("id AS months_val")
     assert passes(staff, lambda c: c.isContainedIn("Month of Joining", months)) == [True]
