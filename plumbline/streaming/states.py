@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_text, find_field, quoted
 from plumbline.operators import metrics as M
-from plumbline.operators.frequency import COUNT, resolved, rows_of_counts, value_counts
+from plumbline.operators.frequency import COUNT, resolved, rows_of_counts, sharing_counts, value_counts
 from plumbline.operators.rows import Placed, aggregate_rows
 from plumbline.operators.validation import Validator
 from plumbline.plans.evaluation import METRIC_COLUMNS
@@ -197,11 +197,8 @@ class StateStore:
         if scan:
             states = self._read(self._scan_path, SCAN_SCHEMA, parts)
             frames.append(scan_values(states, scan))
-        sets: dict[tuple, list[Placed]] = {}
-        for one in placed:
-            if one.metric.family == "frequency":
-                sets.setdefault((resolved(like, one.metric), one.metric.where), []).append(one)
-        for (columns, where), group in sets.items():
+        counted = [one for one in placed if one.metric.family == "frequency"]
+        for (columns, where), group in sharing_counts(like, counted).items():
             states = self._read(self._counts_path, COUNTS_SCHEMA, parts)
             of_set = F.col("column_set") == _column_set(columns, where)
             states = states.filter(of_set & (F.col("count") > 0))
