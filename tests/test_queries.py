@@ -5,6 +5,7 @@ from conftest import FOLDER
 from oracle import connect, duck_table, spark_table
 
 import __spark_entry__ as entry
+from plumbline.gallery import ALL
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +13,7 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query(spark, duck, name):
     expected = duck_table(duck, entry.oracle_sql()[name])
     found = spark_table(entry.queries()[name](spark, FOLDER))
