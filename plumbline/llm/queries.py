@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.gallery.base import Query, table
-from plumbline.llm import secrets
+from plumbline.llm import secrets, simhash
+
+
+def op3_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.report(table(spark, folder, "documents"))
 
 
 def op6_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,5 +17,6 @@ def op6_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_simhash_near_copies": Query(op3_simhash_near_copies),
     "op6_secret_ledger": Query(op6_secret_ledger, secrets.ORACLE_SQL),
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHARACTERS_AT_ONCE = 1_000_000
@@ -18,8 +20,20 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package, wherever the driver found it.
+
+    Workers on other machines get it as any application's modules, by ``--py-files`` say.
+    """
+    place = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if place not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([place, *filter(None, paths)])
+
+
 def texts_of(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Only ``doc_id`` and ``text``, so that other columns of any name do no harm."""
+    importable(df.sparkSession)
     return df.select(
         column(id_column).cast("long").alias("doc_id"), column(text_column).cast("string").alias("text")
     )
