@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.gallery.base import Query, table
-from plumbline.llm import contamination, secrets, simhash
+from plumbline.llm import contamination, language, secrets, simhash
 
 
 def op3_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op6_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(spark, table(spark, folder, "documents"))
 
 
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.report(table(spark, folder, "documents"))
+
+
 def op10_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -23,5 +27,6 @@ def op10_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_simhash_near_copies": Query(op3_simhash_near_copies),
     "op6_secret_ledger": Query(op6_secret_ledger, secrets.ORACLE_SQL),
+    "op9_language": Query(op9_language),
     "op10_benchmark_passages": Query(op10_benchmark_passages),
 }
