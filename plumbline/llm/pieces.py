@@ -15,8 +15,9 @@ NEVER = -1e8
 class Pieces:
     """The ordinary pieces of a SentencePiece model file: their texts, ids and scores.
 
-    Control pieces, byte pieces and those that the file marks as never to be used (a score below
-    ``NEVER``) are not among them; ``byte_id`` says which piece stands for each byte.
+    Control pieces and byte pieces are not among them; ``byte_id`` says which piece stands for each
+    byte.  Pieces of blanks alone have a score below ``NEVER`` in the file, as a last resort; they
+    take ``low`` here, which is also the score of a character that is no piece.
     """
 
     def __init__(self, model_file: str) -> None:
@@ -28,11 +29,12 @@ class Pieces:
             i
             for i in range(size)
             if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
-            and model.get_score(i) > NEVER
         ]
         self.ids = np.array(usual, dtype=np.int64)
         self.texts = [model.id_to_piece(i) for i in usual]
-        self.scores = np.array([model.get_score(i) for i in usual])
+        scores = np.array([model.get_score(i) for i in usual])
+        self.low = float(scores[scores > NEVER].min()) - 10
+        self.scores = np.maximum(scores, self.low)
         self.byte_id = np.array([model.piece_to_id(f"<0x{i:02X}>") for i in range(256)], dtype=np.int64)
         self.size = size
         self.longest = max(map(len, self.texts))
