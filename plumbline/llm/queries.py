@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.gallery.base import Query, table
-from plumbline.llm import contamination, language, secrets, sentencepieces, simhash
+from plumbline.llm import contamination, language, secrets, sentencepieces, simhash, tokenfiles
 
 
 def op3_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op4_sentencepiece_n_best(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepieces.report(table(spark, folder, "documents"))
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenfiles.report(table(spark, folder, "documents"))
+
+
 def op6_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(spark, table(spark, folder, "documents"))
 
@@ -31,6 +35,7 @@ def op10_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_simhash_near_copies": Query(op3_simhash_near_copies),
     "op4_sentencepiece_n_best": Query(op4_sentencepiece_n_best),
+    "op5_token_files": Query(op5_token_files),
     "op6_secret_ledger": Query(op6_secret_ledger, secrets.ORACLE_SQL),
     "op9_language": Query(op9_language),
     "op10_benchmark_passages": Query(op10_benchmark_passages),
