@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.gallery.base import Query, table
-from plumbline.llm import contamination, language, secrets, sentencepieces, simhash, tokenfiles
+from plumbline.llm import contamination, language, secrets, sentencepieces, simhash, tokenfiles, toxicity
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op3_simhash_near_copies(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,6 +37,7 @@ def op10_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": Query(op2_toxicity),
     "op3_simhash_near_copies": Query(op3_simhash_near_copies),
     "op4_sentencepiece_n_best": Query(op4_sentencepiece_n_best),
     "op5_token_files": Query(op5_token_files),
