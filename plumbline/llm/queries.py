@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.gallery.base import Query, table
-from plumbline.llm import contamination, language, secrets, sentencepieces, simhash, tokenfiles, toxicity
+from plumbline.llm import contamination, language, neighbours, secrets, sentencepieces, simhash, tokenfiles, toxicity
 
 
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op6_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_report(spark, table(spark, folder, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.report(table(spark, folder, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Query] = {
     "op4_sentencepiece_n_best": Query(op4_sentencepiece_n_best),
     "op5_token_files": Query(op5_token_files),
     "op6_secret_ledger": Query(op6_secret_ledger, secrets.ORACLE_SQL),
+    "op7_neighbours": Query(op7_neighbours),
     "op9_language": Query(op9_language),
     "op10_benchmark_passages": Query(op10_benchmark_passages),
 }
