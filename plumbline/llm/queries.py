@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.gallery.base import Query, table
-from plumbline.llm import contamination, language, neighbours, secrets, sentencepieces, simhash, tokenfiles, toxicity
+from plumbline.llm import contamination, language, licenses, neighbours, resampling, secrets, sentencepieces, simhash, tokenfiles, toxicity
+
+
+def op1_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,6 +37,12 @@ def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"))
 
 
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.licenses(table(spark, folder, "documents"))
+    told = F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return found.withColumn("spans", F.array_join(told, ","))
+
+
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.report(table(spark, folder, "documents"))
 
@@ -41,12 +52,14 @@ def op10_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_importance_resampling": Query(op1_importance_resampling),
     "op2_toxicity": Query(op2_toxicity),
     "op3_simhash_near_copies": Query(op3_simhash_near_copies),
     "op4_sentencepiece_n_best": Query(op4_sentencepiece_n_best),
     "op5_token_files": Query(op5_token_files),
     "op6_secret_ledger": Query(op6_secret_ledger, secrets.ORACLE_SQL),
     "op7_neighbours": Query(op7_neighbours),
+    "op8_licenses": Query(op8_licenses),
     "op9_language": Query(op9_language),
     "op10_benchmark_passages": Query(op10_benchmark_passages),
 }
