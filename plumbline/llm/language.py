@@ -212,6 +212,9 @@ class Scorer:
         return sums(each, bounds)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        languages = self.model.languages
+        if not languages:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         if len(self.numbers) > WORDS_KEPT:
             self.numbers.forget()
             self.kept = self.kept[:0]
@@ -220,9 +223,6 @@ class Scorer:
             self.kept = np.concatenate([self.kept, self.rows(self.numbers.fresh)])
             self.numbers.fresh.clear()
         total = np.stack([sums(self.kept[ids, k], bounds) for k in range(self.kept.shape[1])], axis=1)
-        languages = self.model.languages
-        if not languages:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         logs = total[:, :-1] + np.log(self.model.prior)
         best = logs.argmax(axis=1)
         with np.errstate(under="ignore"):

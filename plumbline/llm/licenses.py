@@ -148,9 +148,9 @@ class Scanner:
             end = start + 1
             while end < len(table) and (table[end, :2] == table[start, :2]).all() and table[end, 2] - table[end - 1, 2] <= band:
                 end += 1
-            low = max(0, first - band)
-            last = int(table[end - 1, 2]) + band
-            words = ids[bounds[text] + low : min(bounds[text + 1], bounds[text] + last + len(self.texts[template]))]
+            low, last = first - band, int(table[end - 1, 2]) + band
+            stop = min(bounds[text + 1], bounds[text] + last + len(self.texts[template]))
+            words = np.concatenate([np.full(max(0, -low), -1), ids[bounds[text] + max(0, low) : stop]])
             if np.isin(words, self.texts[template]).sum() >= self.coverage * len(self.texts[template]):
                 pairs = align(self.texts[template], words, last - low)
                 if len(pairs) >= self.coverage * len(self.texts[template]) - 1e-9:
