@@ -32,7 +32,7 @@ VOCABULARY = "word_bpe_49k.json"
 END = 2
 MAGIC = b"PFORIDS1"
 TAIL = struct.Struct("<QQQQ")
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
 TEXT_IN_FILE = 32_000_000
 WRITTEN = {"file": pa.string(), "place": pa.int64(), "docs": pa.int64(), "tokens": pa.int64()}
 READ = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary()}
@@ -214,7 +214,7 @@ def write(
         place = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))))
     ordered = (
         rows.select(place.cast("int").alias("place"), "doc_id", "text")
-        .repartition(max(1, len(edges) + 1), "place")
+        .repartitionByRange(max(1, len(edges) + 1), "place")
         .sortWithinPartitions("place", "doc_id", "text")
     )
     target = qualified(spark, folder)
