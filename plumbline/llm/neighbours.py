@@ -46,7 +46,7 @@ class Index:
         self.lines = lines
         lift = np.sqrt(np.maximum(0, length**2 - (vectors**2).sum(axis=1)))
         values = vectors @ lines[:-1] + lift[:, None] * lines[-1]
-        self.sorted = np.sort(values, axis=0)
+        self.sorted = np.asfortranarray(np.sort(values, axis=0))
         self.rank = np.argsort(np.argsort(values, axis=0, kind="stable"), axis=0).T.astype(np.uint32)
         if len(vectors) < 1 << 16:
             self.rank = self.rank.astype(np.uint16)
@@ -64,9 +64,13 @@ class Index:
         while len(active):
             low, high = self.windows(values[active], width[active])
             count = np.zeros((len(active), n), dtype=np.uint8 if m < 256 else np.uint16)
+            place = np.empty((len(active), n), dtype=self.rank.dtype)
+            inside = np.empty((len(active), n), dtype=bool)
             for j in range(m):
                 # An unsigned difference is below the window's size on its inside alone.
-                count += (self.rank[j] - low[:, j, None]) < (high - low)[:, j, None]
+                np.subtract(self.rank[j], low[:, j, None], out=place)
+                np.less(place, (high - low)[:, j, None], out=inside)
+                np.add(count, inside, out=count, casting="unsafe")
             chosen[active] = count >= needed
             done = (chosen[active].sum(axis=1) >= enough) | ((high - low).min(axis=1) >= n)
             active = active[~done]
@@ -81,26 +85,29 @@ class Index:
         return low, high
 
     def first_width(self, values: np.ndarray) -> np.ndarray:
-        """The narrowest windows at which it pays to count: those that hold somewhat less than is needed on average."""
-        wanted = max(0.0, self.settings.collisions - 0.12) * len(self.vectors) * values.shape[1]
-        width = np.full(len(values), 1e-3 * self.length)
-        open_ = np.arange(len(values))
-        while len(open_):
-            low, high = self.windows(values[open_], width[open_])
-            held = (high.astype(np.int64) - low).sum(axis=1)
-            open_ = open_[held < wanted]
-            width[open_] *= 1.1
-        return width
+        """The widths to begin with: windows that hold somewhat less than is needed, on the average of some lines."""
+        wanted = max(0.0, self.settings.collisions - 0.12) * len(self.vectors)
+        some = range(0, values.shape[1], max(1, values.shape[1] // 16))
+        low, high = np.zeros(len(values)), np.full(len(values), float(np.ptp(self.sorted) + np.ptp(values) + 1e-3))
+        for _ in range(12):
+            middle = (low + high) / 2
+            held = np.zeros(len(values))
+            for j in some:
+                line = self.sorted[:, j]
+                held += np.searchsorted(line, values[:, j] + middle) - np.searchsorted(line, values[:, j] - middle)
+            few = held < wanted * len(some)
+            low, high = np.where(few, middle, low), np.where(few, high, middle)
+        return np.maximum(low, 1e-3 * self.length)
 
     def nearest(self, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> dict[str, np.ndarray]:
         rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for start in range(0, len(queries), 64):
-            part = queries[start : start + 64]
+        for start in range(0, len(queries), 32):
+            part = queries[start : start + 32]
             for i, chosen in enumerate(self.candidates(part)):
                 own = query_ids[start + i]
                 here = np.nonzero(chosen & (ids != own))[0]
                 # Row by row, so that equal vectors have equal scores wherever they stand.
-                score = (self.vectors[here] * part[i]).sum(axis=1)
+                score = np.einsum("ij,j->i", self.vectors[here], part[i])
                 best = np.lexsort([ids[here], -score])[:k]
                 rows.append((np.full(len(best), own), ids[here[best]], score[best]))
         query, found, score = (np.concatenate(x) for x in zip(*rows, strict=True))
