@@ -25,7 +25,7 @@ LETTER_RUN = re.compile(r"[^\W\d_]+")
 SCALE = 1000.0
 UNKNOWN = 1e-7
 LONGEST = 64
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 UNDETERMINED = "und"
 COUNTED = {"lang": pa.string(), "word": pa.string(), "n": pa.int64()}
 EXPECTED = {"lang": pa.int64(), "piece": pa.int64(), "n": pa.float64()}
@@ -162,7 +162,7 @@ def train(
 
 
 def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, texts in portions(batches, 8_000_000):
+    for part, texts in portions(batches, 4_000_000):
         by_lang: dict[str, Counter] = {}
         for lang, text in zip(part.column(0).to_pylist(), texts, strict=True):
             by_lang.setdefault(lang, Counter()).update(raw_words(text))

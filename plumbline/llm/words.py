@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def portions(
         if not batch.num_rows:
             continue
         texts = batch.column(batch.num_columns - 1)
-        sizes = np.cumsum(texts.cast(pa.large_binary()).to_pandas().map(lambda x: len(x) if x else 0).to_numpy())
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             before = sizes[start - 1] if start else 0
