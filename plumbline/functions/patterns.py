@@ -11,6 +11,7 @@ SOCIAL_SECURITY_NUMBER = (
     r"([^0-9]|$)"
 )
 
-INTEGRAL = r"^(-|[+])? ?[0-9]+$"
-FRACTIONAL = r"^(-|[+])? ?[0-9]*[.][0-9]+$"
+# Whole texts, for which ``$`` would not do: in Java it also stands before a last line break.
+INTEGRAL = r"\A[-+]?[0-9]+\z"
+FRACTIONAL = r"\A[-+]?([0-9]+[.][0-9]*|[.][0-9]+)\z"
 BOOLEANS = ("true", "false")

@@ -1,6 +1,6 @@
 """Example queries over the test tables, each with the same question asked in SQL."""
 
-from plumbline.gallery import advice, counts, parts, records, rulings, scan, whole
+from plumbline.gallery import advice, counts, parts, proofs, records, rulings, scan, whole
 from plumbline.gallery.base import Query
 
 ALL: dict[str, Query] = {
@@ -11,4 +11,5 @@ ALL: dict[str, Query] = {
     **records.QUERIES,
     **advice.QUERIES,
     **parts.QUERIES,
+    **proofs.QUERIES,
 }

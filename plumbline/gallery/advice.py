@@ -16,7 +16,7 @@ ORDERS_TAILED = Derived(
     "orders",
     {
         "priority": "nullif(o_orderpriority, '1-URGENT')",
-        "number_text": "cast(cast(o_totalprice AS bigint) AS STRING)",
+        "number_text": "concat('-9000000000000000', cast(cast(o_totalprice AS bigint) AS STRING))",
         "price_text": "concat(cast(o_orderkey AS STRING), '.5')",
         "tailed": "CASE WHEN o_orderkey <= 40 THEN concat('rare', cast(o_orderkey AS STRING)) "
         "ELSE concat('common', cast(o_orderkey % 3 AS STRING)) END",
@@ -96,6 +96,9 @@ TYPES = (
 )
 
 
+TWICE = "'" * 2
+
+
 def _types() -> str:
     rows = []
     for column in ORDERS_TEXTS:
@@ -103,8 +106,10 @@ def _types() -> str:
         rows.append(
             f"SELECT '{column}' AS column_name, 'RetainType' AS rule, "
             f"'.hasDataType(''{column}'', ''' || kind || ''')' AS \"constraint\", "
-            f"'`{column}` IS NULL OR try_cast(`{column}` AS ' || CASE kind WHEN 'Integral' THEN 'bigint' "
-            "WHEN 'Fractional' THEN 'double' ELSE 'boolean' END || ') IS NOT NULL' AS sql_predicate, "
+            f"'`{column}` IS NULL OR `{column}` ' || CASE kind "
+            f"WHEN 'Integral' THEN 'RLIKE r{TWICE}{patterns.INTEGRAL}{TWICE}' "
+            f"WHEN 'Fractional' THEN 'RLIKE r{TWICE}{patterns.INTEGRAL}|{patterns.FRACTIONAL}{TWICE}' "
+            f"ELSE 'IN ({TWICE}true{TWICE}, {TWICE}false{TWICE})' END AS sql_predicate, "
             f"1.0::DOUBLE AS current_value FROM {source} WHERE kind IS NOT NULL"
         )
     return " UNION ALL ".join(rows)

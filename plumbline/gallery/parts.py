@@ -192,7 +192,7 @@ def incremental_stream(spark: SparkSession, folder: str) -> DataFrame:
         spark.readStream.schema(still.schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     )
     query = (
-        stream.writeStream.foreachBatch(store.batch_writer(metrics))
+        stream.writeStream.foreachBatch(store.batch_writer(metrics, "events"))
         .option("checkpointLocation", scratch_folder(spark, "stream"))
         .trigger(availableNow=True)
         .start()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,10 @@ from plumbline.plans.verification import VerificationResult, VerificationSuite
 from plumbline.session import scratch_folder
 from plumbline.sources.frames import read_csv
 from plumbline.sources.history import MILLIS_PER_DAY, FileSystemMetricsRepository, ResultKey
-from plumbline.sources.stamped import MetricTable
+from plumbline.sources.stamped import MetricTable, with_text_time
+from plumbline.sources.stamped import stamp_and_append as stamp_and_append_to
+
+STAMPED_AT = datetime(2024, 5, 1, 12, 30, 0, 250_000, tzinfo=UTC)
 
 DAY_MILLIS = f"datediff(cast(ts AS date), DATE '1970-01-01') * {MILLIS_PER_DAY}L"
 
@@ -66,7 +70,7 @@ def history_upsert(spark: SparkSession, folder: str) -> DataFrame:
     events, repository = table(spark, folder, "events"), _repository(spark)
     repository.save_keyed(_daily(events.filter("event_type <> 'click'"), "Size", "Mean"))
     repository.save_keyed(_daily(events, "Size", "Maximum"))
-    return rounded(repository.load().getSuccessMetricsAsDataFrame())
+    return rounded(repository.load().getSuccessMetricsAsDataFrame(["tag"]))
 
 
 HISTORY_UPSERT = f"""
@@ -76,7 +80,7 @@ WITH e AS (SELECT *, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) * {MIL
            UNION ALL SELECT 'Column', 'value', 'Mean', avg(value), day FROM e
            WHERE event_type <> 'click' GROUP BY day
            UNION ALL SELECT 'Column', 'value', 'Maximum', max(value), day FROM e GROUP BY day)
-SELECT entity, instance, name, round(value, 6) AS value, CAST(day AS BIGINT) AS dataset_date, 'daily' AS tag
+SELECT entity, instance, name, round(value, 6) AS value, NULL AS filter, CAST(day AS BIGINT) AS dataset_date, 'daily' AS tag
 FROM m
 """
 
@@ -98,7 +102,7 @@ WITH e AS (SELECT *, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) * {MIL
      m AS (SELECT 'Dataset' AS entity, '*' AS instance, 'Size' AS name, CAST(count(*) AS DOUBLE) AS value, day
            FROM e GROUP BY day
            UNION ALL SELECT 'Column', 'value', 'Mean', avg(value), day FROM e GROUP BY day)
-SELECT entity, instance, name, round(value, 6) AS value, CAST(day AS BIGINT) AS dataset_date, 'daily' AS tag
+SELECT entity, instance, name, round(value, 6) AS value, NULL AS filter, CAST(day AS BIGINT) AS dataset_date, 'daily' AS tag
 FROM m, span WHERE day <= middle
 """
 
@@ -107,19 +111,20 @@ def analysis_to_history(spark: SparkSession, folder: str) -> DataFrame:
     """An analysis and a verification, each saved under its key and tags, read back together."""
     orders, repository = ORDERS.frame(spark, folder), _repository(spark)
     analysis_key = ResultKey(spark, 1_700_000_000_000, {"tag": "analyzer"})
-    check_key = ResultKey(spark, 1_700_000_100_000, {"tag": "verification_Check", "by": "suite"})
+    check_key = ResultKey(spark, 1_700_000_100_000, {"tag": "gate", "by": "suite"})
     for metrics in ([Size()], [Mean("o_totalprice"), Completeness("priority"), Size()]):
         runner = AnalysisRunner(spark).onData(orders).addAnalyzers(metrics)
         runner.useRepository(repository).saveOrAppendResult(analysis_key).run()
-    check = Check(spark, CheckLevel.Error, "Review Check").hasSize("value > 0").isUnique("o_orderkey")
+    check = Check(spark, CheckLevel.Error, "orders arrive").hasSize("value > 0").isUnique("o_orderkey")
     suite = VerificationSuite(spark).onData(orders).addCheck(check)
     suite.useRepository(repository).saveOrAppendResult(check_key).run()
-    return rounded(repository.load().before(ResultKey.current_milli_time()).getSuccessMetricsAsDataFrame())
+    history = repository.load().before(ResultKey.current_milli_time())
+    return rounded(history.getSuccessMetricsAsDataFrame(["by", "tag"]))
 
 
 ANALYSIS_TO_HISTORY = f"""
 SELECT *, CASE WHEN tag = 'analyzer' THEN 1700000000000 ELSE 1700000100000 END AS dataset_date FROM (
-  SELECT *, NULL AS by, 'analyzer' AS tag FROM ({
+  SELECT *, NULL AS filter, NULL AS by, 'analyzer' AS tag FROM ({
     expected(
         [
             ("Dataset", "*", "Size", "SELECT count(*) FROM orders"),
@@ -128,7 +133,7 @@ SELECT *, CASE WHEN tag = 'analyzer' THEN 1700000000000 ELSE 1700000100000 END A
         ]
     )
 })
-  UNION ALL SELECT *, 'suite', 'verification_Check' FROM ({
+  UNION ALL SELECT *, NULL, 'suite', 'gate' FROM ({
     expected(
         [
             ("Dataset", "*", "Size", "SELECT count(*) FROM orders"),
@@ -146,23 +151,24 @@ SELECT *, CASE WHEN tag = 'analyzer' THEN 1700000000000 ELSE 1700000100000 END A
 
 
 def stamp_and_append(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics of an analysis and of a verification in one stamped table."""
+    """Metrics of an analysis and of a verification in one stamped table; a repeated append adds nothing."""
     name = f"metrics_{uuid.uuid4().hex}"
     target = MetricTable(spark, name, scratch_folder(spark, "metrics"))
     orders = table(spark, folder, "orders")
     metrics = [Size(), Mean("o_totalprice"), ApproxCountDistinct("o_orderstatus")]
     result = AnalysisRunner(spark).onData(orders).addAnalyzers(metrics).run()
     found = AnalyzerContext.successMetricsAsDataFrame(spark, result)
-    AnalyzerContext.addUpdateRepository(spark, "analyzer", found, target)
-    check = Check(spark, CheckLevel.Warning, "Review Check").isComplete("o_custkey")
+    for _ in range(2):
+        stamp_and_append_to(found, target, "analyzer", STAMPED_AT, "first run")
+    check = Check(spark, CheckLevel.Warning, "orders are whole").isComplete("o_custkey")
     verified = VerificationSuite(spark).onData(orders).addCheck(check).run()
     found = VerificationResult.successMetricsAsDataFrame(spark, verified)
-    VerificationResult.addUpdateRepository(spark, "verification_Check", found, target)
-    return rounded(target.read().filter(F.col("timestamp").isNotNull()).drop("timestamp"))
+    stamp_and_append_to(found, target, "gate", STAMPED_AT, "second run")
+    return rounded(with_text_time(target.read()))
 
 
 STAMPED = f"""
-SELECT *, 'analyzer' AS tag FROM ({
+SELECT *, 'analyzer' AS tag, '2024-05-01 12:30:00.250000' AS timestamp, 'first run' AS run FROM ({
     expected(
         [
             ("Dataset", "*", "Size", "SELECT count(*) FROM orders"),
@@ -171,18 +177,18 @@ SELECT *, 'analyzer' AS tag FROM ({
         ]
     )
 })
-UNION ALL SELECT *, 'verification_Check' FROM ({
+UNION ALL SELECT *, 'gate', '2024-05-01 12:30:00.250000', 'second run' FROM ({
     expected([("Column", "o_custkey", "Completeness", "SELECT count(o_custkey) / count(*) FROM orders")])
 })
 """
 
 # The customer table under headers with blanks, dots and parentheses.
 HEADERS = {
-    "c_custkey": "Phone No. ",
-    "c_name": "First Name",
-    "c_nationkey": "Age in Yrs.",
-    "c_acctbal": "Salary",
-    "c_mktsegment": "Segment (current)",
+    "c_custkey": "Member no. ",
+    "c_name": "Name given",
+    "c_nationkey": "Home (code).",
+    "c_acctbal": "Balance due",
+    "c_mktsegment": "Trade / branch",
 }
 
 
@@ -198,18 +204,18 @@ def csv_typed(spark: SparkSession, folder: str) -> DataFrame:
     text = read_csv(spark, _customer_csv(spark, folder), ", ".join(f"`{h}` string" for h in HEADERS.values()))
     typed = cast_columns(
         text,
-        {"Phone No. ": "int", "Age in Yrs.": "double", "salary": "double", "First Name": "int"},
+        {"Member no. ": "int", "Home (code).": "double", "balance DUE": "double", "Name given": "int"},
     )
-    named = rename_columns(typed, {"Phone No. ": "Phone No", "Age in Yrs.": "Age in Yrs"})
+    named = rename_columns(typed, {"Member no. ": "Member no", "Home (code).": "Home (code)"})
     metrics = [
         Size(),
-        Completeness("Phone No"),
-        Completeness("First Name"),
-        Mean("Age in Yrs"),
-        Sum("Salary"),
-        Maximum("Phone No"),
-        Distinctness(["Age in Yrs", "segment (CURRENT)"]),
-        Compliance("well paid", "`Salary` >= 5000 AND `Age in Yrs` > 10"),
+        Completeness("Member no"),
+        Completeness("Name given"),
+        Mean("Home (code)"),
+        Sum("Balance due"),
+        Maximum("Member no"),
+        Distinctness(["Home (code)", "trade / BRANCH"]),
+        Compliance("well off", "`Balance due` >= 5000 AND `Home (code)` > 10"),
     ]
     return rounded(AnalysisRunner(spark).onData(named).addAnalyzers(metrics).asDataFrame(), 2)
 
@@ -217,21 +223,21 @@ def csv_typed(spark: SparkSession, folder: str) -> DataFrame:
 CSV_TYPED = expected(
     [
         ("Dataset", "*", "Size", "SELECT count(*) FROM customer"),
-        ("Column", "Phone No", "Completeness", "SELECT count(c_custkey) / count(*) FROM customer"),
-        ("Column", "First Name", "Completeness", "SELECT count(TRY_CAST(c_name AS INT)) / count(*) FROM customer"),
-        ("Column", "Age in Yrs", "Mean", "SELECT avg(c_nationkey) FROM customer"),
-        ("Column", "Salary", "Sum", "SELECT sum(c_acctbal) FROM customer"),
-        ("Column", "Phone No", "Maximum", "SELECT max(c_custkey) FROM customer"),
+        ("Column", "Member no", "Completeness", "SELECT count(c_custkey) / count(*) FROM customer"),
+        ("Column", "Name given", "Completeness", "SELECT count(TRY_CAST(c_name AS INT)) / count(*) FROM customer"),
+        ("Column", "Home (code)", "Mean", "SELECT avg(c_nationkey) FROM customer"),
+        ("Column", "Balance due", "Sum", "SELECT sum(c_acctbal) FROM customer"),
+        ("Column", "Member no", "Maximum", "SELECT max(c_custkey) FROM customer"),
         (
             "Multicolumn",
-            "Age in Yrs,segment (CURRENT)",
+            "Home (code),trade / BRANCH",
             "Distinctness",
             "SELECT count(*) / sum(c) FROM "
             "(SELECT count(*) AS c FROM customer GROUP BY c_nationkey, c_mktsegment)",
         ),
         (
             "Column",
-            "well paid",
+            "well off",
             "Compliance",
             "SELECT count(*) FILTER (WHERE c_acctbal >= 5000 AND c_nationkey > 10) / count(*) FROM customer",
         ),
@@ -244,9 +250,9 @@ def csv_inferred(spark: SparkSession, folder: str) -> DataFrame:
     read = read_csv(spark, _customer_csv(spark, folder), infer=True)
     metrics = [
         Size(),
-        Minimum("Salary"),
-        Correlation("Salary", "Age in Yrs."),
-        MutualInformation(["Age in Yrs.", "Segment (current)"]),
+        Minimum("Balance due"),
+        Correlation("Balance due", "Home (code)."),
+        MutualInformation(["Home (code).", "Trade / branch"]),
     ]
     return rounded(AnalysisRunner(spark).onData(read).addAnalyzers(metrics).asDataFrame())
 
@@ -254,11 +260,11 @@ def csv_inferred(spark: SparkSession, folder: str) -> DataFrame:
 CSV_INFERRED = expected(
     [
         ("Dataset", "*", "Size", "SELECT count(*) FROM customer"),
-        ("Column", "Salary", "Minimum", "SELECT min(c_acctbal) FROM customer"),
-        ("Multicolumn", "Salary,Age in Yrs.", "Correlation", "SELECT corr(c_acctbal, c_nationkey) FROM customer"),
+        ("Column", "Balance due", "Minimum", "SELECT min(c_acctbal) FROM customer"),
+        ("Multicolumn", "Balance due,Home (code).", "Correlation", "SELECT corr(c_acctbal, c_nationkey) FROM customer"),
         (
             "Multicolumn",
-            "Age in Yrs.,Segment (current)",
+            "Home (code).,Trade / branch",
             "MutualInformation",
             "WITH ab AS (SELECT c_nationkey AS a, c_mktsegment AS b, count(*) AS c FROM customer GROUP BY 1, 2), "
             "m AS (SELECT c, sum(c) OVER () AS n, sum(c) OVER (PARTITION BY a) AS ca, "

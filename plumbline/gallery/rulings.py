@@ -274,10 +274,10 @@ DYNAMIC = _without_messages(
 def _suite(spark: SparkSession, folder: str) -> Verified:
     statuses = value_set(table(spark, folder, "orders"), "o_orderstatus")
     review = (
-        Check(spark, CheckLevel.Error, "Review Check")
+        Check(spark, CheckLevel.Error, "orders gate")
         .hasSize(lambda n: n >= 1000)
         .isComplete("o_orderkey")
-        .isComplete("priority", "No values should be empty")
+        .isComplete("priority", "customers are needed")
         .isContainedIn("o_orderstatus", statuses)
         .isUnique("o_orderkey")
     )
@@ -304,11 +304,11 @@ COMPLETE = _share("priority IS NOT NULL", ORDERS.sql)
 SUITE = _without_messages(
     outcomes_sql(
         [
-            ("Review Check", "Error", "hasSize()", "SELECT count(*) >= 1000 FROM orders", "''"),
-            ("Review Check", "Error", "isComplete(o_orderkey)", "SELECT count(o_orderkey) = count(*) FROM orders", "''"),
-            ("Review Check", "Error", "isComplete(priority)", f"({COMPLETE}) = 1", "''"),
-            ("Review Check", "Error", "isContainedIn(o_orderstatus, o_orderstatus)", "TRUE", "''"),
-            ("Review Check", "Error", "isUnique(o_orderkey)", _unique("o_orderkey"), "''"),
+            ("orders gate", "Error", "hasSize()", "SELECT count(*) >= 1000 FROM orders", "''"),
+            ("orders gate", "Error", "isComplete(o_orderkey)", "SELECT count(o_orderkey) = count(*) FROM orders", "''"),
+            ("orders gate", "Error", "isComplete(priority)", f"({COMPLETE}) = 1", "''"),
+            ("orders gate", "Error", "isContainedIn(o_orderstatus, o_orderstatus)", "TRUE", "''"),
+            ("orders gate", "Error", "isUnique(o_orderkey)", _unique("o_orderkey"), "''"),
             ("Watch", "Warning", "hasCompleteness(priority)", f"({COMPLETE}) > 0.5", "''"),
             ("Watch", "Warning", "isContainedIn(o_orderstatus, [F,O,P])", f"({IN_STATUSES}) = 1", "''"),
         ]

@@ -1,14 +1,12 @@
-"""One run with every kind of metric, most of them under one row condition."""
+"""One run with metrics of every family over ``lineitem``, with and without a row condition."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.functions import patterns
-from plumbline.gallery.base import Derived, Query, analysed, expected
+from plumbline.gallery.base import LINEITEM, Query, analysed, expected
 from plumbline.operators.metrics import (
     ApproxCountDistinct,
-    ApproxQuantile,
     ApproxQuantiles,
     Completeness,
     Compliance,
@@ -21,6 +19,7 @@ from plumbline.operators.metrics import (
     Maximum,
     MaxLength,
     Mean,
+    Metric,
     Minimum,
     MinLength,
     MutualInformation,
@@ -32,132 +31,107 @@ from plumbline.operators.metrics import (
     UniqueValueRatio,
 )
 
-ORDERS = Derived(
-    "orders",
-    {
-        "priority": "nullif(o_orderpriority, '1-URGENT')",
-        "order text": "concat('nr ', cast(o_orderkey AS STRING), '@', o_orderstatus, '.example')",
-    },
-)
-# The same columns under a name that SQL needs no quotes for.
-PLAIN = ORDERS.sql.replace("AS order text", "AS order_text")
-W = "o_totalprice > 100000"
-PAIR = ["o_orderstatus", "priority"]
+SMALL = "l_quantity <= 20"
+FLAGS = ["l_returnflag", "l_linestatus"]
+NUMBERS = [Minimum, Maximum, Mean, Sum, StandardDeviation]
 
 
-def full_analysis(spark: SparkSession, folder: str) -> DataFrame:
-    metrics = [
-        Size(W),
-        Completeness("priority", W),
-        Compliance("dear and late", "o_totalprice > 150000 AND o_orderkey > 100", W),
-        ApproxCountDistinct("o_orderstatus", W),
-        ApproxQuantile("o_totalprice", 0.25, 0.0, W),
-        ApproxQuantiles("o_totalprice", [0.25, 0.5, 0.75, 0.9], 0.0),
-        Correlation("o_totalprice", "o_custkey", W),
-        CountDistinct(["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "priority"]),
-        DataType("priority", W),
-        Distinctness("O_CUSTKEY", W),
-        Distinctness(["o_custkey", "priority"], W),
-        Entropy("priority", W),
-        Histogram("priority", where=W),
-        Maximum("o_totalprice", W),
-        MaxLength("order text", W),
-        Mean("o_totalprice", W),
-        Minimum("o_totalprice", W),
-        MinLength("order text", W),
-        MutualInformation(PAIR, W),
-        StandardDeviation("o_totalprice", W),
-        Sum("o_totalprice", W),
-        Uniqueness(PAIR, W),
-        UniqueValueRatio(PAIR, W),
-        PatternMatch("order text", patterns.EMAIL, W),
+def _metrics() -> list[Metric]:
+    moments = [kind("l_tax", SMALL) for kind in NUMBERS] + [Correlation("l_tax", "l_discount")]
+    shares = [
+        Completeness("line"),
+        Completeness("supplier", SMALL),
+        Compliance("taxed", "l_tax > 0.01 AND l_discount < 0.09", SMALL),
+        PatternMatch("l_returnflag", "[AN]"),
+    ]
+    shapes = [MinLength("l_linestatus"), MaxLength("l_returnflag", SMALL), DataType("l_returnflag")]
+    ranks = [ApproxQuantiles("l_extendedprice", [0.1, 0.99], 0.0, SMALL), ApproxQuantiles("l_tax", [0.5], 0.0)]
+    values = [
+        MutualInformation(FLAGS),
+        Entropy("l_returnflag"),
+        Histogram("l_linestatus"),
+        CountDistinct(FLAGS),
+        Uniqueness(["l_orderkey", "l_partkey"], SMALL),
+        UniqueValueRatio("l_partkey", SMALL),
+        Distinctness("l_orderkey", SMALL),
+        ApproxCountDistinct("l_linestatus"),
     ]
-    return analysed(ORDERS.frame(spark, folder), metrics, 4)
+    return [*values, *ranks, *shapes, *moments, *shares, Size(), Size(SMALL)]
+
+
+def full_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    return analysed(LINEITEM.frame(spark, folder), _metrics(), 4)
 
 
 def _sql() -> str:
-    source = f"(SELECT * FROM {PLAIN} WHERE {W})"
+    every, small = LINEITEM.sql, f"(SELECT * FROM {LINEITEM.sql} WHERE {SMALL})"
 
-    def counted(columns: str, value: str, of: str = source) -> str:
-        present = " OR ".join(f"{column} IS NOT NULL" for column in columns.split(", "))
-        return (
-            f"SELECT {value} FROM (SELECT count(*) AS c, sum(count(*)) OVER () AS n FROM {of} "
-            f"WHERE {present} GROUP BY {columns})"
-        )
+    def groups(columns: str, source: str) -> str:
+        return f"(SELECT count(*) AS c, sum(count(*)) OVER () AS n FROM {source} GROUP BY {columns})"
 
     once = "count(*) FILTER (WHERE c = 1)"
-    price = "o_totalprice"
-    wide = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, priority"
+    functions = {"Minimum": "min", "Maximum": "max", "Mean": "avg", "Sum": "sum", "StandardDeviation": "stddev_pop"}
+    pairs = f"SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS c FROM {every} GROUP BY 1, 2"
+    sides = "sum(c) OVER () AS n, sum(c) OVER (PARTITION BY a) AS ca, sum(c) OVER (PARTITION BY b) AS cb"
+    flags = "Multicolumn", "l_returnflag,l_linestatus"
     rows = [
-        ("Dataset", "*", "Size", f"SELECT count(*) FROM {source}"),
-        ("Column", "priority", "Completeness", f"SELECT count(priority) / count(*) FROM {source}"),
+        ("Dataset", "*", "Size", f"SELECT count(*) FROM {every}"),
+        ("Dataset", "*", "Size", f"SELECT count(*) FROM {small}"),
+        ("Column", "line", "Completeness", f"SELECT count(line) / count(*) FROM {every}"),
+        ("Column", "supplier", "Completeness", f"SELECT count(supplier) / count(*) FROM {small}"),
         (
             "Column",
-            "dear and late",
+            "taxed",
             "Compliance",
-            "SELECT count(*) FILTER (WHERE o_totalprice > 150000 AND o_orderkey > 100) / count(*) "
-            f"FROM {source}",
+            f"SELECT count(*) FILTER (WHERE l_tax > 0.01 AND l_discount < 0.09) / count(*) FROM {small}",
         ),
-        ("Column", "o_orderstatus", "ApproxCountDistinct", f"SELECT count(DISTINCT o_orderstatus) FROM {source}"),
-        ("Column", price, "ApproxQuantile-0.25", f"SELECT quantile_disc({price}, 0.25) FROM {source}"),
-        *[
-            ("Column", price, f"ApproxQuantiles-{q}", f"SELECT quantile_disc({price}, {q}) FROM orders")
-            for q in (0.25, 0.5, 0.75, 0.9)
-        ],
-        ("Multicolumn", f"{price},o_custkey", "Correlation", f"SELECT corr({price}, o_custkey) FROM {source}"),
-        ("Multicolumn", wide.replace(" ", ""), "CountDistinct", counted(wide, "count(*)", PLAIN)),
-        ("Column", "O_CUSTKEY", "Distinctness", counted("o_custkey", "count(*) / sum(c)")),
         (
-            "Multicolumn",
-            "o_custkey,priority",
-            "Distinctness",
-            counted("o_custkey, priority", "count(*) / sum(c)"),
+            "Column",
+            "l_returnflag",
+            "PatternMatch",
+            f"SELECT count(*) FILTER (WHERE l_returnflag IN ('A', 'N')) / count(*) FROM {every}",
         ),
-        ("Column", "priority", "Entropy", counted("priority", "-sum(c / n * ln(c / n))")),
-        ("Column", price, "Maximum", f"SELECT max({price}) FROM {source}"),
-        ("Column", "order text", "MaxLength", f"SELECT max(length(order_text)) FROM {source}"),
-        ("Column", price, "Mean", f"SELECT avg({price}) FROM {source}"),
-        ("Column", price, "Minimum", f"SELECT min({price}) FROM {source}"),
-        ("Column", "order text", "MinLength", f"SELECT min(length(order_text)) FROM {source}"),
+        ("Column", "l_linestatus", "MinLength", f"SELECT min(length(l_linestatus)) FROM {every}"),
+        ("Column", "l_returnflag", "MaxLength", f"SELECT max(length(l_returnflag)) FROM {small}"),
+        *[("Column", "l_tax", name, f"SELECT {function}(l_tax) FROM {small}") for name, function in functions.items()],
+        ("Multicolumn", "l_tax,l_discount", "Correlation", f"SELECT corr(l_tax, l_discount) FROM {every}"),
+        *[
+            (
+                "Column",
+                "l_extendedprice",
+                f"ApproxQuantiles-{q}",
+                f"SELECT quantile_disc(l_extendedprice, {q}) FROM {small}",
+            )
+            for q in (0.1, 0.99)
+        ],
+        ("Column", "l_tax", "ApproxQuantiles-0.5", f"SELECT quantile_disc(l_tax, 0.5) FROM {every}"),
         (
-            "Multicolumn",
-            "o_orderstatus,priority",
+            *flags,
             "MutualInformation",
-            f"WITH ab AS (SELECT o_orderstatus AS a, priority AS b, count(*) AS c FROM {source} "
-            "WHERE priority IS NOT NULL GROUP BY 1, 2), m AS (SELECT c, sum(c) OVER () AS n, "
-            "sum(c) OVER (PARTITION BY a) AS ca, sum(c) OVER (PARTITION BY b) AS cb FROM ab) "
-            "SELECT sum(c / n * ln(c * n / (ca * cb))) FROM m",
+            f"WITH ab AS ({pairs}), m AS (SELECT c, {sides} FROM ab) SELECT sum(c / n * ln(c * n / (ca * cb))) FROM m",
         ),
-        ("Column", price, "StandardDeviation", f"SELECT stddev_pop({price}) FROM {source}"),
-        ("Column", price, "Sum", f"SELECT sum({price}) FROM {source}"),
-        ("Multicolumn", "o_orderstatus,priority", "Uniqueness", counted("o_orderstatus, priority", f"{once} / sum(c)")),
+        (*flags, "CountDistinct", f"SELECT count(*) FROM {groups('l_returnflag, l_linestatus', every)}"),
+        ("Column", "l_returnflag", "Entropy", f"SELECT -sum(c / n * ln(c / n)) FROM {groups('l_returnflag', every)}"),
         (
             "Multicolumn",
-            "o_orderstatus,priority",
-            "UniqueValueRatio",
-            counted("o_orderstatus, priority", f"{once} / count(*)"),
+            "l_orderkey,l_partkey",
+            "Uniqueness",
+            f"SELECT {once} / sum(c) FROM {groups('l_orderkey, l_partkey', small)}",
         ),
-        (
-            "Column",
-            "order text",
-            "PatternMatch",
-            f"SELECT count(*) FILTER (WHERE regexp_matches(order_text, '{patterns.EMAIL}')) / count(*) FROM {source}",
-        ),
-        ("Column", "priority", "Histogram.bins", f"SELECT count(*) FROM (SELECT DISTINCT priority FROM {source})"),
+        ("Column", "l_partkey", "UniqueValueRatio", f"SELECT {once} / count(*) FROM {groups('l_partkey', small)}"),
+        ("Column", "l_orderkey", "Distinctness", f"SELECT count(*) / sum(c) FROM {groups('l_orderkey', small)}"),
+        ("Column", "l_linestatus", "ApproxCountDistinct", f"SELECT count(DISTINCT l_linestatus) FROM {every}"),
+        ("Column", "l_linestatus", "Histogram.bins", f"SELECT count(DISTINCT l_linestatus) FROM {every}"),
     ]
-    kinds = {"Unknown": "priority IS NULL", "String": "priority IS NOT NULL"}
     for kind in DataType.CLASSES:
-        count = f"count(*) FILTER (WHERE {kinds.get(kind, 'FALSE')})"
-        rows.append(("Column", "priority", f"DataType.abs.{kind}", f"SELECT {count} FROM {source}"))
-        rows.append(("Column", "priority", f"DataType.ratio.{kind}", f"SELECT {count} / count(*) FROM {source}"))
-    bins = (
-        "SELECT coalesce(priority, 'NullValue') AS v, count(*) AS c, sum(count(*)) OVER () AS n "
-        f"FROM {source} GROUP BY 1"
-    )
+        count = f"count(*) FILTER (WHERE {'TRUE' if kind == 'String' else 'FALSE'})"
+        rows.append(("Column", "l_returnflag", f"DataType.abs.{kind}", f"SELECT {count} FROM {every}"))
+        rows.append(("Column", "l_returnflag", f"DataType.ratio.{kind}", f"SELECT {count} / count(*) FROM {every}"))
+    bins = f"SELECT l_linestatus AS v, count(*) AS c, sum(count(*)) OVER () AS n FROM {every} GROUP BY 1"
     return (
         expected(rows, 4)
-        + f" UNION ALL SELECT 'Column', 'priority', 'Histogram.abs.' || v, CAST(c AS DOUBLE) FROM ({bins})"
-        + f" UNION ALL SELECT 'Column', 'priority', 'Histogram.ratio.' || v, round(c / n, 4) FROM ({bins})"
+        + f" UNION ALL SELECT 'Column', 'l_linestatus', 'Histogram.abs.' || v, CAST(c AS DOUBLE) FROM ({bins})"
+        + f" UNION ALL SELECT 'Column', 'l_linestatus', 'Histogram.ratio.' || v, round(c / n, 4) FROM ({bins})"
     )
 
 

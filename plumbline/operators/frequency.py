@@ -15,14 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_text, find_field, quoted
 from plumbline.operators.metrics import Histogram, Metric, MutualInformation, Tally
-from plumbline.operators.rows import (
-    MEASURED_ROWS,
-    Placed,
-    aggregate_rows,
-    label_literal,
-    measured_values,
-    row_struct,
-)
+from plumbline.operators.rows import Placed, aggregate_rows
 
 COUNT = "rows in group"
 
@@ -48,67 +41,70 @@ def sharing_counts(df: DataFrame, metrics: list[Placed]) -> dict[tuple, list[Pla
 
 
 def frequency_rows(df: DataFrame, metrics: list[Placed]) -> list[DataFrame]:
-    """Long-form rows for all frequency metrics; those on the same columns share a grouping."""
+    """Long-form rows for all frequency metrics, but for the bins of histograms."""
     frames = []
-    for (columns, where), group in sharing_counts(df, metrics).items():
-        types = [find_field(df.schema, name).dataType for name in columns]
-        texts = [as_text(F.col(f"k{i}"), data_type) for i, data_type in enumerate(types)]
-        frames += rows_of_counts(value_counts(df, columns, where), texts, group)
+    for (columns, where), group in (sharing := sharing_counts(df, metrics)).items():
+        frames += rows_of_counts(shared_counts(df, columns, where, sharing), len(columns), group)
     return frames
 
 
-def rows_of_counts(counts: DataFrame, texts: list[Column], metrics: list[Placed]) -> list[DataFrame]:
-    """Rows of metrics that share a frequency table; ``texts`` are its keys as text."""
-    keys = [F.col(f"k{i}") for i in range(len(texts))]
-    tally = Tally(keys, quoted(COUNT))
+def bin_frames(df: DataFrame, metrics: list[Placed]) -> list[DataFrame]:
+    """Long-form rows for the bins of all histograms, as many as the columns have values."""
+    frames = []
+    for (columns, where), group in (sharing := sharing_counts(df, metrics)).items():
+        text = as_text(F.col("k0"), find_field(df.schema, columns[0]).dataType)
+        counts = shared_counts(df, columns, where, sharing)
+        frames += [bin_rows(counts, text, one) for one in group if isinstance(one.metric, Histogram)]
+    return frames
+
+
+def shared_counts(df: DataFrame, columns: tuple[str, ...], where: str | None, sharing: dict[tuple, list]) -> DataFrame:
+    """The counts of a column set: regrouped from those of the smallest set that holds it, if one is needed too."""
+    wider = [other for other, condition in sharing if condition == where and set(columns) < set(other)]
+    if not wider:
+        return value_counts(df, columns, where)
+    source = min(wider, key=len)
+    keys = [F.col(f"k{source.index(name)}").alias(f"k{i}") for i, name in enumerate(columns)]
+    return shared_counts(df, source, where, sharing).groupBy(*keys).agg(F.sum(quoted(COUNT)).alias(COUNT))
+
+
+def rows_of_counts(counts: DataFrame, keys: int, metrics: list[Placed]) -> list[DataFrame]:
+    """Rows of metrics that share a frequency table of so many keys."""
+    tally = Tally([F.col(f"k{i}") for i in range(keys)], quoted(COUNT))
     frames = []
     outputs = [
         (placed, name, value) for placed in metrics for name, value in placed.metric.outputs(tally)
     ]
-    histograms = [placed for placed in metrics if isinstance(placed.metric, Histogram)]
-    if histograms:
-        frames.append(rows_with_bins(counts, texts[0], outputs, histograms))
-    elif outputs:
+    if outputs:
         frames.append(aggregate_rows(counts, outputs))
     for placed in metrics:
         if isinstance(placed.metric, MutualInformation):
-            frames.append(mutual_information(counts, placed, len(keys)))
+            frames.append(mutual_information(counts, placed, keys))
     return frames
 
 
-def rows_with_bins(
-    counts: DataFrame,
-    text: Column,
-    outputs: list[tuple[Placed, str, Column]],
-    histograms: list[Placed],
-) -> DataFrame:
-    """The aggregates, and counts and shares of the commonest values; ties go to the lesser text.
-
-    The counts are read twice, for the aggregates and for the top values.  Both give one row,
-    the latter of at most ``Histogram.MOST_BINS`` values, and meet in one last aggregation.
-    """
-    values = [(name, value) for _, name, value in outputs]
-    summary = measured_values(counts, values, F.sum(quoted(COUNT)).alias("total"))
-    most = max(placed.metric.maxDetailBins for placed in histograms)
-    bins = counts.select(
-        (-quoted(COUNT)).alias("less"), F.coalesce(text, F.lit(Histogram.NULL_BIN)).alias("bin")
-    )
-    commonest = bins.orderBy("less", "bin").limit(most)
-    top = commonest.agg(F.sort_array(F.collect_list(F.struct("less", "bin"))).alias("top"))
-    both = summary.select("measured", "total").unionByName(top, allowMissingColumns=True)
-    once = both.agg(
-        F.first("measured", True).alias("measured"),
-        F.max("total").alias("total"),
-        F.first("top", True).alias("top"),
-        label_literal([placed.label(name) for placed, name, _ in outputs]).alias("labels"),
-        label_literal([placed.label("") for placed in histograms]).alias("shown"),
+def bin_rows(counts: DataFrame, text: Column, placed: Placed) -> DataFrame:
+    """Two rows for each value: its count and its share.  They never leave the executors on their own."""
+    label, most = placed.label(""), placed.metric.maxDetailBins
+    null_like = text.rlike(rf"\A\\*{Histogram.NULL_BIN}\z")
+    name = F.when(text.isNull(), Histogram.NULL_BIN).when(null_like, F.concat(F.lit("\\"), text)).otherwise(text)
+    total = counts.agg(F.sum(quoted(COUNT))).scalar()
+    bins = counts.select(name.alias("bin"), quoted(COUNT).cast("double").alias("count"))
+    if most is not None:
+        bins = bins.orderBy(F.desc("count"), "bin").limit(most)
+    pairs = [
+        F.struct(F.concat(F.lit(f"Histogram.{kind}."), F.col("bin")).alias("name"), value.alias("value"))
+        for kind, value in (("abs", F.col("count")), ("ratio", F.col("count") / total))
+    ]
+    return bins.select(F.inline(F.array(*pairs))).select(
+        F.lit(label["position"]).alias("position"),
+        F.lit(label["entity"]).alias("entity"),
+        F.lit(label["instance"]).alias("instance"),
+        "name",
+        "value",
+        F.lit(label["filter"]).cast("string").alias("filter"),
+        F.lit(label["metric"]).alias("metric"),
     )
-    parts = [MEASURED_ROWS]
-    for i, placed in enumerate(histograms):
-        for kind, value in (("abs", "-t.less"), ("ratio", "-t.less / total")):
-            row = row_struct(f"shown[{i}]", f"concat('Histogram.{kind}.', t.bin)", value)
-            parts.append(f"transform(slice(top, 1, {placed.metric.maxDetailBins}), t -> {row})")
-    return once.selectExpr(f"inline(concat({', '.join(parts)}))")
 
 
 def mutual_information(counts: DataFrame, placed: Placed, distinct_columns: int) -> DataFrame:

@@ -100,6 +100,11 @@ class Metric:
         """What is wrong with the parameters themselves, if anything."""
         return None
 
+    @property
+    def identity(self) -> str:
+        """A text that no two different metrics share, the same in every session."""
+        return repr(self)
+
     def __str__(self) -> str:
         given = f"{self.instance} | {self.where}" if self.where else self.instance
         return f"{self.name}({given})"
@@ -490,17 +495,20 @@ class Entropy(FrequencyMetric):
 
 @dataclass(frozen=True)
 class Histogram(FrequencyMetric):
-    """Number of distinct values, NULL among them, and counts and shares of the commonest."""
+    """Number of distinct values, NULL among them, and counts and shares of each.
+
+    With ``maxDetailBins`` only those of the commonest are given; ties go to the lesser text.  NULL has the
+    bin ``NullValue``; a text that reads so too, after any backslashes, gets one more backslash before it.
+    """
 
     column: str
-    maxDetailBins: int = 1000
+    maxDetailBins: int | None = None
     where: str | None = None
 
     NULL_BIN: ClassVar[str] = "NullValue"
-    MOST_BINS: ClassVar[int] = 1000  # bins reach the driver
 
     def fault(self) -> str | None:
-        return None if 0 <= self.maxDetailBins <= self.MOST_BINS else f"bins outside [0, {self.MOST_BINS}]"
+        return "a negative number of bins" if (self.maxDetailBins or 0) < 0 else None
 
     def outputs(self, tally: Tally) -> Outputs:
         return [("Histogram.bins", tally.bins)]
@@ -524,12 +532,14 @@ class MutualInformation(_ColumnSet):
 class ContainedInTable(Metric):
     """Share of rows whose value, read as text, is NULL or occurs in a reference column.
 
-    Frames compare by identity, so metrics are equal that use the same frame object.
+    Frames compare by identity, so metrics are equal that use the same frame object.  ``label`` names the
+    reference in results and in a history, where the frame itself is not known; it defaults to its column.
     """
 
     column: str
     reference: DataFrame
     where: str | None = None
+    label: str | None = None
 
     family: ClassVar[str] = "containment"
     needs: ClassVar[str] = "groupable"
@@ -542,11 +552,19 @@ class ContainedInTable(Metric):
         return hash(self._identity())
 
     def _identity(self) -> tuple:
-        return (self.column, id(self.reference), self.where)
+        return (self.column, id(self.reference), self.where, self.label)
+
+    @property
+    def listed(self) -> str:
+        return self.label or self.reference.columns[0]
+
+    @property
+    def identity(self) -> str:
+        return f"ContainedInTable(column={self.column!r}, reference={self.listed!r}, where={self.where!r})"
 
     @property
     def instance(self) -> str:
-        return f"{self.column} contained in {self.reference.columns[0]}"
+        return f"{self.column} contained in {self.listed}"
 
     def fault(self) -> str | None:
         return None if len(self.reference.columns) == 1 else "the reference must have one column"

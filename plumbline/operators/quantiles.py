@@ -4,10 +4,12 @@
 aggregation over one pruned column.  A pass proposes pivots near the wanted ranks, by a
 bounded sketch of the values still in question; the next counts the rows below and at each
 pivot.  A pivot whose rows cover the wanted rank is the answer; any other one narrows the
-range.  Once a range is known to hold few rows, one pass picks the value among them.  With
-sketches of accuracy A a pair of passes shrinks a range by a factor near A, so 10^12 rows take
-two pairs and the last pass.  All quantiles of all columns share the passes, and only pivots
-and counts reach the driver.
+range.  With sketches of accuracy A a pair of passes shrinks a range by a factor near A, and in a
+range of fewer than A rows the sketch names the value itself, so 10^12 rows take some four pairs.
+All quantiles of all columns share the passes, and only pivots and counts reach the driver.
+
+A source that changes between the passes may leave no value at the wanted rank.  A search that gets no
+nearer says so instead of going on.
 """
 
 from __future__ import annotations
@@ -26,7 +28,10 @@ from plumbline.operators.metrics import Scope
 
 ACCURACY = 10_000
 MARGIN = 2 / ACCURACY
-FEW_ROWS = 100_000  # as many values as one task may hold
+
+
+class ChangingSource(Exception):
+    """The passes over a source contradict each other."""
 
 
 @dataclass
@@ -53,10 +58,6 @@ class _Search:
     def open_rows(self) -> int:
         return self.below_high - self.up_to_low
 
-    def pick(self) -> Column:
-        """The value itself, from a range that holds ``FEW_ROWS`` rows at most."""
-        return F.sort_array(F.collect_list(self.open_values()))[self.rank - self.up_to_low - 1]
-
     def is_open(self) -> Column | None:
         """The rows still in question; None for all of them."""
         bounds = []
@@ -87,6 +88,7 @@ class _Search:
         )
 
     def narrow(self, counts: list[Row]) -> None:
+        before = (self.low, self.high)
         for pivot, (below, up_to) in zip(self.pivots, counts):
             if below < self.rank <= up_to:
                 self.answer, self.done = pivot, True
@@ -95,6 +97,8 @@ class _Search:
                 self.low, self.up_to_low = pivot, up_to
             elif self.rank <= below <= self.below_high:
                 self.high, self.below_high = pivot, below
+        if (self.low, self.high) == before:
+            raise ChangingSource("the source changed between two passes over it")
 
 
 def _propose(rows: DataFrame, searches: dict[tuple, _Search]) -> None:
@@ -119,12 +123,6 @@ def _propose(rows: DataFrame, searches: dict[tuple, _Search]) -> None:
             search.pivots = sorted(set(pivots[3 * i : 3 * i + 3])) if n else []
 
 
-def _pick(rows: DataFrame, searches: list[_Search]) -> None:
-    picked = _together(_open_rows(rows, searches), [search.pick() for search in searches])
-    for search, value in zip(searches, picked):
-        search.answer, search.done = value, True
-
-
 def _open_rows(rows: DataFrame, searches: Iterable[_Search]) -> DataFrame:
     """Only rows that some search still asks for, which clustered files can prune by."""
     conditions = [search.is_open() for search in searches]
@@ -152,17 +150,10 @@ def exact_quantiles(
     def running() -> dict[tuple, _Search]:
         return {key: search for key, search in searches.items() if not search.done}
 
-    def settle() -> None:
-        few = [search for search in running().values() if search.open_rows <= FEW_ROWS]
-        if few:
-            _pick(rows, few)
-
     while running():
         _propose(rows, running())
-        settle()
         if running():
             counted = _together(rows, [search.counts() for search in running().values()])
-            for search, counts in zip(running().values(), counted):
+            for search, counts in zip(list(running().values()), counted):
                 search.narrow(counts)
-            settle()
     return {key: search.answer for key, search in searches.items()}

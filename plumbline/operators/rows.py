@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.metrics import Metric, Outputs
 
-# ``position`` is the place of the metric in its run; ``filter`` its row condition.
-LABELS = "array<struct<position:int, entity:string, instance:string, name:string, filter:string>>"
-SCHEMA = "position int, entity string, instance string, name string, value double, filter string"
+# ``position`` is the place of the metric in its run; ``filter`` its row condition; ``metric`` its identity.
+LABELS = "array<struct<position:int, entity:string, instance:string, name:string, filter:string, metric:string>>"
+SCHEMA = "position int, entity string, instance string, name string, value double, filter string, metric string"
 
 
 @dataclass(frozen=True)
@@ -31,11 +31,12 @@ class Placed:
             "instance": metric.instance,
             "name": name,
             "filter": metric.where,
+            "metric": metric.identity,
         }
 
     def local_row(self, name: str, value: float | None) -> tuple:
         metric = self.metric
-        return (self.position, metric.entity, metric.instance, name, value, metric.where)
+        return (self.position, metric.entity, metric.instance, name, value, metric.where, metric.identity)
 
 
 def label_literal(labels: list[dict]) -> Column:
@@ -51,7 +52,7 @@ def row_struct(label: str, name: str, value: str) -> str:
     """SQL for one long-form row, from SQL for its label, name and value."""
     return (
         f"named_struct('position', {label}.position, 'entity', {label}.entity, 'instance', {label}.instance, "
-        f"'name', {name}, 'value', cast({value} AS double), 'filter', {label}.filter)"
+        f"'name', {name}, 'value', cast({value} AS double), 'filter', {label}.filter, 'metric', {label}.metric)"
     )
 
 

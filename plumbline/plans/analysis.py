@@ -54,13 +54,23 @@ class AnalysisRunBuilder:
         save(result, self._repository, self._key)
         return result
 
-    def asDataFrame(self) -> DataFrame:
-        """The metrics as a lazy frame ``(entity, instance, name, value)``."""
-        return lazy_success_frame(self._df, self._metrics)
+    def asDataFrame(self, failures: bool = False) -> DataFrame:
+        """The metrics as a lazy frame ``(entity, instance, name, value)``.
+
+        Metrics that cannot be computed are an error, or with ``failures`` rows of their own, which have
+        no value and a reason in the further column ``error``.
+        """
+        return lazy_success_frame(self._df, self._metrics, failures)
 
 
 def save(result: Evaluation, repository: MetricsRepository | None, key: ResultKey | None) -> None:
-    if repository is not None and key is not None:
+    """Save under ``key``; one of the two alone cannot be meant."""
+    if (repository is None) != (key is None):
+        raise ValueError("saving needs both a repository and a key")
+    if repository is not None:
+        identities = [metric.identity for metric in result.metrics]
+        if len(set(identities)) < len(identities):
+            raise ValueError("two reference tables go by one name; give them labels before saving")
         repository.save(key, result.long_frame())
 
 

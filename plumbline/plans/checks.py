@@ -102,11 +102,12 @@ class Check:
         allowed: Sequence[object] | DataFrame,
         assertion: Assertion = is_one,
         hint: str | None = None,
+        label: str | None = None,
     ) -> Check:
-        """``allowed`` is a short list, or a one-column frame of any size."""
+        """``allowed`` is a short list, or a one-column frame of any size, which ``label`` may name."""
         if isinstance(allowed, DataFrame):
-            metric = ContainedInTable(column, allowed)
-            detail = allowed.columns[0]
+            metric = ContainedInTable(column, allowed, label=label)
+            detail = metric.listed
         else:
             metric = ContainedIn(column, tuple(as_spark_text(v) for v in allowed if v is not None))
             detail = "[" + ",".join(metric.allowed) + "]"

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.containment import containment_rows
-from plumbline.operators.frequency import frequency_rows
+from plumbline.operators.frequency import bin_frames, frequency_rows
 from plumbline.operators.metrics import Metric
-from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.quantiles import ChangingSource, exact_quantiles
 from plumbline.operators.rows import Placed, local_rows, small_frame
 from plumbline.operators.scan import scan_rows
 from plumbline.operators.validation import Validator, is_data_fault
@@ -34,15 +34,16 @@ class Failure:
 
 @dataclass
 class Evaluation:
-    """Values that reached the driver: scalars, and the bins of histograms."""
+    """Scalars that reached the driver, and the bins of histograms as plans that read the table anew."""
 
     spark: SparkSession
     metrics: list[Metric]
     rows: list[tuple] = field(default_factory=list)  # rows.SCHEMA
     failures: list[Failure] = field(default_factory=list)
+    bins: list[DataFrame] = field(default_factory=list)
 
     def long_frame(self) -> DataFrame:
-        return local_rows(self.spark, self.rows)
+        return reduce(DataFrame.unionByName, [local_rows(self.spark, self.rows), *self.bins])
 
     def success_frame(self) -> DataFrame:
         return self.long_frame().select(*METRIC_COLUMNS)
@@ -53,7 +54,7 @@ class Evaluation:
     @cached_property
     def _values(self) -> dict[Metric, dict[str, float]]:
         found: dict[Metric, dict[str, float]] = {}
-        for position, _, _, name, value, _ in self.rows:
+        for position, _, _, name, value, *_ in self.rows:
             found.setdefault(self.metrics[position], {})[name] = value
         return found
 
@@ -87,7 +88,7 @@ def sort_out(df: DataFrame, metrics: list[Metric]) -> tuple[list[Placed], list[F
 
 
 def metric_frame(df: DataFrame, metrics: list[Placed]) -> DataFrame:
-    """One lazy frame of all values; only exact quantiles run jobs of their own beforehand."""
+    """One lazy frame of all values but bins; only exact quantiles run jobs of their own beforehand."""
     family = {"scan": [], "selection": [], "frequency": [], "containment": []}
     for placed in metrics:
         family[placed.metric.family].append(placed)
@@ -132,12 +133,18 @@ def _run(df: DataFrame, metrics: list[Placed], result: Evaluation) -> None:
         return
     try:
         rows = [tuple(row) for row in metric_frame(df, metrics).collect()]
+    except ChangingSource as error:
+        selected = [placed for placed in metrics if placed.metric.family == "selection"]
+        result.failures += [Failure(placed.metric, "ChangingSource", str(error)) for placed in selected]
+        _run(df, [placed for placed in metrics if placed not in selected], result)
+        return
     except PySparkException as error:
         if not is_data_fault(error):
             raise
         for group in _without_culprits(df, metrics, result, error):
             _run(df, group, result)
         return
+    result.bins += bin_frames(df, [placed for placed in metrics if placed.metric.family == "frequency"])
     present = [row for row in rows if row[4] is not None]
     result.rows += present
     empty = {row[0] for row in rows} - {row[0] for row in present}
@@ -181,7 +188,38 @@ def _probe(df: DataFrame, texts: tuple[str, ...]) -> PySparkException | None:
     return None
 
 
-def lazy_success_frame(df: DataFrame, metrics: list[Metric]) -> DataFrame:
-    """The values as a plan: each action on it reads the table anew."""
-    good, _ = sort_out(df, list(dict.fromkeys(metrics)))
-    return metric_frame(df, good).filter(F.col("value").isNotNull()).select(*METRIC_COLUMNS)
+def lazy_success_frame(df: DataFrame, metrics: list[Metric], failures: bool = False) -> DataFrame:
+    """The values as a plan: each action on it reads the table anew.
+
+    A metric that validation refuses is an error here.  With ``failures`` it becomes a row instead, with
+    NULL as value and the reason in a further column ``error``; conditions in the user's SQL are then tried on
+    the table first, a pruned count for each, so that a value that breaks one takes only its metrics out.
+    What has no values to compute from is a row with ``EmptyState``.
+    """
+    good, bad = sort_out(df, list(dict.fromkeys(metrics)))
+    if not failures:
+        if bad:
+            raise ValueError("; ".join(f"{one.metric}: {one.error}, {one.message}" for one in bad))
+        return with_bins(df, good).filter(F.col("value").isNotNull()).select(*METRIC_COLUMNS)
+    tried = {texts: _probe(df, texts) for texts in {placed.metric.conditions for placed in good} - {()}}
+    bad += [Failure(one.metric, "BadValue", "") for one in good if tried.get(one.metric.conditions) is not None]
+    fine = [one for one in good if tried.get(one.metric.conditions) is None]
+    error = F.when(F.col("value").isNull(), "EmptyState")
+    values = with_bins(df, fine).withColumn("error", error).select(*METRIC_COLUMNS, "error")
+    # A metric of several values without any is one failure, named as the metric is.
+    names = small_frame(
+        df.sparkSession, [(one.position, one.metric.name) for one in fine], "position int, asked string"
+    )
+    empty = with_bins(df, fine).where("value IS NULL").join(names, "position").select(
+        "entity", "instance", F.col("asked").alias("name"), "value", F.lit("EmptyState").alias("error")
+    )
+    failed = [(f.metric.entity, f.metric.instance, f.metric.name, None, f.error) for f in bad]
+    told = small_frame(
+        df.sparkSession, failed, "entity string, instance string, name string, value double, error string"
+    )
+    return values.where("value IS NOT NULL").unionByName(empty.distinct()).unionByName(told)
+
+
+def with_bins(df: DataFrame, metrics: list[Placed]) -> DataFrame:
+    counted = [placed for placed in metrics if placed.metric.family == "frequency"]
+    return reduce(DataFrame.unionByName, [metric_frame(df, metrics), *bin_frames(df, counted)])

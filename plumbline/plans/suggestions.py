@@ -1,20 +1,23 @@
 """Constraint suggestion: profile every column, then apply rules to the profile.
 
-The profile is one fused analysis run.  The value counts of all columns with few values come
-from one further pass, and exact uniqueness is tested for near-unique columns only.
+The profile is one fused analysis run.  The value counts of all columns that may have few values come from
+one further pass, and exact uniqueness of all complete columns from a last one.  What is few is a parameter,
+``few_values``, and decided on exact counts; estimates only tell which columns are out of the question, by
+five times their standard deviation.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import asdict, astuple, dataclass, field
+from dataclasses import asdict, astuple, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions import patterns
 from plumbline.functions.columns import quoted
 from plumbline.operators.metrics import (
     ApproxCountDistinct,
@@ -38,7 +41,7 @@ SEEN_ONCE_AT_MOST = 0.1
 COVERAGE = 0.9
 DEVIATION = 0.05
 CONFIDENCE = 1.96
-GROUPINGS_AT_ONCE = 8
+SURELY = 1 + 5 * DEVIATION
 
 SUGGESTION_SCHEMA = (
     "column_name string, rule string, constraint string, sql_predicate string, "
@@ -94,6 +97,11 @@ class Rule:
 
     suggest: Callable[[ColumnProfile], Suggestion | None]
     needs: frozenset[str]
+    few_values: int = FEW_VALUES  # the most values that a range may list
+
+
+    def suits(self, p: ColumnProfile) -> bool:
+        return "values" not in self.needs or len(p.values) <= self.few_values
 
 
 def rule(*needs: str) -> Callable[[Callable[[ColumnProfile], Suggestion | None]], Rule]:
@@ -141,18 +149,18 @@ def retain_type(p: ColumnProfile) -> Suggestion | None:
         return None
     integral, fractional = p.types["Integral"], p.types["Fractional"]
     if integral == present:
-        kind, sql_type = "Integral", "bigint"
+        kind, holds = "Integral", f"RLIKE r'{patterns.INTEGRAL}'"
     elif integral + fractional == present:
-        kind, sql_type = "Fractional", "double"
+        kind, holds = "Fractional", f"RLIKE r'{patterns.INTEGRAL}|{patterns.FRACTIONAL}'"
     elif p.types["Boolean"] == present:
-        kind, sql_type = "Boolean", "boolean"
+        kind, holds = "Boolean", f"IN ({_text_list(patterns.BOOLEANS)})"
     else:
         return None
     return Suggestion(
         p.name,
         "RetainType",
         f".hasDataType({p.name!r}, {kind!r})",
-        f"{p.sql_name} IS NULL OR try_cast({p.sql_name} AS {sql_type}) IS NOT NULL",
+        f"{p.sql_name} IS NULL OR {p.sql_name} {holds}",
         1.0,
         f"all values of {p.name} read as {kind}",
     )
@@ -222,9 +230,9 @@ def unique_if_unique(p: ColumnProfile) -> Suggestion | None:
     )
 
 
-def DEFAULT() -> list[Rule]:
-    """All rules."""
-    return [
+def DEFAULT(few_values: int = FEW_VALUES) -> list[Rule]:
+    """All rules; a range lists at most ``few_values``."""
+    rules = [
         complete_if_complete,
         retain_completeness,
         retain_type,
@@ -233,6 +241,7 @@ def DEFAULT() -> list[Rule]:
         non_negative_numbers,
         unique_if_unique,
     ]
+    return [replace(one, few_values=few_values) for one in rules]
 
 
 STATISTICS = frozenset(
@@ -240,7 +249,9 @@ STATISTICS = frozenset(
 )
 
 
-def profile(df: DataFrame, needs: frozenset[str] = STATISTICS) -> list[ColumnProfile]:
+def profile(
+    df: DataFrame, needs: frozenset[str] = STATISTICS, few_values: int = FEW_VALUES
+) -> list[ColumnProfile]:
     """Profile every column as far as needed.
 
     Only scalars and the values of low-cardinality columns come back.
@@ -250,7 +261,7 @@ def profile(df: DataFrame, needs: frozenset[str] = STATISTICS) -> list[ColumnPro
     for column in fields:
         name = column.name
         suited = {"completeness": Completeness(name)}
-        distinct = needs & {"approx_distinct", "unique"} or "values" in needs and SUITS["text"](column.dataType)
+        distinct = "approx_distinct" in needs or "values" in needs and SUITS["text"](column.dataType)
         if distinct and SUITS["groupable"](column.dataType):
             suited["approx_distinct"] = ApproxCountDistinct(name, relativeDeviation=DEVIATION)
         if SUITS["text"](column.dataType):
@@ -277,10 +288,11 @@ def profile(df: DataFrame, needs: frozenset[str] = STATISTICS) -> list[ColumnPro
                 setattr(p, attribute, found.value(metric))
         profiles.append(p)
     if "values" in needs:
-        few = [p for p in profiles if p.is_text and 0 < (p.approx_distinct or 0) <= FEW_VALUES]
-        _add_value_counts(df, few)
+        few = [p for p in profiles if p.is_text and 0 < (p.approx_distinct or 0) <= few_values * SURELY]
+        _add_value_counts(df, few, few_values)
     if "unique" in needs:
-        _add_uniqueness(df, [p for p in profiles if _near_unique(p)])
+        groupable = [p for p in profiles if p.completeness == 1.0 and SUITS["groupable"](p.data_type)]
+        _add_uniqueness(df, groupable)
     return profiles
 
 
@@ -309,26 +321,18 @@ def profile_frame(df: DataFrame) -> DataFrame:
     return small_frame(df.sparkSession, rows, PROFILE_SCHEMA)
 
 
-def _near_unique(p: ColumnProfile) -> bool:
-    return p.completeness == 1.0 and (p.approx_distinct or 0) / p.size >= 1 - 3 * DEVIATION
-
-
 def _add_uniqueness(df: DataFrame, profiles: list[ColumnProfile]) -> None:
-    """Test exactly: one grouping pass per near-unique column.
-
-    Such a pass shuffles about as many values as the table has rows, so only a few run at once.
-    """
-    for start in range(0, len(profiles), GROUPINGS_AT_ONCE):
-        some = profiles[start : start + GROUPINGS_AT_ONCE]
-        found = evaluate(df, [Uniqueness(p.name) for p in some])
-        for p in some:
-            p.unique = found.value(Uniqueness(p.name)) == 1.0
+    """Test exactly: one grouping per column, all in one run, for Spark to schedule as it can."""
+    found = evaluate(df, [Uniqueness(p.name) for p in profiles])
+    for p in profiles:
+        p.unique = found.value(Uniqueness(p.name)) == 1.0
 
 
-def _add_value_counts(df: DataFrame, profiles: list[ColumnProfile]) -> None:
+def _add_value_counts(df: DataFrame, profiles: list[ColumnProfile], few_values: int) -> None:
     """Value counts of all given columns in one pass: each row gives one pair per column.
 
-    The pairs combine on the map side, and a column has near ``FEW_VALUES`` values at most.
+    The pairs combine on the map side, and a column has near ``few_values`` values at most; those that
+    prove to have more are left without.
     """
     if not profiles:
         return
@@ -358,7 +362,7 @@ def _add_value_counts(df: DataFrame, profiles: list[ColumnProfile]) -> None:
             (F.sum(F.when(F.col("common"), F.col("count"))) / F.first("total")).alias("top_share"),
         )
     )
-    for row in summary.collect():
+    for row in summary.where(F.size("values") <= few_values).collect():
         p = profiles[row["column"]]
         p.values, p.values_seen_once = row["values"], row["once"]
         p.common, p.common_seen_once, p.common_share = row["top"], row["top_once"], row["top_share"]
@@ -385,7 +389,9 @@ class ConstraintSuggestionBuilder:
 
     def run(self) -> Suggestions:
         needs = frozenset().union(*[one.needs for one in self._rules])
-        found = [one.suggest(p) for p in profile(self._df, needs) for one in self._rules]
+        few = max([one.few_values for one in self._rules if "values" in one.needs], default=FEW_VALUES)
+        profiles = profile(self._df, needs, few)
+        found = [one.suggest(p) for p in profiles for one in self._rules if one.suits(p)]
         return Suggestions(self._spark, [suggestion for suggestion in found if suggestion])
 
 

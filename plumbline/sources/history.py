@@ -8,6 +8,7 @@ value is taken by an aggregate, which combines on the map side and sorts nothing
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -16,13 +17,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import scratch_folder
 
 MILLIS_PER_DAY = 24 * 60 * 60 * 1000
-IDENTITY = ["dataset_date", "tags_key", "filter", "entity", "instance", "name"]
+# ``metric`` tells apart what entity, instance and name may share: other parameters, other predicates.
+IDENTITY = ["dataset_date", "tags_key", "metric", "filter", "entity", "instance", "name"]
 HISTORY_SCHEMA = (
-    "dataset_date bigint, tags map<string,string>, tags_key string, filter string, "
-    "entity string, instance string, name string, value double, written_at bigint, dataset_day bigint"
+    "dataset_date bigint, tags map<string,string>, tags_key string, metric string, filter string, "
+    "entity string, instance string, name string, value double, run string, written_at bigint, dataset_day bigint"
 )
+VIEW = ["entity", "instance", "name", "value", "filter", "dataset_date"]
 
 
 @dataclass(frozen=True)
@@ -58,33 +62,52 @@ class FileSystemMetricsRepository:
         self._format = format
 
     def save(self, key: ResultKey, metrics: DataFrame) -> None:
-        """Append ``metrics`` (entity, instance, name, value and possibly filter) under ``key``."""
+        """Append ``metrics`` (entity, instance, name, value and possibly filter and metric) under ``key``."""
         pairs = [F.lit(text) for item in sorted(key.tags.items()) for text in item]
         tags = F.create_map(*pairs) if pairs else F.from_json(F.lit("{}"), "map<string,string>")
         self.save_keyed(metrics.withColumns({"dataset_date": F.lit(key.dataset_date), "tags": tags}))
 
     def save_keyed(self, metrics: DataFrame) -> None:
         """Append metrics that carry their own ``dataset_date`` and ``tags``."""
-        if "filter" not in metrics.columns:
-            metrics = metrics.withColumn("filter", F.lit(None).cast("string"))
+        for name in {"filter", "metric"} - set(metrics.columns):
+            metrics = metrics.withColumn(name, F.lit(None).cast("string"))
         rows = metrics.withColumns(
             {
                 "dataset_date": F.col("dataset_date").cast("bigint"),
                 "tags_key": tags_key(F.col("tags")),
+                "run": F.lit(uuid.uuid4().hex),
                 "written_at": F.lit(time.time_ns()),
                 "dataset_day": F.expr(f"cast(floor(dataset_date / {MILLIS_PER_DAY}) AS bigint)"),
             }
         )
+        self._write(rows, "append")
+
+    def _write(self, rows: DataFrame, mode: str) -> None:
         names = [column.split()[0] for column in HISTORY_SCHEMA.split(", ")]
         (
             rows.select(*names)
             .hint("rebalance", "dataset_day")
             .write.format(self._format)
-            .mode("append")
+            .mode(mode)
+            .option("partitionOverwriteMode", "dynamic")
             .partitionBy("dataset_day")
             .save(self.path)
         )
 
+    def compact(self, before: int) -> None:
+        """Put the files of each day that ended by ``before`` (epoch milliseconds) together, with the last values only.
+
+        Nobody may save under keys of those days meanwhile.  The rows wait in a folder of their own until
+        they replace the days' files, so that a run that fails leaves either.
+        """
+        closed = self.load().rows.where(F.col("dataset_day") < before // MILLIS_PER_DAY)
+        last = F.max_by(F.struct("value", "run", "written_at"), "written_at").alias("last")
+        kept = closed.groupBy(*IDENTITY, "dataset_day").agg(last)
+        kept = kept.withColumn("tags", F.from_json("tags_key", "map<string,string>")).select("*", "last.*")
+        folder = scratch_folder(self._spark, "compacted")
+        kept.drop("last").write.parquet(folder)
+        self._write(self._spark.read.parquet(folder), "overwrite")
+
     def load(self) -> History:
         try:
             rows = self._spark.read.format(self._format).schema(HISTORY_SCHEMA).load(self.path)
@@ -109,18 +132,11 @@ class History:
         return last.withColumn("tags", F.from_json("tags_key", "map<string,string>"))
 
     def getSuccessMetricsAsDataFrame(self, withTags: Sequence[str] | None = None) -> DataFrame:
-        """Metrics with their ``dataset_date`` and a column per tag.
+        """Metrics with their ``filter``, ``dataset_date`` and a column per tag asked for, or else all ``tags`` as a map.
 
-        Without ``withTags`` the names of the tags are looked up first.
+        A tag named as one of the other columns gets ``tag_`` before its name.
         """
         if withTags is None:
-            keys = self.rows.select(F.explode(F.map_keys("tags")).alias("tag")).distinct()
-            withTags = [row.tag for row in keys.orderBy("tag").collect()]
-        return self.latest().select(
-            "entity",
-            "instance",
-            "name",
-            "value",
-            "dataset_date",
-            *[F.col("tags")[tag].alias(tag) for tag in withTags],
-        )
+            return self.latest().select(*VIEW, "tags")
+        named = [F.col("tags")[tag].alias(f"tag_{tag}" if tag.lower() in VIEW else tag) for tag in withTags]
+        return self.latest().select(*VIEW, *named)

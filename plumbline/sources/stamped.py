@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,19 +13,25 @@ from pyspark.sql import functions as F
 from plumbline.sources.jdbc import JdbcTable
 
 STAMPED_SCHEMA = (
-    "entity string, instance string, name string, value double, tag string, timestamp timestamp"
+    "entity string, instance string, name string, value double, tag string, timestamp timestamp, run string"
 )
+# An instance may list the values that a column may have.
 JDBC_TYPES = (
-    "entity VARCHAR(255), instance VARCHAR(255), name VARCHAR(255), "
+    "entity VARCHAR(255), instance VARCHAR(4000), name VARCHAR(4000), "
     "value DOUBLE PRECISION, tag VARCHAR(255), timestamp VARCHAR(255)"
 )
 
 
-DEFAULT_TAG = "my new column"
+def stamp(df_metrics: DataFrame, tag: str, at: datetime | None = None, run: str | None = None) -> DataFrame:
+    """Add a tag, the time, and the name of the run, all fixed now however often the frame is used."""
+    at = at or datetime.now(UTC)
+    return df_metrics.withColumns(
+        {"tag": F.lit(tag), "timestamp": F.lit(at), "run": F.lit(run or uuid.uuid4().hex)}
+    )
 
 
-def stamp(df_metrics: DataFrame, tag: str = DEFAULT_TAG) -> DataFrame:
-    return df_metrics.withColumns({"tag": F.lit(tag), "timestamp": F.current_timestamp()})
+def with_text_time(stamped: DataFrame) -> DataFrame:
+    return stamped.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 class MetricTarget(Protocol):
@@ -45,9 +53,11 @@ class MetricTable:
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({STAMPED_SCHEMA}) USING parquet{place}")
 
     def append(self, stamped: DataFrame) -> None:
+        """Append the rows of runs that the table does not hold yet, so that a repeated append adds nothing."""
         self.create()
         columns = [column.split()[0] for column in STAMPED_SCHEMA.split(", ")]
-        stamped.select(*columns).repartition(1).write.insertInto(self.table)
+        known = self.read().select("run").distinct()
+        stamped.select(*columns).join(known, "run", "left_anti").select(*columns).write.insertInto(self.table)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -60,12 +70,13 @@ class JdbcMetricTable:
     table: JdbcTable
 
     def append(self, stamped: DataFrame) -> None:
-        text = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        self.table.append(stamped.repartition(1).withColumn("timestamp", text), JDBC_TYPES)
+        self.table.append(with_text_time(stamped).drop("run"), JDBC_TYPES)
 
 
-def stamp_and_append(df_metrics: DataFrame, target: MetricTarget, tag: str = DEFAULT_TAG) -> DataFrame:
-    """Stamp metrics, append them, and return the stamped frame."""
-    stamped = stamp(df_metrics, tag)
+def stamp_and_append(
+    df_metrics: DataFrame, target: MetricTarget, tag: str, at: datetime | None = None, run: str | None = None
+) -> DataFrame:
+    """Stamp metrics, append them, and return the stamped frame; a caller that retries gives its ``run``."""
+    stamped = stamp(df_metrics, tag, at, run)
     target.append(stamped)
     return stamped

@@ -1,9 +1,11 @@
 """Mergeable metric states: metrics of all data from stored states of its parts.
 
 A part is a day, a partition, a micro-batch: whatever is computed once and seldom again.
-Saving a part replaces its states, so a retried or repeated save changes nothing.  Two tables
-hold them: one row per part and scan metric, and the value counts of each column set per
-part, which are merged by summing.
+Saving a metric of a part replaces its state, so a retried or repeated save changes nothing, and other
+metrics of the part stay.  Two tables hold them: one row per part and scan metric, and the value
+counts of each column set per part, which are merged by summing.  Reading checks that every part
+has a state of every metric asked for, and fails if one lacks: totals over some parts are never
+given for all.  Old parts can be rolled up into one.
 
 Means and second moments merge about the overall mean, ``M2 = sum(M2_i + n_i (mean_i -
 mean)^2)``, because differences of sums of squares lose digits.
@@ -17,12 +19,20 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import as_text, find_field, quoted
 from plumbline.operators import metrics as M
-from plumbline.operators.frequency import COUNT, resolved, rows_of_counts, sharing_counts, value_counts
+from plumbline.operators.frequency import (
+    COUNT,
+    bin_rows,
+    resolved,
+    rows_of_counts,
+    sharing_counts,
+    value_counts,
+)
 from plumbline.operators.rows import Placed, aggregate_rows
 from plumbline.operators.validation import Validator
 from plumbline.plans.evaluation import METRIC_COLUMNS
@@ -35,8 +45,13 @@ FIELDS = {
     **dict.fromkeys(["total", "low", "high", *MOMENTS], "double"),
     **dict.fromkeys(["distinct_sketch", "rank_sketch"], "binary"),
 }
-SCAN_SCHEMA = ", ".join(["metric string", *[f"{name} {kind}" for name, kind in FIELDS.items()], "part string"])
+SCAN_SCHEMA = ", ".join(
+    ["metric string", *[f"{name} {kind}" for name, kind in FIELDS.items()], "metric_id string", "part string"]
+)
 COUNTS_SCHEMA = "keys array<string>, count bigint, column_set string, part string"
+ROLLED_SCHEMA = "rolled string, part string"
+ROLLED = "rolled up: "
+LARGEST_RANK_SKETCH, LARGEST_DISTINCT_SKETCH = 65_535, 21
 
 
 def has_state(metric: M.Metric) -> bool:
@@ -54,7 +69,12 @@ def _moments(x: Column, y: Column | None = None) -> dict[str, Column]:
 
 def _sketch_size(relative_error: float) -> int:
     """Size parameter of a KLL sketch whose rank error stays within ``relative_error``."""
-    return min(65_535, max(200, math.ceil((2.296 / relative_error) ** (1 / 0.9723))))
+    return max(200, math.ceil((2.296 / relative_error) ** (1 / 0.9723)))
+
+
+def _register_bits(deviation: float) -> int:
+    """Logarithm of the registers of a HyperLogLog sketch whose unions deviate by no more than ``deviation``."""
+    return max(4, math.ceil(2 * math.log2(1.04 / deviation)))
 
 
 def state_of(metric: M.Metric, scope: M.Scope) -> dict[str, Column]:
@@ -83,7 +103,7 @@ def state_of(metric: M.Metric, scope: M.Scope) -> dict[str, Column]:
         case M.ApproxCountDistinct():
             data_type = scope.field(metric.column).dataType
             value = as_text(scope.column(metric.column), data_type)
-            return {"distinct_sketch": F.hll_sketch_agg(scope.kept(value), 12)}
+            return {"distinct_sketch": F.hll_sketch_agg(scope.kept(value), _register_bits(metric.relativeDeviation))}
         case M.ApproxQuantile() | M.ApproxQuantiles():
             size = _sketch_size(metric.relativeError)
             return {"rank_sketch": F.kll_sketch_agg_double(numbers[0], size)}
@@ -157,6 +177,17 @@ def read_state(metric: M.Metric) -> M.Outputs:
     return [(metric.name, value)]
 
 
+def _short_hash(column: str) -> Column:
+    return F.substring(F.sha2(F.col(column).cast("binary"), 256), 1, 32)
+
+
+def state_id(like: DataFrame, metric: M.Metric) -> str:
+    """The folder that a metric's states are in."""
+    if metric.family == "frequency":
+        return _column_set(resolved(like, metric), metric.where)
+    return hashlib.sha256(repr(metric).encode()).hexdigest()[:32]
+
+
 def _column_set(df_columns: tuple[str, ...], where: str | None) -> str:
     """A folder name for the counts of a column set under a row condition."""
     return hashlib.sha256(repr((df_columns, where)).encode()).hexdigest()[:32]
@@ -169,6 +200,7 @@ class StateStore:
         self._spark = spark
         self._scan_path = f"{path.rstrip('/')}/scan"
         self._counts_path = f"{path.rstrip('/')}/counts"
+        self._rolled_path = f"{path.rstrip('/')}/rolled"
 
     def save(self, df: DataFrame, metrics: Sequence[M.Metric], part: str | Column) -> None:
         """Store states of ``df``; ``part`` names it, or is a column that splits it into parts.
@@ -178,7 +210,7 @@ class StateStore:
         self._check(df, metrics)
         scan = [metric for metric in dict.fromkeys(metrics) if metric.family == "scan"]
         if scan:
-            self._write(scan_states(df, scan, part), self._scan_path, "part")
+            self._write(scan_states(df, scan, part), self._scan_path, "metric_id", "part")
         sets = {
             (resolved(df, metric), metric.where): None for metric in metrics if metric.family == "frequency"
         }
@@ -189,8 +221,12 @@ class StateStore:
     def metrics(
         self, like: DataFrame, metrics: Sequence[M.Metric], parts: Sequence[str] | None = None
     ) -> DataFrame:
-        """Metrics over all parts, or some; ``like`` has the schema of the data, and is not read."""
+        """Metrics over all parts, or some; ``like`` has the schema of the data, and is not read.
+
+        A ``ValueError`` names the metrics that some of the parts have no state of.
+        """
         self._check(like, metrics)
+        self._check_parts(like, metrics, parts)
         placed = [Placed(i, metric) for i, metric in enumerate(dict.fromkeys(metrics))]
         frames = []
         scan = [one for one in placed if one.metric.family == "scan"]
@@ -206,13 +242,53 @@ class StateStore:
         values = reduce(DataFrame.unionByName, frames)
         return values.filter(F.col("value").isNotNull()).select(*METRIC_COLUMNS)
 
-    def batch_writer(self, metrics: Sequence[M.Metric]) -> Callable[[DataFrame, int], None]:
-        """For ``writeStream.foreachBatch``: each micro-batch is a part; a replay replaces it."""
+    def _held(self, parts: Sequence[str] | None) -> DataFrame:
+        """``(id, part)`` of every state that reading would take in."""
+        scan = self._read(self._scan_path, SCAN_SCHEMA, parts).select(F.col("metric_id").alias("id"), "part")
+        counts = self._read(self._counts_path, COUNTS_SCHEMA, parts).select(F.col("column_set").alias("id"), "part")
+        return scan.union(counts).distinct()
+
+    def _check_parts(self, like: DataFrame, metrics: Sequence[M.Metric], parts: Sequence[str] | None) -> None:
+        held = self._held(parts)
+        known = held.select("part").distinct().count() if parts is None else len(set(parts))
+        found = {row["id"]: row["count"] for row in held.groupBy("id").count().collect()}
+        lacking = [str(one) for one in metrics if found.get(state_id(like, one), 0) < known or not known]
+        if lacking:
+            raise ValueError(f"no state of every part ({known}): {', '.join(lacking)}")
+
+    def roll_up(self, name: str, parts: Sequence[str]) -> None:
+        """Merge the states of ``parts`` into one, which is read in their place from then on.
+
+        Every metric that any of them has must be there for all.  What is merged counts only once its row in
+        the list of such parts is written, last of all.  The folders of the old parts are then read no
+        more, unless by name, and may be removed.
+        """
+        parts = list(dict.fromkeys(parts))
+        held = {row["id"]: row["count"] for row in self._held(parts).groupBy("id").count().collect()}
+        if not held or min(held.values()) < len(parts):
+            raise ValueError("some of the parts lack states that others have")
+        rolled = ROLLED + name
+        scan = merge_states(self._read(self._scan_path, SCAN_SCHEMA, parts)).withColumn("part", F.lit(rolled))
+        counts = self._read(self._counts_path, COUNTS_SCHEMA, parts)
+        counts = counts.groupBy("column_set", "keys").agg(F.sum("count").alias("count")).withColumn("part", F.lit(rolled))
+        if not scan.isEmpty():
+            self._write(scan.withColumn("metric_id", _short_hash("metric")), self._scan_path, "metric_id", "part")
+        if not counts.isEmpty():
+            self._write(counts, self._counts_path, "column_set", "part")
+        covered = self._spark.createDataFrame([(rolled, part) for part in parts], ROLLED_SCHEMA)
+        covered.coalesce(1).write.mode("append").parquet(self._rolled_path)
+
+    def batch_writer(self, metrics: Sequence[M.Metric], stream: str) -> Callable[[DataFrame, int], None]:
+        """For ``writeStream.foreachBatch``: each micro-batch is a part; a replay replaces it.
+
+        ``stream`` names the run of the stream: the same as long as its checkpoint is, and another one for
+        a new checkpoint, whose batches are numbered from 0 again.
+        """
 
         def write(batch: DataFrame, batch_id: int) -> None:
             kept = batch.persist()
             try:
-                self.save(kept, metrics, f"batch-{batch_id}")
+                self.save(kept, metrics, f"{stream}-{batch_id}")
             finally:
                 kept.unpersist()
 
@@ -224,6 +300,15 @@ class StateStore:
             fault = validator.fault_of(metric)
             if fault or not has_state(metric):
                 raise ValueError(f"{metric}: {': '.join(fault) if fault else 'no mergeable state'}")
+            match metric:
+                case M.ApproxCountDistinct():
+                    too_small = _register_bits(metric.relativeDeviation) > LARGEST_DISTINCT_SKETCH
+                case M.ApproxQuantile() | M.ApproxQuantiles():
+                    too_small = _sketch_size(metric.relativeError) > LARGEST_RANK_SKETCH
+                case _:
+                    too_small = False
+            if too_small:
+                raise ValueError(f"{metric}: no sketch is as exact as that")
 
     def _write(self, states: DataFrame, path: str, *partitions: str) -> None:
         (
@@ -235,8 +320,25 @@ class StateStore:
         )
 
     def _read(self, path: str, schema: str, parts: Sequence[str] | None) -> DataFrame:
-        states = self._spark.read.schema(schema).parquet(path)
-        return states if parts is None else states.filter(F.col("part").isin(*parts))
+        states = self._table(path, schema)
+        if parts is not None:
+            return states.filter(F.col("part").isin(*parts))
+        rolled = self._table(self._rolled_path, ROLLED_SCHEMA)
+        merged = rolled.select(F.col("rolled").alias("part")).distinct()
+        single = ~F.startswith("part", F.lit(ROLLED))
+        return (
+            states.where(single)
+            .unionByName(states.where(~single).join(merged, "part", "left_semi"))
+            .join(rolled.select("part").distinct(), "part", "left_anti")
+        )
+
+    def _table(self, path: str, schema: str) -> DataFrame:
+        try:
+            return self._spark.read.schema(schema).parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self._spark.createDataFrame([], schema)
 
 
 def scan_states(df: DataFrame, metrics: Sequence[M.Metric], part: str | Column) -> DataFrame:
@@ -256,13 +358,14 @@ def scan_states(df: DataFrame, metrics: Sequence[M.Metric], part: str | Column)
         wide = df.agg(*aggregates).withColumn("part", F.lit(part))
     else:
         wide = df.groupBy(part.cast("string").alias("part")).agg(*aggregates)
-    return wide.withColumn("metrics", ids).selectExpr("part", f"inline(array({', '.join(rows)}))")
+    states = wide.withColumn("metrics", ids).selectExpr("part", f"inline(array({', '.join(rows)}))")
+    return states.withColumn("metric_id", _short_hash("metric"))
 
 
 def count_states(
     df: DataFrame, columns: tuple[str, ...], where: str | None, part: str | Column
 ) -> DataFrame:
-    """Value counts of all parts; those of a named part include a row without counts."""
+    """Value counts of all parts, and for each part a row without counts, which says that it is there."""
     keys = [f"k{i}" for i in range(len(columns))]
     texts = [as_text(F.col(key), find_field(df.schema, name).dataType) for key, name in zip(keys, columns)]
     if isinstance(part, str):
@@ -275,14 +378,13 @@ def count_states(
         F.array(*texts).alias("keys"), quoted(COUNT).alias("count"), of_set, of_part.alias("part")
     )
     if isinstance(part, str):
-        nothing = df.sparkSession.range(1, numPartitions=1).select(
-            F.lit(None).cast("array<string>").alias("keys"),
-            F.lit(0).cast("bigint").alias("count"),
-            of_set,
-            of_part.alias("part"),
-        )
-        states = states.unionByName(nothing)
-    return states
+        there = df.sparkSession.range(1, numPartitions=1).select(of_part.alias("part"))
+    else:
+        there = df.select(part.cast("string").alias("part")).distinct()
+    nothing = there.select(
+        F.lit(None).cast("array<string>").alias("keys"), F.lit(0).cast("bigint").alias("count"), of_set, "part"
+    )
+    return states.unionByName(nothing)
 
 
 def scan_values(states: DataFrame, metrics: list[Placed]) -> DataFrame:
@@ -298,4 +400,5 @@ def scan_values(states: DataFrame, metrics: list[Placed]) -> DataFrame:
 def count_values(states: DataFrame, columns: int, metrics: list[Placed]) -> list[DataFrame]:
     keys = [F.col("keys")[i].alias(f"k{i}") for i in range(columns)]
     counts = states.groupBy(*keys).agg(F.sum("count").alias(COUNT))
-    return rows_of_counts(counts, [F.col(f"k{i}") for i in range(columns)], metrics)
+    bins = [bin_rows(counts, F.col("k0"), one) for one in metrics if isinstance(one.metric, M.Histogram)]
+    return rows_of_counts(counts, columns, metrics) + bins

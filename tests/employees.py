@@ -1,18 +1,18 @@
 """A small employee file with NULLs, odd names, bad values and duplicates."""
 
 HEADER = [
-    "Emp ID",
-    "First Name",
-    "E Mail",
-    "SSN",
-    "Phone No. ",
-    "Salary",
-    "Age in Yrs.",
-    "Age in Company (Years)",
-    "Weight in Kgs.",
-    "Date of Joining",
-    "Month of Joining",
-    "Year of Joining",
+    "Badge",
+    "Called",
+    "Mail to",
+    "Tax id",
+    "Desk (ext). ",
+    "Pay",
+    "Years of age.",
+    "Years here (full)",
+    "Parking lot.",
+    "First day",
+    "First month",
+    "First year",
 ]
 
 ROWS = [

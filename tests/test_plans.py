@@ -61,9 +61,16 @@ def test_one_grouping_serves_all_metrics_on_the_same_columns(spark):
     metrics = [CountDistinct(pair), Uniqueness(pair[::-1]), MutualInformation(pair)]
     plan = final_plan(lazy(table(spark, "lineitem"), *metrics))
     assert plan.count("FileScan") == 1
-    plan = final_plan(lazy(table(spark, "lineitem"), Histogram("l_partkey", 5), Uniqueness("l_partkey")))
-    assert plan.count("FileScan") == 1
-    assert "TakeOrderedAndProject" in plan
+    df = lazy(table(spark, "lineitem"), Histogram("l_partkey", 5), Uniqueness("l_partkey"))
+    assert final_plan(df).count("FileScan") == 1
+    assert "TakeOrderedAndProject" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_part_of_the_columns_need_no_scan_of_their_own(spark):
+    sets = ["l_returnflag", "l_linestatus", ["l_returnflag", "l_linestatus"]]
+    metrics = [Uniqueness(columns) for columns in sets]
+    plan = final_plan(lazy(table(spark, "lineitem"), *metrics))
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
 
 
 def test_values_meet_the_reference_after_counting(spark):

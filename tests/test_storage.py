@@ -48,7 +48,7 @@ def metrics(spark, **values):
 
 
 def found(history, *tags):
-    rows = history.getSuccessMetricsAsDataFrame(list(tags) or None).collect()
+    rows = history.getSuccessMetricsAsDataFrame(list(tags)).collect()
     return {(row.dataset_date, row.name): row.value for row in rows}
 
 
@@ -72,7 +72,7 @@ def test_history_keeps_tags_and_filters_apart(spark):
     repository = FileSystemMetricsRepository(spark, scratch_folder(spark, "h"))
     for tags in ({"b": "1", "a": "2"}, {"a": "2", "b": "1"}, {"a": "3"}, {}):
         repository.save(ResultKey(spark, DAY, tags), metrics(spark, Mean=len(tags)))
-    rows = repository.load().getSuccessMetricsAsDataFrame().orderBy("a", "b").collect()
+    rows = repository.load().getSuccessMetricsAsDataFrame(["a", "b"]).orderBy("a", "b").collect()
     assert [(row.a, row.b, row.value) for row in rows] == [(None, None, 0), ("2", "1", 2), ("3", None, 1)]
     df = spark.range(10)
     runner = AnalysisRunner(spark).onData(df).addAnalyzer(Size()).addAnalyzer(Size("id < 3"))
@@ -93,10 +93,13 @@ def test_history_prunes_days(spark):
 def test_stamped_table(spark):
     target = MetricTable(spark, "stamped_metrics", scratch_folder(spark, "t"))
     stamp_and_append(metrics(spark, Mean=1.1), target, "analyzer")
-    stamped = stamp_and_append(metrics(spark, Sum=2), target)
-    assert stamped.columns == ["entity", "instance", "name", "value", "tag", "timestamp"]
+    stamped = stamp_and_append(metrics(spark, Sum=2), target, "other", run="r")
+    assert stamped.columns == ["entity", "instance", "name", "value", "tag", "timestamp", "run"]
+    assert stamped.first().timestamp == stamped.first().timestamp
+    target.append(stamped)
     rows = {(row.name, row.value, row.tag) for row in target.read().collect()}
-    assert rows == {("Mean", 1.1, "analyzer"), ("Sum", 2.0, "my new column")}
+    assert rows == {("Mean", 1.1, "analyzer"), ("Sum", 2.0, "other")}
+    assert target.read().count() == 2
 
 
 def test_jdbc_options_are_passed_on_and_not_shown(spark, monkeypatch):
@@ -122,12 +125,12 @@ def test_csv_kinds(spark):
     path = scratch_folder(spark, "csv")
     employees.frame(spark).coalesce(1).write.csv(path, header=True, ignoreTrailingWhiteSpace=False)
     text = read_csv(spark, path)
-    assert set(dict(text.dtypes).values()) == {"string"} and "Phone No. " in text.columns
+    assert set(dict(text.dtypes).values()) == {"string"} and "Desk (ext). " in text.columns
     inferred = dict(read_csv(spark, path, infer=True).dtypes)
-    assert inferred["Year of Joining"] == "int" and inferred["Salary"] == "string"
+    assert inferred["First year"] == "int" and inferred["Pay"] == "string"
     semicolons = read_csv(spark, path, options={"sep": ";"})
     assert len(semicolons.columns) == 1
-    assert value_set(text, "month of joining").count() == 9
+    assert value_set(text, "FIRST month").count() == 9
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
@@ -232,7 +235,7 @@ def test_micro_batches_merge(spark):
 
     def drain():
         stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        writer = stream.writeStream.foreachBatch(store.batch_writer(asked))
+        writer = stream.writeStream.foreachBatch(store.batch_writer(asked, "s1"))
         writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
     def merged():
@@ -248,7 +251,7 @@ def test_micro_batches_merge(spark):
         expected = whole(early if rows is early else df)
         assert [(r[:3], pytest.approx(r.value)) for r in merged()] == [(r[:3], r.value) for r in expected]
     files = spark.read.schema(df.schema).parquet(source)
-    store.save(files.limit(0), asked, "batch-9")
+    store.save(files.limit(0), asked, "s1-9")
     assert [r[:3] for r in merged()] == [r[:3] for r in whole(df)]
 
 
@@ -258,7 +261,7 @@ def test_sketches_merge(spark):
     asked = [ApproxCountDistinct("u"), ApproxQuantiles("v", [0.1, 0.5], 0.01)]
     store.save(df, asked, F.col("p"))
     values = {row.name: row.value for row in store.metrics(df, asked).collect()}
-    assert values["ApproxCountDistinct"] == pytest.approx(5000, rel=0.05)
+    assert values["ApproxCountDistinct"] == pytest.approx(5000, rel=0.15)
     assert values["ApproxQuantiles-0.1"] == pytest.approx(2000, abs=200)
     assert values["ApproxQuantiles-0.5"] == pytest.approx(10_000, abs=200)
 
@@ -269,3 +272,77 @@ def test_metrics_without_states_are_refused(spark):
         store.save(spark.range(3), [ApproxQuantiles("id", [0.5], 0.0)], "p")
     with pytest.raises(ValueError, match="MissingColumn"):
         store.save(spark.range(3), [Mean("x")], "p")
+
+
+def test_sketches_keep_the_error_asked_for(spark):
+    df = spark.range(300_000).select(F.col("id").alias("u"), F.col("id").cast("double").alias("v"))
+    store = StateStore(spark, scratch_folder(spark, "s"))
+    exact = ApproxCountDistinct("u", relativeDeviation=0.005)
+    store.save(df, [exact], "p")
+    assert store.metrics(df, [exact]).first().value == pytest.approx(300_000, rel=0.015)
+    for too_exact in (ApproxQuantiles("v", [0.5], 1e-6), ApproxCountDistinct("u", relativeDeviation=1e-5)):
+        with pytest.raises(ValueError, match="no sketch"):
+            store.save(df, [too_exact], "p")
+
+
+def test_missing_states_are_an_error(spark):
+    df, store = parted(spark), StateStore(spark, scratch_folder(spark, "s"))
+    with pytest.raises(ValueError, match="Size"):
+        store.metrics(df, [Size()])
+    for part in ("p0", "p1"):
+        store.save(df.where(F.col("part") == part), [Size(), Mean("x")], part)
+    store.save(df.where("part = 'p1'"), [Sum("x"), CountDistinct("t")], "p1")
+    sizes = {r.name: r.value for r in store.metrics(df, [Size(), Mean("x")]).collect()}
+    assert sizes["Size"] == df.where("part IN ('p0', 'p1')").count()
+    for lacking in (Sum("x"), CountDistinct("t"), CountDistinct("k")):
+        with pytest.raises(ValueError, match="state of every part"):
+            store.metrics(df, [Size(), lacking])
+    store.save(df.where("part = 'p0'"), [Sum("x"), CountDistinct("t")], "p0")
+    assert store.metrics(df, [Size(), Sum("x"), CountDistinct("t")]).count() == 3
+
+
+def test_roll_up_changes_no_value_and_counts_nothing_twice(spark):
+    df, store = parted(spark), StateStore(spark, scratch_folder(spark, "s"))
+    store.save(df, PARTED, F.col("part"))
+    before = sorted(store.metrics(df, PARTED).collect())
+    store.roll_up("old", ["p0", "p1", "p2"])
+    after = sorted(store.metrics(df, PARTED).collect())
+    assert [(r[:3], pytest.approx(r.value)) for r in after] == [(r[:3], r.value) for r in before]
+    assert store.metrics(df, [Size()], ["p1"]).first().value == df.where("part = 'p1'").count()
+    store.save(df.where("part = 'p4'"), [Size()], "p5")
+    with pytest.raises(ValueError, match="lack states"):
+        store.roll_up("more", ["p4", "p5"])
+
+
+def test_streams_with_new_checkpoints_do_not_meet(spark):
+    df, store = parted(spark), StateStore(spark, scratch_folder(spark, "s"))
+    for stream in ("one", "two", "two"):
+        store.batch_writer([Size()], stream)(df, 0)
+    assert store.metrics(df, [Size()]).first().value == 2 * df.count()
+
+
+def test_history_tells_metrics_apart_and_compacts(spark):
+    repository = FileSystemMetricsRepository(spark, scratch_folder(spark, "h"))
+    df = spark.range(10).withColumnRenamed("id", "lab")
+    runner = AnalysisRunner(spark).onData(df).addAnalyzers([Compliance("lab", "lab > 3"), Compliance("lab", "lab > 5")])
+    key = ResultKey(spark, 3 * DAY, {"value": "tagged"})
+    for _ in range(3):
+        runner.useRepository(repository).saveOrAppendResult(key).run()
+    before = sorted(repository.load().getSuccessMetricsAsDataFrame(["value"]).collect())
+    assert sorted(r.value for r in before) == [0.4, 0.6] and before[0].tag_value == "tagged"
+    assert repository.load().rows.count() == 6
+    repository.compact(3 * DAY)
+    assert repository.load().rows.count() == 6
+    repository.compact(4 * DAY)
+    assert repository.load().rows.count() == 2
+    assert sorted(repository.load().getSuccessMetricsAsDataFrame(["value"]).collect()) == before
+    assert repository.load().getSuccessMetricsAsDataFrame().first().tags == {"value": "tagged"}
+
+
+def test_saving_needs_repository_and_key(spark):
+    repository = FileSystemMetricsRepository(spark, scratch_folder(spark, "h"))
+    builder = AnalysisRunner(spark).onData(spark.range(3)).addAnalyzer(Size())
+    with pytest.raises(ValueError, match="both"):
+        builder.useRepository(repository).run()
+    with pytest.raises(ValueError, match="both"):
+        AnalysisRunner(spark).onData(spark.range(3)).saveOrAppendResult(ResultKey(spark, 1, {})).run()
