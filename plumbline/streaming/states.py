@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import time
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -46,7 +47,11 @@ FIELDS = {
     **dict.fromkeys(["distinct_sketch", "rank_sketch"], "binary"),
 }
 SCAN_SCHEMA = ", ".join(
-    ["metric string", *[f"{name} {kind}" for name, kind in FIELDS.items()], "metric_id string", "part string"]
+    [
+        "metric string",
+        *[f"{name} {kind}" for name, kind in FIELDS.items()],
+        "metric_id string, written_at bigint, saved string, part string",
+    ]
 )
 COUNTS_SCHEMA = "keys array<string>, count bigint, column_set string, part string"
 ROLLED_SCHEMA = "rolled string, part string"
@@ -201,6 +206,7 @@ class StateStore:
         self._scan_path = f"{path.rstrip('/')}/scan"
         self._counts_path = f"{path.rstrip('/')}/counts"
         self._rolled_path = f"{path.rstrip('/')}/rolled"
+        self._tables: dict[str, DataFrame] = {}
 
     def save(self, df: DataFrame, metrics: Sequence[M.Metric], part: str | Column) -> None:
         """Store states of ``df``; ``part`` names it, or is a column that splits it into parts.
@@ -210,7 +216,7 @@ class StateStore:
         self._check(df, metrics)
         scan = [metric for metric in dict.fromkeys(metrics) if metric.family == "scan"]
         if scan:
-            self._write(scan_states(df, scan, part), self._scan_path, "metric_id", "part")
+            self._write_scan(scan_states(df, scan, part), [repr(metric) for metric in scan])
         sets = {
             (resolved(df, metric), metric.where): None for metric in metrics if metric.family == "frequency"
         }
@@ -226,6 +232,7 @@ class StateStore:
         A ``ValueError`` names the metrics that some of the parts have no state of.
         """
         self._check(like, metrics)
+        self._tables = {}
         self._check_parts(like, metrics, parts)
         placed = [Placed(i, metric) for i, metric in enumerate(dict.fromkeys(metrics))]
         frames = []
@@ -264,6 +271,7 @@ class StateStore:
         more, unless by name, and may be removed.
         """
         parts = list(dict.fromkeys(parts))
+        self._tables = {}
         held = {row["id"]: row["count"] for row in self._held(parts).groupBy("id").count().collect()}
         if not held or min(held.values()) < len(parts):
             raise ValueError("some of the parts lack states that others have")
@@ -272,7 +280,7 @@ class StateStore:
         counts = self._read(self._counts_path, COUNTS_SCHEMA, parts)
         counts = counts.groupBy("column_set", "keys").agg(F.sum("count").alias("count")).withColumn("part", F.lit(rolled))
         if not scan.isEmpty():
-            self._write(scan.withColumn("metric_id", _short_hash("metric")), self._scan_path, "metric_id", "part")
+            self._write_scan(scan.withColumn("metric_id", _short_hash("metric")), [ROLLED])
         if not counts.isEmpty():
             self._write(counts, self._counts_path, "column_set", "part")
         covered = self._spark.createDataFrame([(rolled, part) for part in parts], ROLLED_SCHEMA)
@@ -319,8 +327,18 @@ class StateStore:
             .parquet(path)
         )
 
+    def _write_scan(self, states: DataFrame, together: list[str]) -> None:
+        """A folder for each part and set of metrics saved together; the time tells which of two sets is later."""
+        saved = hashlib.sha256(repr(together).encode()).hexdigest()[:16]
+        stamped = states.withColumns({"written_at": F.lit(time.time_ns()), "saved": F.lit(saved)})
+        self._write(stamped, self._scan_path, "saved", "part")
+
     def _read(self, path: str, schema: str, parts: Sequence[str] | None) -> DataFrame:
         states = self._table(path, schema)
+        if path == self._scan_path:
+            names = [name for name in states.columns if name not in ("metric_id", "part")]
+            last = F.max_by(F.struct(*names), "written_at").alias("last")
+            states = states.groupBy("metric_id", "part").agg(last).select("metric_id", "part", "last.*")
         if parts is not None:
             return states.filter(F.col("part").isin(*parts))
         rolled = self._table(self._rolled_path, ROLLED_SCHEMA)
@@ -333,12 +351,15 @@ class StateStore:
         )
 
     def _table(self, path: str, schema: str) -> DataFrame:
-        try:
-            return self._spark.read.schema(schema).parquet(path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self._spark.createDataFrame([], schema)
+        """A table of the store, its files listed once a call."""
+        if path not in self._tables:
+            try:
+                self._tables[path] = self._spark.read.schema(schema).parquet(path)
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                self._tables[path] = self._spark.createDataFrame([], schema)
+        return self._tables[path]
 
 
 def scan_states(df: DataFrame, metrics: Sequence[M.Metric], part: str | Column) -> DataFrame:
