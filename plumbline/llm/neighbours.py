@@ -4,7 +4,8 @@ Vectors get one more coordinate that makes them all equally long, after which th
 a query is the smallest distance to it.  Every projection on a random line has a sorted array of its own.  A
 query opens a window about its own value in each of them; virtual rehashing widens all windows by a factor,
 again and again, and a vector that lies in enough of them is verified by its exact inner product.  The windows
-stop when a given share of the vectors has been verified.
+stop when a given share of the vectors has been verified.  Equal vectors are one there, so that many copies of
+one do not use up the share; ranking puts all their rows back.
 
 The vectors are cut into shards and the queries into blocks, and each shard meets each block in a task; how many
 there are grows with the tables, their sizes do not.
@@ -26,7 +27,7 @@ FOUND = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
 
 @dataclass(frozen=True)
 class Settings:
-    """``projections`` lines; a vector in ``collisions`` of the windows is verified, up to ``verified`` of a shard."""
+    """``projections`` lines; a vector in ``collisions`` of the windows is verified, up to ``verified`` of a shard's distinct ones."""
 
     projections: int = 64
     collisions: float = 0.8
@@ -38,9 +39,14 @@ class Settings:
 
 
 class Index:
-    """The sorted arrays of a shard."""
+    """The sorted arrays of a shard's distinct vectors; ``copy_of`` has for each row the one it equals."""
 
     def __init__(self, vectors: np.ndarray, length: float, settings: Settings) -> None:
+        rows = np.ascontiguousarray(vectors + 0.0)  # No negative zeros: equal rows have equal bytes.
+        _, first, self.copy_of = np.unique(
+            rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True
+        )
+        vectors = rows[first]
         self.vectors, self.length, self.settings = vectors, length, settings
         lines = np.random.default_rng(settings.seed).normal(size=(vectors.shape[1] + 1, settings.projections))
         self.lines = lines
@@ -53,7 +59,7 @@ class Index:
         self.rank = np.ascontiguousarray(self.rank)
 
     def candidates(self, queries: np.ndarray) -> np.ndarray:
-        """For each query which vectors are verified."""
+        """For each query which distinct vectors are verified."""
         n, m = self.rank.shape[1], self.settings.projections
         needed, enough = int(np.ceil(self.settings.collisions * m)), int(np.ceil(self.settings.verified * n))
         long = np.sqrt((queries**2).sum(axis=1, keepdims=True))
@@ -105,9 +111,11 @@ class Index:
             part = queries[start : start + 32]
             for i, chosen in enumerate(self.candidates(part)):
                 own = query_ids[start + i]
-                here = np.nonzero(chosen & (ids != own))[0]
+                here = np.nonzero(chosen[self.copy_of] & (ids != own))[0]
                 # Row by row, so that equal vectors have equal scores wherever they stand.
-                score = np.einsum("ij,j->i", self.vectors[here], part[i])
+                exact = np.zeros(len(chosen))
+                exact[chosen] = np.einsum("ij,j->i", self.vectors[chosen], part[i])
+                score = exact[self.copy_of[here]]
                 best = np.lexsort([ids[here], -score])[:k]
                 rows.append((np.full(len(best), own), ids[here[best]], score[best]))
         query, found, score = (np.concatenate(x) for x in zip(*rows, strict=True))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from plumbline.llm.neighbours import Settings, nearest
+from plumbline.llm.neighbours import Index, Settings, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, shard int, rank string"
 
@@ -66,3 +66,20 @@ def test_equal_vectors_go_by_id(spark):
     vectors = [[0.3, 0.1, 0.7]] * 60
     rows = nearest(table(spark, vectors), every=60, k=20, settings=Settings(shard=16)).collect()
     assert sorted(r.vec_id for r in rows) == list(range(1, 21))
+
+
+def test_copies_behind_the_nearest_do_not_end_the_search():
+    hits, worst = 0, 10
+    for seed in range(20):
+        pick = np.random.default_rng(seed)
+        vectors = pick.normal(size=(4096, 64))
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        query = pick.normal(size=64)
+        query /= np.linalg.norm(query)
+        order = np.argsort(-(vectors @ query))
+        vectors[order[-1365:]] = vectors[order[10]]
+        got = Index(vectors, 1.0, Settings()).nearest(np.arange(4096), np.array([-1]), query[None], 20)
+        found = len(set(order[:10]) & set(got["vec_id"]))
+        hits, worst = hits + found, min(worst, found)
+        assert len(got["vec_id"]) == 20
+    assert hits >= 0.93 * 200 and worst >= 7
