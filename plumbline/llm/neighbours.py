@@ -4,7 +4,7 @@ Vectors get one more coordinate that makes them all equally long, after which th
 a query is the smallest distance to it.  Every projection on a random line has a sorted array of its own.  A
 query opens a window about its own value in each of them; virtual rehashing widens all windows by a factor,
 again and again, and a vector that lies in enough of them is verified by its exact inner product.  The windows
-stop when a given share of the vectors has been verified.  Equal vectors are one there, so that many copies of
+stop when a given share of the vectors, and as many as are asked for, have been verified.  Equal vectors are one there, so that many copies of
 one do not use up the share; ranking puts all their rows back.
 
 The vectors are cut into shards and the queries into blocks, and each shard meets each block in a task; how many
@@ -58,8 +58,8 @@ class Index:
             self.rank = self.rank.astype(np.uint16)
         self.rank = np.ascontiguousarray(self.rank)
 
-    def candidates(self, queries: np.ndarray) -> np.ndarray:
-        """For each query which distinct vectors are verified."""
+    def candidates(self, queries: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
+        """For each query which distinct vectors are verified: ``k`` or more that are not its ``own``, or all."""
         n, m = self.rank.shape[1], self.settings.projections
         needed, enough = int(np.ceil(self.settings.collisions * m)), int(np.ceil(self.settings.verified * n))
         long = np.sqrt((queries**2).sum(axis=1, keepdims=True))
@@ -78,7 +78,8 @@ class Index:
                 np.less(place, (high - low)[:, j, None], out=inside)
                 np.add(count, inside, out=count, casting="unsafe")
             chosen[active] = count >= needed
-            done = (chosen[active].sum(axis=1) >= enough) | ((high - low).min(axis=1) >= n)
+            verified, others = chosen[active].sum(axis=1), (chosen[active] & ~own[active]).sum(axis=1)
+            done = (verified >= enough) & (others >= k) | ((high - low).min(axis=1) >= n)
             active = active[~done]
             width[active] *= self.settings.widening
         return chosen
@@ -105,11 +106,17 @@ class Index:
             low, high = np.where(few, middle, low), np.where(few, high, middle)
         return np.maximum(low, 1e-3 * self.length)
 
+    def only(self, rows: np.ndarray) -> np.ndarray:
+        """Which distinct vectors stand in these rows alone."""
+        n = len(self.vectors)
+        return np.bincount(self.copy_of[~rows], minlength=n) == 0
+
     def nearest(self, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> dict[str, np.ndarray]:
         rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for start in range(0, len(queries), 32):
             part = queries[start : start + 32]
-            for i, chosen in enumerate(self.candidates(part)):
+            mine = np.stack([self.only(ids == own) for own in query_ids[start : start + 32]])
+            for i, chosen in enumerate(self.candidates(part, mine, k)):
                 own = query_ids[start + i]
                 here = np.nonzero(chosen[self.copy_of] & (ids != own))[0]
                 # Row by row, so that equal vectors have equal scores wherever they stand.

@@ -83,3 +83,14 @@ def test_copies_behind_the_nearest_do_not_end_the_search():
         hits, worst = hits + found, min(worst, found)
         assert len(got["vec_id"]) == 20
     assert hits >= 0.93 * 200 and worst >= 7
+
+
+def test_small_tables_give_all_that_are_asked_for(spark):
+    for n in (2, 10, 21, 30, 50, 66):
+        vectors = np.random.default_rng(n).normal(size=(n, 64))
+        length = np.linalg.norm(vectors, axis=1).max()
+        got = Index(vectors, length, Settings()).nearest(np.arange(n), np.arange(n), vectors, 20)
+        assert np.bincount(got["query_id"], minlength=n).tolist() == [min(20, n - 1)] * n
+    vectors = [[1, 0], [0.5, 0.5], [1, 0], [-1, 0], [0.2, 3]]
+    rows = nearest(table(spark, vectors, [0, 0, 0, 1, 2])).collect()
+    assert sorted((r.rank, r.vec_id) for r in rows) == [(1, 2), (2, 1)]
