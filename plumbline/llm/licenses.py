@@ -1,8 +1,9 @@
 """License notices in documents: candidates from an inverted index of winnowed fingerprints, then banded alignment.
 
 Texts are compared as words: runs of letters and digits in lower case.  Of every few successive word
-runs of a template the one with the smallest hash goes into the index, so that a stretch of ``RUN + WINDOW - 1``
-words in common always meets an entry.  Where entries of a template lie on like diagonals of a document, the template
+runs of a template the one with the smallest hash goes into the index.  The edits that the coverage allows leave
+some stretch of the template intact; runs and windows are so short that such a stretch always meets an
+entry.  Where entries of a template lie on like diagonals of a document, the template
 is aligned to the words there within a band, and the alignment tells how much of the template is matched and
 where.
 """
@@ -74,6 +75,12 @@ def winnowed(keys: np.ndarray, window: int) -> np.ndarray:
     return np.unique([p + len(w) - 1 - int(w[::-1].argmin()) for p in places for w in (hashes[p : p + window],)])
 
 
+def stretch(n: int, coverage: float) -> int:
+    """Words in a row that stay whole in a template of ``n`` words, whichever ones ``coverage`` lets edits change."""
+    k = n - max(1, int(np.ceil(coverage * n - 1e-9)))
+    return -(-(n - k) // (k + 1))
+
+
 def align(template: np.ndarray, region: np.ndarray, slack: int) -> list[tuple[int, int]]:
     """Pairs of equal words in a best alignment of the template to a stretch of ``region``.
 
@@ -112,12 +119,13 @@ class Scanner:
         self.texts = [np.array([self.number[w] for w in t], dtype=np.int64) for t in words]
         self.base, self.coverage = len(self.number) + 1, coverage
         self.indexes = {}
-        for size in {min(RUN, len(t)) for t in self.texts}:
+        intact = [stretch(len(t), coverage) for t in self.texts]
+        for size in {min(RUN, whole) for whole in intact}:
             keys, owners, places = [], [], []
-            for i, text in enumerate(self.texts):
-                if min(RUN, len(text)) == size:
+            for i, (text, whole) in enumerate(zip(self.texts, intact, strict=True)):
+                if min(RUN, whole) == size:
                     key = runs(text, size, self.base)
-                    at = winnowed(key, WINDOW)
+                    at = winnowed(key, min(WINDOW, whole - size + 1))
                     keys.append(key[at])
                     owners.append(np.full(len(at), i))
                     places.append(at)
@@ -175,8 +183,9 @@ class Scanner:
 def licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """``(doc_id, license, coverage, start, end, spans)``: a row for each place of each template in each row of ``docs``.
 
-    A place counts if ``coverage`` or more of the template's words are matched there in order.  Spans are in
-    code points, end exclusive.  NULL and empty texts hold nothing; a row that is repeated is
+    A place counts if ``coverage`` or more of the template's words are matched there in order; it is sure to be
+    met if word insertions, deletions and replacements together are as few as ``coverage`` lets words be
+    missing (more, if some are insertions, may leave no run of the index whole).  Spans are in code points, end exclusive.  NULL and empty texts hold nothing; a row that is repeated is
     reported as often; templates without words are left out.
     """
     scanner = Scanner(TEMPLATES if templates is None else templates, coverage)

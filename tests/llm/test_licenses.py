@@ -75,3 +75,20 @@ def test_query(spark):
     for d in docs:
         words = b" " + b" ".join(normal_words(d.text)) + b" "
         assert {n for n, line in lines.items() if line in words} <= {n for i, n in got if i == d.doc_id}
+
+
+def test_every_change_that_the_coverage_allows_is_found():
+    scanner = li.Scanner(li.TEMPLATES)
+    pick = random.Random(8)
+    for name, template in li.TEMPLATES.items():
+        words = [w.decode() for w in normal_words(template)]
+        allowed = len(words) - int(np.ceil(li.COVERAGE * len(words)))
+        line = name.endswith("(line)")
+        changes = [[i] for i in range(len(words))] if line else []
+        # Changes that leave the shortest stretches whole, and others.
+        changes.append([(i + 1) * (len(words) + 1) // (allowed + 1) - 1 for i in range(allowed)])
+        changes += [pick.sample(range(len(words)), allowed) for _ in range(20)]
+        for places in changes:
+            text = "before it " + " ".join("zzz" if i in places else w for i, w in enumerate(words)) + " after it"
+            found = {(license, round(share * len(words))) for _, license, share, *_ in scanner.search([text])}
+            assert (name, len(words) - len(places)) in found, (name, places)
