@@ -12,20 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.contamination import mixed
-from plumbline.llm.words import arrow, portions, texts_of
+from plumbline.llm.words import arrow, column, portions, texts_of
 from plumbline.session import scratch_folder
 
 BITS = 64
 LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 LANES = np.uint64(0x0101010101010101)
 TILE = 1024
-FINGERPRINT = {"doc_id": pa.int64(), "fp": pa.int64()}
+FINGERPRINT = {"doc_id": pa.int64(), "body": pa.int64(), "fp": pa.int64()}
+PRINTED = "doc_id long, body long, fp long"
 LINK = {"a": pa.int64(), "b": pa.int64()}
-#: Each of ``KEYS`` keys is made of the least values of ``LEAST`` hash functions over a text's shingles.
-KEYS, LEAST = 20, 4
-SKETCH = {"doc_id": pa.int64(), "whole": pa.int64(), "size": pa.int64(), "keys": pa.list_(pa.int64())}
-SETS = {"whole": pa.int64(), "held": pa.list_(pa.int64())}
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -61,14 +57,18 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` for every row; a NULL text is an empty one, whose fingerprint is zero."""
+    """``(doc_id, body, fp)`` for every row; a NULL text is an empty one, whose fingerprint is zero.
+
+    ``body`` is a hash of the text, which tells differing texts of one ``doc_id`` apart.
+    """
 
     def prints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in portions(batches):
             found = np.array([fingerprint(x, shingle, seed) for x in texts], dtype=np.uint64)
-            yield arrow({"doc_id": part.column(0), "fp": found.view(np.int64)}, FINGERPRINT)
+            yield arrow({"doc_id": part.column(0), "body": part.column(1), "fp": found.view(np.int64)}, FINGERPRINT)
 
-    return texts_of(docs).mapInArrow(prints, "doc_id long, fp long")
+    rows = texts_of(docs).select("doc_id", F.xxhash64("text").alias("body"), "text")
+    return rows.mapInArrow(prints, PRINTED)
 
 
 def masks(blocks: int, same: int) -> list[int]:
@@ -184,6 +184,16 @@ def links(distinct: DataFrame, most: int = 3, blocks: int = 6, references: int =
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
+def grouped(docs: DataFrame, most: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, stored in ``folder``; and each distinct one with the root of its group."""
+    fingerprints(docs).write.parquet(folder)
+    rows = docs.sparkSession.read.schema(PRINTED).parquet(folder)
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    roots = components(links(distinct.select("fp"), most))
+    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return rows, placed.withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_copies(docs: DataFrame, most: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``.
 
@@ -192,14 +202,7 @@ def near_copies(docs: DataFrame, most: int = 3) -> DataFrame:
     ``doc_id`` take part, and are the smallest only where no other is there (NULL then).  A table
     without rows gives none.
     """
-    spark = docs.sparkSession
-    folder = scratch_folder(spark, "fingerprints")
-    fingerprints(docs).write.parquet(folder)
-    rows = spark.read.schema("doc_id long, fp long").parquet(folder)
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct.select("fp"), most))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "fp"))
+    rows, placed = grouped(docs, most, scratch_folder(docs.sparkSession, "fingerprints"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(placed.select("fp", "root"), "fp").join(smallest, "root").select("doc_id", "fp", "component_id")
 
@@ -208,97 +211,22 @@ def report(docs: DataFrame) -> DataFrame:
     return near_copies(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
+def first_of_each(docs: DataFrame, most: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each group of near copies is kept.
 
-    That is the one with the smallest ``doc_id``, with all columns as they were; of rows repeating a
-    ``doc_id`` one stays.  Rows without a ``doc_id`` belong to no group and all stay.
+    That is the one with the smallest ``doc_id`` (a NULL comes last), of several texts under that id the one with
+    the smallest hash, with all columns as they were; of rows that repeat both id and text one stays.  It goes by rows,
+    not by ids: another text under the same id stays if its own group has no smaller.
     """
-    kept = near_copies(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
-
-
-def keys_of(held: np.ndarray) -> np.ndarray:
-    """Keys of a set of hashes: two sets of similarity ``s`` share each one with probability ``s ** LEAST``."""
-    factors = np.random.default_rng(17).integers(0, 2**63, KEYS * LEAST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(KEYS * LEAST, 2**64 - 1, dtype=np.uint64)
-    for start in range(0, len(held), 4096):
-        least = np.minimum(least, (held[None, start : start + 4096] * factors[:, None]).min(axis=1))
-    keys = np.arange(KEYS, dtype=np.uint64)
-    for one in least.reshape(KEYS, LEAST).T:
-        keys = mixed(keys * np.uint64(31) + one)
-    return keys.view(np.int64)
-
-
-def whole_of(held: np.ndarray) -> int:
-    return signed(xxhash.xxh64_intdigest(held.tobytes()))
-
-
-def first_of_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """As :func:`first_of_each`, for texts whose sets of shingles are alike: ``similarity`` or more is their Jaccard index.
-
-    Such texts may be a dozen and more bits of a SimHash fingerprint apart, and no choice of equal bits reaches
-    them all.  They meet by keys of least hashes instead: at similarity 0.8 all ``KEYS`` keys differ in 3 of
-    100,000 pairs, above it in fewer.  All that meet are compared by their exact sets, in two steps: first each text with one of
-    each of its meetings; then, where a meeting's texts are still in different groups, all pairs of such.
-    """
-    spark = docs.sparkSession
-    named = docs.where("doc_id IS NOT NULL")
-
-    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in portions(batches):
-            sets = [np.unique(hashed(x, shingle)) for x in texts]
-            # Differing sets of fewer are less alike than what can be asked for here.
-            least = int(np.floor(similarity / (1 - similarity) + 1e-9)) if similarity < 1 else 1 << 62
-            columns = {
-                "doc_id": part.column(0), "whole": [whole_of(x) for x in sets], "size": [len(x) for x in sets],
-                "keys": [keys_of(x) if len(x) >= least else np.zeros(0, dtype=np.int64) for x in sets],
-            }
-            yield arrow(columns, SKETCH)
-
-    def held(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in portions(batches):
-            sets = [np.unique(hashed(x, shingle)) for x in texts]
-            yield arrow({"whole": [whole_of(x) for x in sets], "held": [x.view(np.int64) for x in sets]}, SETS)
-
-    folder = scratch_folder(spark, "sketches")
-    schema = "doc_id long, whole long, size long, keys array<long>"
-    texts_of(named).mapInArrow(sketch, schema).write.parquet(folder)
-    rows = spark.read.schema(schema).parquet(folder)
-    firsts = rows.groupBy("whole").agg(F.min("doc_id").alias("first"))
-    # Equal sets have equal keys, and one row of each goes to the meetings.
-    chosen = rows.join(firsts, "whole").where("doc_id = first").dropDuplicates(["whole"])
-    met = chosen.select("whole", "size", F.explode("keys").alias("key"))
-    of_size = F.least("size", "other_size") >= similarity * F.greatest("size", "other_size") - 1e-9
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs ``(a, b)`` whose sets are similar enough."""
-        folder = scratch_folder(spark, "pairs")
-        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().write.parquet(folder)
-        pairs = spark.read.schema("a long, b long").parquet(folder)
-        asked = pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct()
-        ids = firsts.join(asked, "whole").select(F.col("first").alias("doc_id")).distinct()
-        texts = texts_of(named).join(ids, "doc_id", "left_semi")
-        sets = texts.mapInArrow(held, "whole long, held array<long>").join(asked, "whole", "left_semi").dropDuplicates(["whole"])
-        both = pairs.join(sets.toDF("a", "held"), "a").join(sets.toDF("b", "other"), "b")
-        shared = F.size(F.array_intersect("held", "other"))
-        enough = shared >= similarity * (F.size("held") + F.size("other") - shared) - 1e-9
-        folder = scratch_folder(spark, "alike")
-        both.where(enough).select("a", "b").write.parquet(folder)
-        return spark.read.schema("a long, b long").parquet(folder)
-
-    hosts = met.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("whole", "size")).alias("host")).where("n > 1")
-    meetings = met.join(hosts, "key").withColumn("other_size", F.col("host.size"))
-    near = alike(meetings.where(of_size & (F.col("whole") != F.col("host.whole"))).select(F.col("whole").alias("a"), F.col("host.whole").alias("b")))
-    grouped = meetings.select("key", "whole", "size").join(components(near).withColumnRenamed("node", "whole"), "whole", "left")
-    grouped = grouped.withColumn("root", F.coalesce("root", "whole"))
-    open_ = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    grouped = grouped.join(open_, "key")
-    others = grouped.select("key", F.col("whole").alias("b"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
-    across = grouped.join(others, "key").where((F.col("whole") < F.col("b")) & (F.col("root") != F.col("other_root")) & of_size)
-    roots = components(near.union(alike(across.select(F.col("whole").alias("a"), "b"))))
-    placed = firsts.join(roots.withColumnRenamed("node", "whole"), "whole", "left").withColumn("root", F.coalesce("root", "whole"))
-    kept = placed.groupBy("root").agg(F.min("first").alias("doc_id")).select("doc_id").distinct()
-    staying = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return staying.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    rows, placed = grouped(docs, most, scratch_folder(docs.sparkSession, "fingerprints"))
+    counted = rows.groupBy("doc_id", "body", "fp").agg(F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "body", "times")).alias("first")
+    kept = counted.join(placed.select("fp", "root"), "fp").groupBy("root").agg(first)
+    kept = kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.body").alias("kept_body"), "first.times")
+    texts = column("text").cast("string")
+    all_rows = docs.select(F.struct("*").alias("row"), column("doc_id").cast("long").alias("id"), F.xxhash64(texts).alias("body"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("body") == F.col("kept_body"))
+    # Texts are shuffled once, and only those of repeated rows are compared further.
+    staying = all_rows.join(kept.hint("shuffle_hash"), same)
+    repeated = staying.where("times > 1").dropDuplicates(["id", "body"])
+    return staying.where("times = 1").union(repeated).select("row.*")

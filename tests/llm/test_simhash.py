@@ -80,34 +80,22 @@ def test_first_of_each(spark):
     docs = hard.documents(spark)
     kept = simhash.first_of_each(docs)
     assert kept.schema.simpleString() == docs.schema.simpleString()
-    named = [(r.doc_id, plain_print(r.text)) for r in docs.collect() if r.doc_id is not None]
-    expected = sorted({d for (d, _), c in zip(named, plain_components(named), strict=True) if d == c})
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == expected and ids.count(None) == 2
-
-
-def test_first_of_similar_against_all_pairs(spark):
-    pick = np.random.default_rng(9)
-    texts = []
-    for _ in range(40):
-        words = [f"w{x}" for x in pick.integers(0, 3000, int(pick.integers(3, 120)))]
-        texts.append(words)
-        for _ in range(3):
-            changed = list(words)
-            for _ in range(int(pick.integers(0, 4))):
-                changed[int(pick.integers(0, len(words)))] = "other"
-            texts.append(changed)
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
-    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(10**6 + i, " ".join(w)) for i, w in enumerate(texts)]
-    words = [(i, t.lower().split()) for i, t in rows]
-    sets = [(i, {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)}) for i, w in words]
-    root = {i: i for i, _ in sets}
-    far = 0
-    for n, (i, a) in enumerate(sets):
-        for m, (j, b) in enumerate(sets[:n]):
-            if len(a & b) >= 0.8 * len(a | b) - 1e-9:
-                far += (plain_print(rows[n][1]) ^ plain_print(rows[m][1])).bit_count() > 3
-                low, high = sorted((root[i], root[j]))
-                root = {k: low if v == high else v for k, v in root.items()}
-    kept = [r.doc_id for r in simhash.first_of_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert far > 10 and sorted(kept) == sorted(set(root.values()))
+    rows = [(r.doc_id, plain_print(r.text)) for r in docs.collect()]
+    expected = [d for (d, _), c in zip(rows, plain_components(rows), strict=True) if d == c]
+    # Rows of equal fingerprints without a doc_id are one group, and stay only where no other is in it.
+    assert sorted({r.doc_id for r in kept.collect()} - {None}) == sorted(set(expected) - {None})
+    assert kept.count() == len(set(plain_components([(i, fp) for i, (_, fp) in enumerate(rows)])))
+    assert simhash.first_of_each(hard.none(spark)).count() == 0
+
+
+def test_rows_not_ids_decide_who_stays(spark):
+    copy = " ".join(f"word{i}" for i in range(400))
+    near, other = copy + " more", " ".join(f"thing{i}" for i in range(300))
+    third = " ".join(f"third{i}" for i in range(300))
+    rows = [(1, copy, 1), (2, near, 2), (2, other, 3), (2, other, 3), (None, third, 4), (None, third, 4), (None, near, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, body long")
+    assert simhash.links(simhash.fingerprints(docs).select("fp").distinct()).count()
+    kept = simhash.first_of_each(docs)
+    assert hard.rows_of(kept) == hard.rows_of(spark.createDataFrame([rows[0], rows[2], rows[4]], docs.schema))
+    many = spark.createDataFrame([(i % 3, copy if i % 2 else None) for i in range(2000)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.first_of_each(many).collect()) == [0, 0]
