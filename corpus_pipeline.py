@@ -18,8 +18,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest ``doc_id``, of each group whose five-word shingles are 0.8 or more alike."""
-    return simhash.first_of_similar(docs)
+    """One document, that of the smallest ``doc_id``, of each group linked by fingerprints 3 or fewer bits apart."""
+    return simhash.first_of_each(docs)
 
 
 def free_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
