@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.gallery.base import Query, table
-from plumbline.llm import contamination, filters, language, licenses, neighbours, resampling, secrets, sentencepieces, simhash, tokenfiles, toxicity
+from plumbline.llm import contamination, divergence, filters, language, licenses, neighbours, resampling, secrets, sentencepieces, simhash, tokenfiles, toxicity
 
 
 def op1_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filters.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_importance_resampling": Query(op1_importance_resampling),
     "op2_toxicity": Query(op2_toxicity),
@@ -67,4 +71,5 @@ QUERIES: dict[str, Query] = {
     "op9_language": Query(op9_language),
     "op10_benchmark_passages": Query(op10_benchmark_passages),
     "op12_filter_audit": Query(op12_filter_audit, filters.ORACLE_SQL),
+    "op13_source_divergence": Query(op13_source_divergence, divergence.ORACLE_SQL),
 }
