@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.gallery.base import Query, table
-from plumbline.llm import contamination, divergence, filters, language, licenses, neighbours, resampling, secrets, sentencepieces, simhash, tokenfiles, toxicity
+from plumbline.llm import contamination, divergence, filters, language, licenses, neighbours, pitmanyor, resampling, secrets, sentencepieces, simhash, tokenfiles, toxicity
 
 
 def op1_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return pitmanyor.report(table(spark, folder, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filters.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op8_licenses": Query(op8_licenses),
     "op9_language": Query(op9_language),
     "op10_benchmark_passages": Query(op10_benchmark_passages),
+    "op11_language_model": Query(op11_language_model),
     "op12_filter_audit": Query(op12_filter_audit, filters.ORACLE_SQL),
     "op13_source_divergence": Query(op13_source_divergence, divergence.ORACLE_SQL),
 }
