@@ -120,7 +120,7 @@ def shards_of(model):
 def test_scores_token_by_token(spark, monkeypatch):
     rows = list(enumerate(some_texts()))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    monkeypatch.setattr(py, "SHARD_CHARACTERS", 2000)
+    monkeypatch.setattr(py, "SHARD_CHARACTERS", 500)
     model = py.train(docs.where("doc_id % 3 > 0"))
     assert model.shards > 3
     shards = shards_of(model)
