@@ -35,9 +35,11 @@ STRENGTH = 1.0
 #: Sweeps over all customers, and how many of the last are averaged.
 SWEEPS, AVERAGED = 3, 2
 #: Characters of the texts for each shard of words, and tokens and texts that a task holds at once.
-SHARD_CHARACTERS, BLOCK_TOKENS, BLOCK_TEXTS = 16_000_000, 3_000_000, 65_536
-WORDS_KEPT = 500_000
+SHARD_CHARACTERS, BLOCK_TOKENS, BLOCK_TEXTS = 12_000_000, 2_000_000, 65_536
+WORDS_KEPT = 400_000
 CELLS = 500_000
+#: Customers of a word in a restaurant whose tables are drawn at once.
+PARTY = 16
 #: The end of a text is a token, and the context of its first word; no word is empty.
 BOUNDARY = b""
 
@@ -81,7 +83,7 @@ class Coder:
         end = self.numbers[BOUNDARY]
         numbers, bounds = self.numbers.of(lists)
         sizes = np.diff(bounds)
-        out = np.full(len(numbers) + len(texts), end, dtype=np.int64)
+        out = np.full(len(numbers) + len(texts), end, dtype=np.int32)
         out[np.arange(len(numbers)) + np.repeat(np.arange(len(texts)), sizes)] = numbers
         if fresh := self.numbers.fresh:
             digest = xxhash.xxh64_intdigest
@@ -113,7 +115,7 @@ class Block:
         """The words that occur, by shard and hash, as hashes and shards; and of each token, its word's place and context."""
         numbers = np.concatenate([x for x, _ in self.parts])
         end = self.coder.numbers[BOUNDARY]
-        before = np.concatenate([[end], numbers[:-1]])
+        before = np.concatenate([np.array([end], dtype=np.int32), numbers[:-1]])
         seen = np.zeros(len(self.coder.numbers), dtype=bool)
         seen[numbers] = True
         words = np.flatnonzero(seen)
@@ -294,52 +296,87 @@ class Opening:
     least: np.ndarray
     below: np.ndarray
 
-    def of(self, rows: np.ndarray, t: np.ndarray) -> np.ndarray:
-        above = np.maximum(self.mass[rows] + self.slope * t, self.least[rows]) / self.below[rows]
-        return (STRENGTH + self.discount * (self.rest[rows] + t)) * above
+    def of(self, t: np.ndarray | int) -> np.ndarray:
+        above = np.maximum(self.mass + self.slope * t, self.least) / self.below
+        return (STRENGTH + self.discount * (self.rest + t)) * above
+
+    def at(self, rows: np.ndarray) -> Opening:
+        return Opening(self.discount, self.rest[rows], self.mass[rows], self.slope, self.least[rows], self.below[rows])
+
+
+def ways(discount: float) -> np.ndarray:
+    """For up to ``PARTY`` customers, the weight of all seatings of ``c`` at ``t`` tables, but for what opening the tables weighs."""
+    found = np.zeros((PARTY + 1, PARTY + 1))
+    found[1, 1] = 1
+    for c in range(2, PARTY + 1):
+        t = np.arange(1, c + 1)
+        found[c, t] = found[c - 1, t - 1] + (c - 1 - discount * t) * found[c - 1, t]
+    return found
 
 
 class Seating:
-    """The sizes of the tables of many entries, an entry being a word in a restaurant; at first one table each."""
+    """The tables of many entries, an entry being a word in a restaurant; at first one table each.
+
+    Entries of up to ``PARTY`` customers need no more than the number of their tables, which is drawn for all its customers
+    at once; of others the sizes of the tables are held, and their customers are seated one by one.
+    """
 
     def __init__(self, customers: np.ndarray) -> None:
         self.customers = customers.astype(np.int64)
-        self.sizes = self.customers.copy()
-        self.tables = np.ones(len(customers), dtype=np.int64)
-        self.starts = np.arange(len(customers))
+        self.tables = np.ones(len(customers), dtype=np.int32)
+        self.large = np.flatnonzero(self.customers > PARTY)
+        self.sizes = self.customers[self.large]
 
     def sweep(self, customers: np.ndarray, opening: Opening, pick: np.random.Generator) -> None:
-        """Seat or send away until there are ``customers``, then take as many as there are, one after the other, and seat each anew."""
-        changed = np.flatnonzero((customers > 1) | (self.customers != customers))
+        """Seat all of the ``customers``, of whom there may be more or fewer than before, anew."""
+        large = np.flatnonzero(customers > PARTY)
+        sizes = self.sizes_of(large)
         self.customers = customers.astype(np.int64)
-        order = changed[np.lexsort((customers[changed], self.tables[changed]))]
-        sizes, starts, at = [], self.starts.copy(), 0
-        same = np.ones(len(customers), dtype=bool)
-        same[changed] = False
-        tables = self.tables.copy()
-        low = 0
+        known = ways(opening.discount)
+        for c in range(2, PARTY + 1):
+            rows = np.flatnonzero(customers == c)
+            if len(rows):
+                weights, running, own = np.empty((len(rows), c)), np.ones(len(rows)), opening.at(rows)
+                for t in range(1, c + 1):
+                    weights[:, t - 1] = known[c, t] * running
+                    if t < c:
+                        running *= own.of(t)
+                weights = np.cumsum(weights, axis=1)
+                self.tables[rows] = 1 + (weights[:, :-1] <= (pick.random(len(rows)) * weights[:, -1])[:, None]).sum(axis=1)
+        self.tables[customers == 1] = 1
+        lengths = self.tables[large].astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        order = np.lexsort((customers[large], lengths))
+        found, low = [], 0
         while low < len(order):
-            width = int(self.tables[order[low]])
+            width = int(lengths[order[low]])
             high = min(len(order), low + max(1, CELLS // (width + 4)))
-            high = low + int(np.searchsorted(self.tables[order[low:high]], 2 * width + 4, "right"))
-            rows = order[low:high]
-            found = reseated(self.padded(rows), self.customers[rows], rows, opening, pick)
-            there = found > 0
-            tables[rows] = there.sum(axis=1)
-            starts[rows] = at + np.cumsum(tables[rows]) - tables[rows]
-            sizes.append(found[there])
-            at += len(sizes[-1])
+            high = low + int(np.searchsorted(lengths[order[low:high]], 2 * width + 4, "right"))
+            some = order[low:high]
+            table = np.zeros((len(some), int(lengths[some].max()) + 3), dtype=np.int64)
+            table[np.arange(table.shape[1]) < lengths[some, None]] = sizes[spread(starts[some], lengths[some])]
+            table = reseated(table, self.customers[large[some]], opening.at(large[some]), pick)
+            self.tables[large[some]] = (table > 0).sum(axis=1)
+            found.append((some, table[table > 0]))
             low = high
-        rest = np.flatnonzero(same)
-        sizes.append(self.sizes[spread(self.starts[rest], self.tables[rest])])
-        starts[rest] = at + np.cumsum(self.tables[rest]) - self.tables[rest]
-        self.sizes, self.starts, self.tables = np.concatenate(sizes), starts, tables
-
-    def padded(self, rows: np.ndarray) -> np.ndarray:
-        width = int(self.tables[rows].max())
-        table = np.zeros((len(rows), width + 3), dtype=np.int64)
-        table[np.arange(width + 3) < self.tables[rows, None]] = self.sizes[spread(self.starts[rows], self.tables[rows])]
-        return table
+        lengths = self.tables[large].astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        self.large, self.sizes = large, np.zeros(int(lengths.sum()), dtype=np.int64)
+        for some, seated_ in found:
+            self.sizes[spread(starts[some], lengths[some])] = seated_
+
+    def sizes_of(self, entries: np.ndarray) -> np.ndarray:
+        """The sizes of the tables of some entries, one after the other; where none are held, all tables but one are of one."""
+        lengths = self.tables[entries].astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        found = np.ones(int(lengths.sum()), dtype=np.int64)
+        found[starts] = self.customers[entries] - lengths + 1
+        there = np.isin(entries, self.large)
+        own = self.tables[self.large].astype(np.int64)
+        begun = np.cumsum(own) - own
+        at = np.searchsorted(self.large, entries[there])
+        found[spread(starts[there], lengths[there])] = self.sizes[spread(begun[at], own[at])]
+        return found
 
 
 def wider(table: np.ndarray) -> np.ndarray:
@@ -369,7 +406,7 @@ def left_at(some: np.ndarray, pick: np.random.Generator, first: int = 0) -> np.n
     return np.minimum(first + (running <= (pick.random(len(some)) * running[:, -1])[:, None]).sum(axis=1), some.shape[1] - 1)
 
 
-def reseated(table: np.ndarray, customers: np.ndarray, rows: np.ndarray, opening: Opening, pick: np.random.Generator) -> np.ndarray:
+def reseated(table: np.ndarray, customers: np.ndarray, opening: Opening, pick: np.random.Generator) -> np.ndarray:
     """The tables after a Gibbs sweep: for as many steps as there are customers, one chosen evenly leaves and is seated anew.
 
     Most steps take a customer from the largest table back to it; how many such steps come before the next other one
@@ -378,7 +415,7 @@ def reseated(table: np.ndarray, customers: np.ndarray, rows: np.ndarray, opening
     d = opening.discount
     need = customers - table.sum(axis=1)
     while len(seen := np.flatnonzero(need > 0)):
-        table = seat(table, seen, opening.of(rows[seen], (table[seen] > 0).sum(axis=1)), d, None, pick)
+        table = seat(table, seen, opening.at(seen).of((table[seen] > 0).sum(axis=1)), d, None, pick)
         need[seen] -= 1
     while len(seen := np.flatnonzero(need < 0)):
         table[seen, left_at(table[seen], pick)] -= 1
@@ -389,7 +426,7 @@ def reseated(table: np.ndarray, customers: np.ndarray, rows: np.ndarray, opening
     while len(seen):
         some, all_ = table[seen], customers[seen]
         first, t = some[:, 0], (some > 0).sum(axis=1)
-        back = (first - 1 - d) / (all_ - 1 - d * t + opening.of(rows[seen], t))
+        back = (first - 1 - d) / (all_ - 1 - d * t + opening.at(seen).of(t))
         stay = np.where(first > 1, first / all_ * back, 0.0)
         steps[seen] -= pick.geometric(np.maximum(1 - stay, 1e-15))
         on = steps[seen] >= 0
@@ -400,7 +437,7 @@ def reseated(table: np.ndarray, customers: np.ndarray, rows: np.ndarray, opening
         at = np.where(from_first, 0, left_at(some, pick, 1))
         table[seen, at] -= 1
         t = (table[seen] > 0).sum(axis=1)
-        table = seat(table, seen, opening.of(rows[seen], t), d, from_first & (first > 1), pick)
+        table = seat(table, seen, opening.at(seen).of(t), d, from_first & (first > 1), pick)
     return table
 
 
@@ -415,7 +452,7 @@ class Shard:
         of_class = word * CLASSES + (self.contexts >> WITHIN)
         starts = cut(of_class)
         self.classes = of_class[starts]
-        self.class_of = np.repeat(np.arange(len(starts)), stretches(starts, len(of_class)))
+        self.class_of = np.repeat(np.arange(len(starts), dtype=np.int32), stretches(starts, len(of_class)))
         self.word_of = self.classes // CLASSES
         self.counts = np.bincount(word, counts, len(self.words)).astype(np.int64)
         self.seats2 = Seating(counts)
@@ -636,7 +673,7 @@ def answered(row: dict, shard: Shard, samples: Sequence[Sample]) -> pa.RecordBat
         "block": [row["block"]], "kind": [1], "docs": [some.tobytes()],
         "score": [np.bincount(at, np.log10(p)[pair] * times).tobytes()],
         "base": [np.bincount(at, base[word] * times).tobytes()],
-        "known": [np.bincount(at, (counts > 0)[word] * times).astype(np.int64).tobytes()],
+        "known": [np.bincount(at, (counts > 0)[word] * times).astype(np.uint32).tobytes()],
     }
     return arrow(columns, TOLD)
 
@@ -658,7 +695,7 @@ class Answer:
         self.known = np.zeros(len(self.ids), dtype=np.int64)
 
     def add(self, row: dict) -> None:
-        docs, score, base, known = read(row, docs=np.uint16, score=np.float64, base=np.float64, known=np.int64)
+        docs, score, base, known = read(row, docs=np.uint16, score=np.float64, base=np.float64, known=np.uint32)
         self.score[docs] += score
         self.base[docs] += base
         self.known[docs] += known
