@@ -11,21 +11,26 @@ under a name of its own; what failed or doubled tasks leave is in no row of the
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import pfor
-from plumbline.llm.words import Numbers, Ragged, arrow, importable, portions, texts_of
+from plumbline.llm.words import Numbers, Ragged, arrow, importable, sized, texts_of
 from plumbline.session import scratch_folder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -33,9 +38,26 @@ END = 2
 MAGIC = b"PFORIDS1"
 TAIL = struct.Struct("<QQQQ")
 WORDS_KEPT = 600_000
-TEXT_IN_FILE = 32_000_000
+TEXT_IN_FILE, CHARACTERS = 32_000_000, 2_000_000
 WRITTEN = {"file": pa.string(), "place": pa.int64(), "docs": pa.int64(), "tokens": pa.int64()}
 READ = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary()}
+#: How the tokenizer file that words are learnt for states its normaliser and its splitter.
+NORMALISER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+    ],
+}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed", "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: How the vocabulary's own splitting cuts a word without blanks; the last part stands for signs of any kind.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: Signs that normalise, split and lower-case as plainly as that pattern says.
@@ -50,63 +72,89 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which is asked once for each word as long as words are kept.
+    """Ids of texts by the tokenizers library, which is asked once for each part of a word as long as parts are kept.
 
-    The vocabulary drops white space and joins nothing across it, so that the ids of a text are those
-    of its words.
+    That is for a vocabulary that normalises and splits as ``NORMALISER`` and ``SPLITTER`` say: it drops white space
+    and joins nothing across it, so that the ids of a text are those of its words.  With any other, which ``by_word`` tells,
+    the library gets whole texts.
     """
 
     def __init__(self, model_file: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(model_file)
+        stated = json.loads(self.tokenizer.to_str())
+        self.by_word = stated["normalizer"] == NORMALISER and stated["pre_tokenizer"] == SPLITTER and stated["post_processor"] is None
         self.letters = byte_letters()
         self.start()
 
     def start(self) -> None:
+        # An empty word is what stands before the first blank of a text, and has no ids.
         self.numbers, self.ids, self.parts = Numbers(), Ragged(np.uint32), {}
+        assert (self.numbers[b""], self.numbers[END]) == (0, 1)
+        self.numbers.fresh.clear()
+        self.ids.append(np.array([END], dtype=np.uint32), np.array([0, 1]))
 
-    def part(self, text: str) -> list[int]:
-        found = self.parts.get(text)
-        if found is None:
-            mapped = text if text.isascii() else "".join(self.letters[b] for b in text.encode())
-            found = self.parts[text] = [x.id for x in self.tokenizer.model.tokenize(mapped)]
-        return found
+    def mapped(self, part: str) -> str:
+        return part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
 
     def learn(self, fresh: list[bytes]) -> None:
-        ids: list[list[int]] = [[]] * len(fresh)
+        cut: list[list[str]] = []
         others = []
         for i, raw in enumerate(fresh):
-            word = raw.decode()
-            if PLAIN.fullmatch(word) and "<|" not in word:
-                found = []
-                for part in PARTS.findall(word.lower()):
-                    found += self.part(part)
-                ids[i] = found
+            if raw.isalpha():
+                cut.append([raw.lower().decode()])
+            elif raw[:-1].isalpha() and 33 <= raw[-1] <= 126:
+                cut.append([raw[:-1].lower().decode(), chr(raw[-1])])
+            elif PLAIN.fullmatch(word := raw.decode()) and "<|" not in word:
+                cut.append(PARTS.findall(word.lower()))
             else:
+                cut.append([])
                 others.append(i)
+        tokenize, known = self.tokenizer.model.tokenize, self.parts
+        unseen = {x for parts in cut for x in parts}.difference(known)
+        known.update((x, [token.id for token in tokenize(self.mapped(x))]) for x in unseen)
+        ids = [known[parts[0]] if len(parts) == 1 else [x for part in parts for x in known[part]] for parts in cut]
         encoded = self.tokenizer.encode_batch_fast([fresh[i].decode() for i in others], add_special_tokens=False)
         for i, found in zip(others, encoded, strict=True):
             ids[i] = found.ids
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self.ids.append(np.array([x for found in ids for x in found], dtype=np.uint32), lengths)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each with ``END`` behind it, and how many each has."""
+        self.ids.append(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum())), lengths)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with ``END`` behind it, and how many each has; a NULL text is an empty one."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1
+            flat = np.full(int(counts.sum()), END, dtype=np.uint32)
+            inside = np.ones(len(flat), dtype=bool)
+            inside[np.cumsum(counts) - 1] = False
+            flat[inside] = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(inside.sum()))
+            return flat, counts
         if len(self.numbers) > WORDS_KEPT:
             self.start()
-        if not len(self.numbers):
-            assert self.numbers[b""] == 0
-            self.numbers.fresh.clear()
-            self.ids.append(np.array([END], dtype=np.uint32), np.array([1]))
-        # An empty word stands for the end of a text.
-        numbers, bounds = self.numbers.of([[*(x or "").encode().split(), b""] for x in texts])
+        lists = pc.ascii_split_whitespace(texts)
+        sizes = pc.list_value_length(lists).to_numpy()
+        # A portion's words go through Python once each, however often they are there.
+        coded = lists.flatten().dictionary_encode()
+        words = pc.cast(coded.dictionary, pa.binary()).to_pylist()
+        number = np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int64, count=len(words))
         if self.numbers.fresh:
-            self.learn(self.numbers.fresh)
+            # What is learnt holds no cycles, and looking for some among so many lists takes a tenth of the time.
+            gc.disable()
+            try:
+                self.learn(self.numbers.fresh)
+            finally:
+                gc.enable()
             self.numbers.fresh.clear()
-        flat, counts = self.ids.take(numbers)
-        ends = np.concatenate([[0], np.cumsum(counts)])[bounds]
-        return flat, np.diff(ends)
+        all_words = np.ones(int(sizes.sum()) + len(sizes), dtype=np.int64)
+        ends = np.cumsum(sizes + 1)
+        inside = np.ones(len(all_words), dtype=bool)
+        inside[ends - 1] = False
+        all_words[inside] = number[coded.indices.to_numpy()]
+        flat, counts = self.ids.take(all_words)
+        return flat, np.diff(np.cumsum(counts)[ends - 1], prepend=0)
 
 
 @cache
@@ -197,40 +245,30 @@ def write(
     """Encode all texts and write them to ``folder``, which all executors must reach.
 
     A NULL text is an empty one, and has the end id alone.  Documents go by ``doc_id``, NULL first;
-    rows that repeat one by their text.  Files are of about ``TEXT_IN_FILE`` characters each, cut
-    between two values of ``doc_id``.  A table without rows gives no file.
+    rows that repeat one by their text.  Rows are dealt by ranges of both, a file to a range, so that files come to about
+    ``TEXT_IN_FILE`` characters.  A table without rows gives no file.
     """
     spark = docs.sparkSession
     model_file = model_file or public_tokenizers.path(VOCABULARY)
     rows = texts_of(docs, id_column, text_column)
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    files = -(-size // TEXT_IN_FILE) or 1
-    shares = [i / files for i in range(1, files)]
-    edges = rows.approxQuantile("doc_id", shares, min(0.01, 0.2 / files)) if shares else []
-    edges = sorted({int(x) for x in edges})
-    place = F.lit(0)
-    if edges:
-        bounds = F.array(*(F.lit(x) for x in edges))
-        place = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Rows of one id are told apart by how their texts begin, an order that the whole texts refine.
+    begins = F.substring(F.col("text"), 1, 40).alias("begins")
     ordered = (
-        rows.select(place.cast("int").alias("place"), "doc_id", "text")
-        .repartitionByRange(max(1, len(edges) + 1), "place")
-        .sortWithinPartitions("place", "doc_id", "text")
+        rows.select("doc_id", begins, "text")
+        .repartitionByRange(1 + size // TEXT_IN_FILE, F.asc_nulls_first("doc_id"), F.asc_nulls_first("begins"))
+        .select("doc_id", "text")
+        .sortWithinPartitions("doc_id", "text")
     )
     target = qualified(spark, folder)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(model_file)
         file = None
-        for part, texts in portions(batches):
-            places = part.column(0).to_numpy()
-            cuts = [0, *(np.nonzero(np.diff(places))[0] + 1).tolist(), len(places)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if file is not None and file.place != places[a]:
-                    yield arrow({k: [v] for k, v in file.close().items()}, WRITTEN)
-                    file = None
-                file = file or File(f"{target}/ids", int(places[a]))
-                file.add(part.column(1).slice(a, b - a), *encoder.encode(texts[a:b]))
+        for part in sized(batches, CHARACTERS):
+            # The number of the range, which is that of the partition.
+            file = file or File(f"{target}/ids", TaskContext.get().partitionId())
+            file.add(part.column(0), *encoder.encode(part.column(1)))
         if file is not None:
             yield arrow({k: [v] for k, v in file.close().items()}, WRITTEN)
 
@@ -238,6 +276,16 @@ def write(
     written.write.mode("overwrite").parquet(f"{folder}/files")
 
 
+def bases(table: DataFrame) -> DataFrame:
+    """``(file, base)``: the ids of all files before it, summed within a thousand files and over the thousands."""
+    table = table.withColumn("thousand", F.floor(F.col("place") / 1000))
+    whole = table.groupBy("thousand").agg(F.sum("tokens").alias("tokens"))
+    above = F.sum("tokens").over(Window.orderBy("thousand")) - F.col("tokens")
+    inside = F.sum("tokens").over(Window.partitionBy("thousand").orderBy("place")) - F.col("tokens")
+    files = table.withColumn("inside", inside).join(whole.select("thousand", above.alias("above")), "thousand")
+    return files.select("file", (F.col("above") + F.col("inside")).alias("base"))
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, start, n_tokens, ids)`` of every document in the files, ``ids`` as they are stored unpacked.
 
@@ -245,8 +293,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """
     importable(spark)
     table = spark.read.schema("file string, place long, docs long, tokens long").parquet(f"{folder}/files")
-    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    files = table.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    files = bases(table)
     target = qualified(spark, folder)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,6 +47,12 @@ def portions(
 
     Their texts come to ``characters`` or little more, but a longer text is still whole.
     """
+    for part in sized(batches, characters):
+        yield part, part.column(part.num_columns - 1).to_pylist()
+
+
+def sized(batches: Iterable[pa.RecordBatch], characters: int) -> Iterator[pa.RecordBatch]:
+    """The same rows, not yet lists."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -56,8 +62,7 @@ def portions(
         while start < batch.num_rows:
             before = sizes[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(sizes, before + characters, "right")))
-            part = batch.slice(start, end - start)
-            yield part, part.column(part.num_columns - 1).to_pylist()
+            yield batch.slice(start, end - start)
             start = end
 
 

@@ -6,6 +6,7 @@ import zlib
 import hard
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import FOLDER
 from hypothesis import given, settings
@@ -36,13 +37,44 @@ def test_blocks_round_trip(values, times, percentile):
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=30) | st.text("aZé' sS.9!<|>ßİ\x1c\x85 ", max_size=30))
 def test_encoder_equals_library(text):
-    flat, counts = tokenfiles.encoder_of(MODEL).encode([text])
+    flat, counts = tokenfiles.encoder_of(MODEL).encode(pa.array([text]))
     assert flat.tolist() == library_ids(text) and counts.tolist() == [len(flat)]
 
 
 @pytest.mark.parametrize("text", ["<|endoftext|>", "a<|startoftext|>b", "I'll we've 's'S DON'T", "́a ́b"])
 def test_special_texts(text):
-    assert tokenfiles.encoder_of(MODEL).encode([text])[0].tolist() == library_ids(text)
+    assert tokenfiles.encoder_of(MODEL).encode(pa.array([text]))[0].tolist() == library_ids(text)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.none() | st.text("ab \t\x1c\x85é,.'9", max_size=12), max_size=9))
+def test_several_texts(texts):
+    flat, counts = tokenfiles.encoder_of(MODEL).encode(pa.array(texts, type=pa.string()))
+    want = [library_ids(x) for x in texts]
+    assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
+def test_another_vocabulary_is_not_taken_word_by_word():
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = tokenfiles.Encoder(file), Tokenizer.from_file(file)
+    texts = ["Two  words, don't\n\nsplit them", None, "x"]
+    flat, counts = encoder.encode(pa.array(texts))
+    want = [[*library.encode(x or "", add_special_tokens=False).ids, tokenfiles.END] for x in texts]
+    assert not encoder.by_word and tokenfiles.encoder_of(MODEL).by_word
+    assert counts.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+
+
+def test_words_are_forgotten(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "WORDS_KEPT", 3)
+    encoder = tokenfiles.Encoder(MODEL)
+    for text in ["one two three four", "five, six", "one two", ""]:
+        assert encoder.encode(pa.array([text]))[0].tolist() == library_ids(text)
+
+
+def test_bases_over_thousands_of_files(spark):
+    table = spark.range(5000).selectExpr("cast(id AS string) AS file", "id * 3 AS place", "id % 7 AS tokens")
+    found = {int(r.file): r.base for r in tokenfiles.bases(table).collect()}
+    assert found == {i: sum(j % 7 for j in range(i)) for i in range(5000)}
 
 
 def expected(docs):
