@@ -16,6 +16,7 @@ import json
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import chain
@@ -37,7 +38,7 @@ VOCABULARY = "word_bpe_49k.json"
 END = 2
 MAGIC = b"PFORIDS1"
 TAIL = struct.Struct("<QQQQ")
-WORDS_KEPT = 600_000
+WORDS_KEPT, PARTS_KEPT = 500_000, 1_000_000
 TEXT_IN_FILE, CHARACTERS = 32_000_000, 2_000_000
 WRITTEN = {"file": pa.string(), "place": pa.int64(), "docs": pa.int64(), "tokens": pa.int64()}
 READ = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary()}
@@ -86,11 +87,12 @@ class Encoder:
         stated = json.loads(self.tokenizer.to_str())
         self.by_word = stated["normalizer"] == NORMALISER and stated["pre_tokenizer"] == SPLITTER and stated["post_processor"] is None
         self.letters = byte_letters()
+        self.parts: dict[str, bytes] = {}
         self.start()
 
     def start(self) -> None:
         # An empty word is what stands before the first blank of a text, and has no ids.
-        self.numbers, self.ids, self.parts = Numbers(), Ragged(np.uint32), {}
+        self.numbers, self.ids = Numbers(), Ragged(np.uint32)
         assert (self.numbers[b""], self.numbers[END]) == (0, 1)
         self.numbers.fresh.clear()
         self.ids.append(np.array([END], dtype=np.uint32), np.array([0, 1]))
@@ -113,13 +115,15 @@ class Encoder:
                 others.append(i)
         tokenize, known = self.tokenizer.model.tokenize, self.parts
         unseen = {x for parts in cut for x in parts}.difference(known)
-        known.update((x, [token.id for token in tokenize(self.mapped(x))]) for x in unseen)
-        ids = [known[parts[0]] if len(parts) == 1 else [x for part in parts for x in known[part]] for parts in cut]
+        known.update((x, array("I", [token.id for token in tokenize(self.mapped(x))]).tobytes()) for x in unseen)
+        ids = [known[parts[0]] if len(parts) == 1 else b"".join([known[x] for x in parts]) for parts in cut]
         encoded = self.tokenizer.encode_batch_fast([fresh[i].decode() for i in others], add_special_tokens=False)
         for i, found in zip(others, encoded, strict=True):
-            ids[i] = found.ids
-        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        self.ids.append(np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(lengths.sum())), lengths)
+            ids[i] = array("I", found.ids).tobytes()
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        self.ids.append(np.frombuffer(b"".join(ids), dtype=np.uint32), lengths)
+        if len(known) > PARTS_KEPT:
+            known.clear()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with ``END`` behind it, and how many each has; a NULL text is an empty one."""
