@@ -216,7 +216,63 @@ EVENTS_SQL = expected(
     4,
 )
 
+UNCLICKED_SQL = EVENTS_SQL.replace("FROM events", "FROM events WHERE event_type <> 'click'")
+MERGED: list[Metric] = [Size(), Mean("value"), Uniqueness("user_id")]
+
+
+def _first_days(events: DataFrame, number: int) -> list[str]:
+    """The first days by name, and no others."""
+    days = events.select(F.expr(DAY).alias("day")).distinct().orderBy("day").limit(number)
+    return [row["day"] for row in days.collect()]
+
+
+def incremental_late_part(spark: SparkSession, folder: str) -> DataFrame:
+    """Data of days that have been rolled up already comes late: the days then count by themselves again."""
+    events, store = EVENTS.frame(spark, folder), _store(spark)
+    store.save(events.filter("event_type <> 'click'"), MERGED, F.expr(DAY))
+    store.roll_up("early", _first_days(events, 3))
+    store.save(events, MERGED, F.expr(DAY))
+    return rounded(store.metrics(events, MERGED), 4)
+
+
+def incremental_rollup_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """A roll-up inside a larger one, and two that are refused: under a known name, and across the larger one."""
+    events, store = EVENTS.frame(spark, folder), _store(spark)
+    store.save(events, MERGED, F.expr(DAY))
+    days = _first_days(events, 5)
+    store.roll_up("two", days[:2])
+    store.roll_up("three", days[:3])
+    for name, parts in (("two", days[3:]), ("across", days[2:4])):
+        try:
+            store.roll_up(name, parts)
+        except ValueError:
+            continue
+        raise AssertionError(f"the roll-up {name} was taken")
+    return rounded(store.metrics(events, MERGED), 4)
+
+
+def incremental_null_part(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without a day are a part as well, which can be rolled up with others."""
+    events, store = EVENTS.frame(spark, folder), _store(spark)
+    store.save(events, MERGED, F.expr(f"CASE WHEN event_type <> 'click' THEN {DAY} END"))
+    store.roll_up("some", [None, *_first_days(events.filter("event_type <> 'click'"), 2)])
+    return rounded(store.metrics(events, MERGED), 4)
+
+
+def states_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics at a version of the store, which later saves and roll-ups leave as they were."""
+    events, store = EVENTS.frame(spark, folder), _store(spark)
+    before = store.save(events.filter("event_type <> 'click'"), MERGED, F.expr(DAY))
+    store.save(events, MERGED, F.expr(DAY))
+    store.roll_up("early", _first_days(events, 2))
+    return rounded(store.metrics(events, MERGED, at=before), 4)
+
+
 QUERIES = {
+    "incremental_late_part": Query(incremental_late_part, EVENTS_SQL),
+    "incremental_rollup_twice": Query(incremental_rollup_twice, EVENTS_SQL),
+    "incremental_null_part": Query(incremental_null_part, EVENTS_SQL),
+    "states_snapshot": Query(states_snapshot, UNCLICKED_SQL),
     "incremental_merge": Query(incremental_merge, _merge_sql()),
     "incremental_counts": Query(incremental_counts, _counts_sql()),
     "incremental_sketches": Query(incremental_sketches, SKETCHES),

@@ -53,11 +53,15 @@ class MetricTable:
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({STAMPED_SCHEMA}) USING parquet{place}")
 
     def append(self, stamped: DataFrame) -> None:
-        """Append the rows of runs that the table does not hold yet, so that a repeated append adds nothing."""
+        """Append the metrics that the table does not hold yet of a run and tag, so that a repeated append adds nothing.
+
+        Further metrics of a run, of a second analysis say or under another tag, are added to the first.
+        """
         self.create()
         columns = [column.split()[0] for column in STAMPED_SCHEMA.split(", ")]
-        known = self.read().select("run").distinct()
-        stamped.select(*columns).join(known, "run", "left_anti").select(*columns).write.insertInto(self.table)
+        identity = ["run", "tag", "entity", "instance", "name"]
+        known = self.read().select(*identity).distinct()
+        stamped.select(*columns).join(known, identity, "left_anti").select(*columns).write.insertInto(self.table)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)

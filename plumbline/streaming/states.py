@@ -3,7 +3,8 @@
 A part is a day, a partition, a micro-batch: whatever is computed once and seldom again.
 Saving a metric of a part replaces its state, so a retried or repeated save changes nothing, and other
 metrics of the part stay.  Two tables hold them: one row per part and scan metric, and the value
-counts of each column set per part, which are merged by summing.  Reading checks that every part
+counts of each column set per part, which are merged by summing.  A ledger says which rows count, so that saving,
+rolling up and reading may go on side by side.  Reading checks that every part
 has a state of every metric asked for, and fails if one lacks: totals over some parts are never
 given for all.  Old parts can be rolled up into one.
 
@@ -16,11 +17,10 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import time
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +37,7 @@ from plumbline.operators.frequency import (
 from plumbline.operators.rows import Placed, aggregate_rows
 from plumbline.operators.validation import Validator
 from plumbline.plans.evaluation import METRIC_COLUMNS
+from plumbline.streaming.log import CommitLog, stored
 
 TYPE_COUNTS = [kind.lower() for kind in M.DataType.CLASSES]
 SUMMED = ["n", "hits", *TYPE_COUNTS]
@@ -50,12 +51,12 @@ SCAN_SCHEMA = ", ".join(
     [
         "metric string",
         *[f"{name} {kind}" for name, kind in FIELDS.items()],
-        "metric_id string, written_at bigint, saved string, part string",
+        "metric_id string, part string",
     ]
 )
 COUNTS_SCHEMA = "keys array<string>, count bigint, column_set string, part string"
-ROLLED_SCHEMA = "rolled string, part string"
-ROLLED = "rolled up: "
+#: ``save`` and ``roll`` say which batch holds a state, ``cover`` which state of a part a roll-up was made of.
+LEDGER_SCHEMA = "action string, id string, part string, batch string, name string"
 LARGEST_RANK_SKETCH, LARGEST_DISTINCT_SKETCH = 65_535, 21
 
 
@@ -199,92 +200,111 @@ def _column_set(df_columns: tuple[str, ...], where: str | None) -> str:
 
 
 class StateStore:
-    """States under one folder that every executor can reach."""
+    """States under one folder that every executor can reach.
+
+    Files are only ever added, each writer's under a batch of its own.  The ledger, a log of commits, says which batch
+    holds the state of a metric (or the counts of a column set) for a part; the last commit counts.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark = spark
         self._scan_path = f"{path.rstrip('/')}/scan"
         self._counts_path = f"{path.rstrip('/')}/counts"
-        self._rolled_path = f"{path.rstrip('/')}/rolled"
-        self._tables: dict[str, DataFrame] = {}
+        self._ledger = CommitLog(spark, f"{path.rstrip('/')}/ledger", LEDGER_SCHEMA)
+
+    def version(self) -> int:
+        """The number of the last commit, to read at later on."""
+        return self._ledger.version()
 
-    def save(self, df: DataFrame, metrics: Sequence[M.Metric], part: str | Column) -> None:
-        """Store states of ``df``; ``part`` names it, or is a column that splits it into parts.
+    def save(self, df: DataFrame, metrics: Sequence[M.Metric], part: str | Column) -> int:
+        """Store states of ``df`` and return the version; ``part`` names it, or is a column that splits it into parts.
 
-        A named part without rows is stored as such, and so replaces what it held before.
+        A named part without rows is stored as such, and so replaces what it held before.  NULL is a part like others.
         """
         self._check(df, metrics)
+        batch = uuid.uuid4().hex
         scan = [metric for metric in dict.fromkeys(metrics) if metric.family == "scan"]
         if scan:
-            self._write_scan(scan_states(df, scan, part), [repr(metric) for metric in scan])
+            self._write(scan_states(df, scan, part), self._scan_path, batch)
         sets = {
             (resolved(df, metric), metric.where): None for metric in metrics if metric.family == "frequency"
         }
         if sets:
             frames = [count_states(df, columns, where, part) for columns, where in sets]
-            self._write(reduce(DataFrame.unionByName, frames), self._counts_path, "column_set", "part")
+            self._write(reduce(DataFrame.unionByName, frames), self._counts_path, batch)
+        return self._ledger.commit(self._entries(batch, "save"))
 
     def metrics(
-        self, like: DataFrame, metrics: Sequence[M.Metric], parts: Sequence[str] | None = None
+        self, like: DataFrame, metrics: Sequence[M.Metric], parts: Sequence[str | None] | None = None, at: int | None = None
     ) -> DataFrame:
         """Metrics over all parts, or some; ``like`` has the schema of the data, and is not read.
 
-        A ``ValueError`` names the metrics that some of the parts have no state of.
+        All is read at one version of the ledger, ``at`` or the last, whatever others write meanwhile.  A
+        ``ValueError`` names the metrics that some of the parts have no state of.
         """
         self._check(like, metrics)
-        self._tables = {}
-        self._check_parts(like, metrics, parts)
+        log = self._ledger.read(at)
+        self._check_parts(like, metrics, log, parts)
+        live = live_states(log, parts)
         placed = [Placed(i, metric) for i, metric in enumerate(dict.fromkeys(metrics))]
         frames = []
         scan = [one for one in placed if one.metric.family == "scan"]
         if scan:
-            states = self._read(self._scan_path, SCAN_SCHEMA, parts)
-            frames.append(scan_values(states, scan))
+            frames.append(scan_values(self._read(self._scan_path, SCAN_SCHEMA, live), scan))
         counted = [one for one in placed if one.metric.family == "frequency"]
         for (columns, where), group in sharing_counts(like, counted).items():
-            states = self._read(self._counts_path, COUNTS_SCHEMA, parts)
-            of_set = F.col("column_set") == _column_set(columns, where)
-            states = states.filter(of_set & (F.col("count") > 0))
+            of_set = live.where(F.col("id") == _column_set(columns, where))
+            states = self._read(self._counts_path, COUNTS_SCHEMA, of_set).filter(F.col("count") > 0)
             frames += count_values(states, len(columns), group)
         values = reduce(DataFrame.unionByName, frames)
         return values.filter(F.col("value").isNotNull()).select(*METRIC_COLUMNS)
 
-    def _held(self, parts: Sequence[str] | None) -> DataFrame:
-        """``(id, part)`` of every state that reading would take in."""
-        scan = self._read(self._scan_path, SCAN_SCHEMA, parts).select(F.col("metric_id").alias("id"), "part")
-        counts = self._read(self._counts_path, COUNTS_SCHEMA, parts).select(F.col("column_set").alias("id"), "part")
-        return scan.union(counts).distinct()
-
-    def _check_parts(self, like: DataFrame, metrics: Sequence[M.Metric], parts: Sequence[str] | None) -> None:
-        held = self._held(parts)
-        known = held.select("part").distinct().count() if parts is None else len(set(parts))
-        found = {row["id"]: row["count"] for row in held.groupBy("id").count().collect()}
+    def _check_parts(
+        self, like: DataFrame, metrics: Sequence[M.Metric], log: DataFrame, parts: Sequence[str | None] | None
+    ) -> None:
+        """Compare the parts that the ledger knows with those it has for each metric."""
+        held = chosen(log.where("action = 'save'"), parts).select("id", "part").distinct()
+        marked = F.struct("part")
+        rows = held.groupBy("id").count().union(held.select(F.lit(None), F.count_distinct(marked))).collect()
+        found = {row["id"]: row["count"] for row in rows}
+        known = found[None] if parts is None else len(set(parts))
         lacking = [str(one) for one in metrics if found.get(state_id(like, one), 0) < known or not known]
         if lacking:
             raise ValueError(f"no state of every part ({known}): {', '.join(lacking)}")
 
-    def roll_up(self, name: str, parts: Sequence[str]) -> None:
-        """Merge the states of ``parts`` into one, which is read in their place from then on.
+    def roll_up(self, name: str, parts: Sequence[str | None]) -> int:
+        """Merge the states of ``parts`` into one, which is read in their place, and return the version.
 
-        Every metric that any of them has must be there for all.  What is merged counts only once its row in
-        the list of such parts is written, last of all.  The folders of the old parts are then read no
-        more, unless by name, and may be removed.
+        Every metric that any of them has must be there for all.  The merged state counts as long as no
+        part of it is saved again; from then on the parts themselves count.  Roll-ups may hold one another, but a part
+        in two of which neither holds the other is refused, and so is a name that is there already.
         """
         parts = list(dict.fromkeys(parts))
-        self._tables = {}
-        held = {row["id"]: row["count"] for row in self._held(parts).groupBy("id").count().collect()}
+        log = self._ledger.read()
+        live = live_states(log, parts)
+        held = {row["id"]: row["count"] for row in live.groupBy("id").count().collect()}
         if not held or min(held.values()) < len(parts):
             raise ValueError("some of the parts lack states that others have")
-        rolled = ROLLED + name
-        scan = merge_states(self._read(self._scan_path, SCAN_SCHEMA, parts)).withColumn("part", F.lit(rolled))
-        counts = self._read(self._counts_path, COUNTS_SCHEMA, parts)
-        counts = counts.groupBy("column_set", "keys").agg(F.sum("count").alias("count")).withColumn("part", F.lit(rolled))
-        if not scan.isEmpty():
-            self._write_scan(scan.withColumn("metric_id", _short_hash("metric")), [ROLLED])
-        if not counts.isEmpty():
-            self._write(counts, self._counts_path, "column_set", "part")
-        covered = self._spark.createDataFrame([(rolled, part) for part in parts], ROLLED_SCHEMA)
-        covered.coalesce(1).write.mode("append").parquet(self._rolled_path)
+        batch = uuid.uuid4().hex
+        scan = merge_states(self._read(self._scan_path, SCAN_SCHEMA, live)).withColumn("part", F.lit(name))
+        counts = self._read(self._counts_path, COUNTS_SCHEMA, live)
+        counts = counts.groupBy("column_set", "keys").agg(F.sum("count").alias("count")).withColumn("part", F.lit(name))
+        self._write(scan.withColumn("metric_id", _short_hash("metric")), self._scan_path, batch)
+        self._write(counts, self._counts_path, batch)
+        covered = live.select(F.lit("cover").alias("action"), "id", "part", "batch", F.lit(name).alias("name"))
+        entries = self._entries(batch, "roll").withColumn("name", F.lit(name)).unionByName(covered)
+
+        def check(last: int) -> None:
+            others = self._ledger.read(last).where("action = 'cover'").select("name", "part").distinct()
+            own = chosen(others, parts).groupBy("name").agg(F.count("*").alias("shared"))
+            sizes = others.groupBy("name").agg(F.count("*").alias("size")).join(own, "name", "left")
+            for row in sizes.collect():
+                if row["name"] == name:
+                    raise ValueError(f"a roll-up {name} is there already")
+                if row["shared"] and row["shared"] not in (row["size"], len(parts)):
+                    raise ValueError(f"the roll-up {row['name']} holds some of the parts and others")
+
+        return self._ledger.commit(entries, check)
 
     def batch_writer(self, metrics: Sequence[M.Metric], stream: str) -> Callable[[DataFrame, int], None]:
         """For ``writeStream.foreachBatch``: each micro-batch is a part; a replay replaces it.
@@ -318,48 +338,58 @@ class StateStore:
             if too_small:
                 raise ValueError(f"{metric}: no sketch is as exact as that")
 
-    def _write(self, states: DataFrame, path: str, *partitions: str) -> None:
-        (
-            states.hint("rebalance", *partitions)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*partitions)
-            .parquet(path)
+    def _write(self, states: DataFrame, path: str, batch: str) -> None:
+        states.hint("rebalance").write.parquet(f"{path}/batch={batch}")
+
+    def _entries(self, batch: str, action: str) -> DataFrame:
+        """Ledger rows for what a batch has written."""
+        found = []
+        for path, schema, id_ in ((self._scan_path, SCAN_SCHEMA, "metric_id"), (self._counts_path, COUNTS_SCHEMA, "column_set")):
+            written = stored(self._spark, f"{path}/batch={batch}", schema)
+            found.append(written.select(F.col(id_).alias("id"), "part"))
+        entries = reduce(DataFrame.unionByName, found).distinct()
+        return entries.select(
+            F.lit(action).alias("action"), "id", "part", F.lit(batch).alias("batch"), F.lit(None).cast("string").alias("name")
         )
 
-    def _write_scan(self, states: DataFrame, together: list[str]) -> None:
-        """A folder for each part and set of metrics saved together; the time tells which of two sets is later."""
-        saved = hashlib.sha256(repr(together).encode()).hexdigest()[:16]
-        stamped = states.withColumns({"written_at": F.lit(time.time_ns()), "saved": F.lit(saved)})
-        self._write(stamped, self._scan_path, "saved", "part")
-
-    def _read(self, path: str, schema: str, parts: Sequence[str] | None) -> DataFrame:
-        states = self._table(path, schema)
-        if path == self._scan_path:
-            names = [name for name in states.columns if name not in ("metric_id", "part")]
-            last = F.max_by(F.struct(*names), "written_at").alias("last")
-            states = states.groupBy("metric_id", "part").agg(last).select("metric_id", "part", "last.*")
-        if parts is not None:
-            return states.filter(F.col("part").isin(*parts))
-        rolled = self._table(self._rolled_path, ROLLED_SCHEMA)
-        merged = rolled.select(F.col("rolled").alias("part")).distinct()
-        single = ~F.startswith("part", F.lit(ROLLED))
-        return (
-            states.where(single)
-            .unionByName(states.where(~single).join(merged, "part", "left_semi"))
-            .join(rolled.select("part").distinct(), "part", "left_anti")
-        )
-
-    def _table(self, path: str, schema: str) -> DataFrame:
-        """A table of the store, its files listed once a call."""
-        if path not in self._tables:
-            try:
-                self._tables[path] = self._spark.read.schema(schema).parquet(path)
-            except AnalysisException as error:
-                if error.getCondition() != "PATH_NOT_FOUND":
-                    raise
-                self._tables[path] = self._spark.createDataFrame([], schema)
-        return self._tables[path]
+    def _read(self, path: str, schema: str, live: DataFrame) -> DataFrame:
+        """The states that count: those of the batch that the ledger names for their part."""
+        id_ = "metric_id" if path == self._scan_path else "column_set"
+        states = stored(self._spark, path, f"{schema}, batch string")
+        named = live.select(F.col("id").alias("live_id"), F.col("part").alias("live_part"), F.col("batch").alias("live_batch"))
+        same = (F.col(id_) == F.col("live_id")) & F.col("part").eqNullSafe(F.col("live_part")) & (F.col("batch") == F.col("live_batch"))
+        return states.join(named, same, "left_semi").drop("batch")
+
+
+def chosen(rows: DataFrame, parts: Sequence[str | None] | None) -> DataFrame:
+    """Rows of the parts asked for, of which NULL may be one."""
+    if parts is None:
+        return rows
+    of_parts = F.col("part").isin(*[part for part in parts if part is not None])
+    return rows.where(F.coalesce(of_parts, F.lit(False)) | (F.lit(None in parts) & F.col("part").isNull()))
+
+
+def live_states(log: DataFrame, parts: Sequence[str | None] | None = None) -> DataFrame:
+    """``(id, part, batch)`` of the states that count at the end of ``log``: of all parts, or of some by name.
+
+    A part counts by its last save.  With all parts, one that is rolled up counts as the largest roll-up whose
+    parts are all as they were when it was made.
+    """
+    last = F.max_by("batch", "version").alias("batch")
+    saved = log.where("action = 'save'").groupBy("id", "part").agg(last)
+    if parts is not None:
+        return chosen(saved, parts)
+    covers = log.where("action = 'cover'").select("id", "part", "name", F.col("batch").alias("was"), "version")
+    now = saved.select(F.col("id").alias("now_id"), F.col("part").alias("now_part"), F.col("batch").alias("now_batch"))
+    same = (F.col("id") == F.col("now_id")) & F.col("part").eqNullSafe(F.col("now_part"))
+    covers = covers.join(now, same).withColumn("as_was", F.col("was") == F.col("now_batch"))
+    whole = covers.groupBy("id", "name").agg(F.every("as_was").alias("whole"), F.count("*").alias("size")).where("whole")
+    # Of two roll-ups with a part in common one holds the other, so that the largest of each part agree.
+    taken = covers.select("id", "part", "name").join(whole, ["id", "name"])
+    taken = taken.groupBy("id", "part").agg(F.max_by("name", F.struct("size", "name")).alias("name"))
+    merged = log.where("action = 'roll'").select("id", "part", "batch").join(taken.select("id", F.col("name").alias("part")), ["id", "part"], "left_semi")
+    hidden = taken.select(F.col("id").alias("now_id"), F.col("part").alias("now_part"))
+    return saved.join(hidden, same, "left_anti").unionByName(merged)
 
 
 def scan_states(df: DataFrame, metrics: Sequence[M.Metric], part: str | Column) -> DataFrame:

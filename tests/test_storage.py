@@ -1,6 +1,8 @@
 """History, stamped tables, JDBC options, states."""
 
 import random
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import employees
 import pytest
@@ -38,6 +40,8 @@ from plumbline.session import scratch_folder
 from plumbline.sources.frames import read_csv, value_set
 from plumbline.sources.jdbc import JdbcTable
 from plumbline.sources.stamped import JdbcMetricTable, MetricTable, stamp_and_append
+from plumbline.streaming.log import CommitLog
+from plumbline.streaming.states import scan_states
 
 DAY = 24 * 60 * 60 * 1000
 
@@ -314,6 +318,108 @@ def test_roll_up_changes_no_value_and_counts_nothing_twice(spark):
         store.roll_up("more", ["p4", "p5"])
 
 
+def sizes(store, df, **how):
+    return {(r.name, r.instance): r.value for r in store.metrics(df, [Size(), CountDistinct("x")], **how).collect()}
+
+
+def days_of(spark, *days):
+    return spark.createDataFrame([(day, float(i)) for i, day in enumerate(days)], "day string, x double")
+
+
+def test_rolled_up_days_and_late_data(spark):
+    """Against a plain list of saves, of which the last of a day counts."""
+    store = StateStore(spark, scratch_folder(spark, "s"))
+    asked, held = [Size(), CountDistinct("x")], {}
+
+    def save(*days):
+        rows = days_of(spark, *days)
+        store.save(rows, asked, F.col("day"))
+        for day in set(days):
+            held[day] = [i for i, one in enumerate(days) if one == day]
+
+    def same(**how):
+        parts = how.get("parts") or held
+        values = [i for day in parts for i in held[day]]
+        found = sizes(store, days_of(spark, "x"), **how)
+        assert found["Size", "*"] == len(values) and found["CountDistinct", "x"] == len(set(values))
+
+    save("d1", "d1", "d2", "d3", "d4", "d4", None, None)
+    same()
+    same(parts=[None, "d1"])
+    store.roll_up("early", ["d1", "d2"])
+    same()
+    with pytest.raises(ValueError, match="there already"):
+        store.roll_up("early", ["d3", "d4"])
+    same()
+    store.roll_up("all", ["d1", "d2", "d3", None])
+    same()
+    with pytest.raises(ValueError, match="some of the parts and others"):
+        store.roll_up("across", ["d3", "d4"])
+    save("d3", "d3", "d3")
+    same()
+    same(parts=["d1", "d3"])
+    save("d1", "d1", "d1", "d1", "d5")
+    same()
+    store.roll_up("again", ["d1", "d2", "d3", "d4", "d5", None])
+    same()
+    save(None)
+    same()
+
+
+def test_a_version_stays_as_it_was(spark):
+    df, store = days_of(spark, "a", "a", "b"), StateStore(spark, scratch_folder(spark, "s"))
+    asked, versions = [Size(), CountDistinct("x")], []
+    versions.append((store.save(df, asked, F.col("day")), 3))
+    lazy = store.metrics(df, [Size()])
+    versions.append((store.save(days_of(spark, *"bbbbb"), asked, "b"), 7))
+    versions.append((store.roll_up("ab", ["a", "b"]), 7))
+    # A writer that dies between its files and its commit.
+    store._write(scan_states(days_of(spark, *"aaaaaaaaa"), [Size()], "a"), store._scan_path, "half")
+    versions.append((store.save(days_of(spark, "c"), asked, "c"), 8))
+    assert [version for version, _ in versions] == [1, 2, 3, 4] and store.version() == 4
+    for version, n in versions:
+        assert sizes(store, df, at=version)["Size", "*"] == n
+    assert lazy.first().value == 3
+    with pytest.raises(ValueError, match="state of every part"):
+        sizes(store, df, at=0)
+
+
+def test_writers_beside_each_other(spark):
+    """Each commit takes a version of its own, also where all try the same one."""
+    log = CommitLog(spark, scratch_folder(spark, "log"), "who int")
+    tried = []
+
+    def slow(last):
+        tried.append(last)
+        if len(tried) == 1:
+            log.commit(spark.createDataFrame([(0,)], "who int"))
+
+    assert log.commit(spark.createDataFrame([(1,)], "who int"), slow) == 2 and tried == [0, 1]
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda i: log.commit(spark.createDataFrame([(i,)], "who int")), range(2, 8)))
+    assert sorted(got) == list(range(3, 9))
+    assert sorted((r.version, r.who) for r in log.read().collect())[:2] == [(1, 0), (2, 1)]
+    assert log.read().count() == 8 and log.read(2).count() == 2 and log.read(0).count() == 0
+
+    def refuse(last):
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        log.commit(spark.createDataFrame([(9,)], "who int"), refuse)
+    assert log.version() == 8
+
+
+def test_two_frames_of_one_run_are_both_kept(spark):
+    target = MetricTable(spark, f"stamped_{uuid.uuid4().hex}", scratch_folder(spark, "t"))
+    df = days_of(spark, "a", "b")
+    one = AnalysisRunner(spark).onData(df).addAnalyzers([Size()]).asDataFrame()
+    two = AnalysisRunner(spark).onData(df).addAnalyzers([Mean("x")]).asDataFrame()
+    for frame, tag in ((one, "analyzer"), (two, "analyzer"), (one, "check"), (one, "analyzer"), (two, "analyzer")):
+        stamp_and_append(frame, target, tag, run="r1")
+    assert sorted((r.tag, r.name) for r in target.read().collect()) == [("analyzer", "Mean"), ("analyzer", "Size"), ("check", "Size")]
+    spark.sql(f"DROP TABLE {target.table}")
+
+
 def test_streams_with_new_checkpoints_do_not_meet(spark):
     df, store = parted(spark), StateStore(spark, scratch_folder(spark, "s"))
     for stream in ("one", "two", "two"):
