@@ -244,8 +244,8 @@ class StateStore:
         """
         self._check(like, metrics)
         log = self._ledger.read(at)
-        self._check_parts(like, metrics, log, parts)
-        live = live_states(log, parts)
+        rolled = self._check_parts(like, metrics, log, parts)
+        live = live_states(log, parts, rolled)
         placed = [Placed(i, metric) for i, metric in enumerate(dict.fromkeys(metrics))]
         frames = []
         scan = [one for one in placed if one.metric.family == "scan"]
@@ -261,16 +261,20 @@ class StateStore:
 
     def _check_parts(
         self, like: DataFrame, metrics: Sequence[M.Metric], log: DataFrame, parts: Sequence[str | None] | None
-    ) -> None:
-        """Compare the parts that the ledger knows with those it has for each metric."""
-        held = chosen(log.where("action = 'save'"), parts).select("id", "part").distinct()
-        marked = F.struct("part")
-        rows = held.groupBy("id").count().union(held.select(F.lit(None), F.count_distinct(marked))).collect()
-        found = {row["id"]: row["count"] for row in rows}
-        known = found[None] if parts is None else len(set(parts))
+    ) -> bool:
+        """Compare the parts that the ledger knows with those it has for each metric; whether any are rolled up."""
+        of_parts = F.col("action") == "save"
+        if parts is not None:
+            of_parts &= among(parts)
+        part = F.when(of_parts, F.struct("part"))
+        # A row of each metric, and one of all, in one pass.
+        rows = log.rollup("id").agg(F.count_distinct(part).alias("parts"), F.max(F.col("action") == "cover").alias("rolled")).collect()
+        found = {row["id"]: row["parts"] for row in rows}
+        known = found.get(None, 0) if parts is None else len(set(parts))
         lacking = [str(one) for one in metrics if found.get(state_id(like, one), 0) < known or not known]
         if lacking:
             raise ValueError(f"no state of every part ({known}): {', '.join(lacking)}")
+        return any(row["rolled"] for row in rows)
 
     def roll_up(self, name: str, parts: Sequence[str | None]) -> int:
         """Merge the states of ``parts`` into one, which is read in their place, and return the version.
@@ -296,7 +300,7 @@ class StateStore:
 
         def check(last: int) -> None:
             others = self._ledger.read(last).where("action = 'cover'").select("name", "part").distinct()
-            own = chosen(others, parts).groupBy("name").agg(F.count("*").alias("shared"))
+            own = others.where(among(parts)).groupBy("name").agg(F.count("*").alias("shared"))
             sizes = others.groupBy("name").agg(F.count("*").alias("size")).join(own, "name", "left")
             for row in sizes.collect():
                 if row["name"] == name:
@@ -361,24 +365,24 @@ class StateStore:
         return states.join(named, same, "left_semi").drop("batch")
 
 
-def chosen(rows: DataFrame, parts: Sequence[str | None] | None) -> DataFrame:
-    """Rows of the parts asked for, of which NULL may be one."""
-    if parts is None:
-        return rows
-    of_parts = F.col("part").isin(*[part for part in parts if part is not None])
-    return rows.where(F.coalesce(of_parts, F.lit(False)) | (F.lit(None in parts) & F.col("part").isNull()))
+def among(parts: Sequence[str | None]) -> Column:
+    """Whether a part is one of those asked for, of which NULL may be one."""
+    named = F.col("part").isin(*[part for part in parts if part is not None])
+    return F.coalesce(named, F.lit(False)) | (F.lit(None in parts) & F.col("part").isNull())
 
 
-def live_states(log: DataFrame, parts: Sequence[str | None] | None = None) -> DataFrame:
+def live_states(log: DataFrame, parts: Sequence[str | None] | None = None, rolled: bool = True) -> DataFrame:
     """``(id, part, batch)`` of the states that count at the end of ``log``: of all parts, or of some by name.
 
     A part counts by its last save.  With all parts, one that is rolled up counts as the largest roll-up whose
-    parts are all as they were when it was made.
+    parts are all as they were when it was made; ``rolled`` says whether there is any.
     """
     last = F.max_by("batch", "version").alias("batch")
     saved = log.where("action = 'save'").groupBy("id", "part").agg(last)
     if parts is not None:
-        return chosen(saved, parts)
+        return saved.where(among(parts))
+    if not rolled:
+        return saved
     covers = log.where("action = 'cover'").select("id", "part", "name", F.col("batch").alias("was"), "version")
     now = saved.select(F.col("id").alias("now_id"), F.col("part").alias("now_part"), F.col("batch").alias("now_batch"))
     same = (F.col("id") == F.col("now_id")) & F.col("part").eqNullSafe(F.col("now_part"))
