@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +109,74 @@ FROM m, span WHERE day <= middle
 """
 
 
+def history_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """Each version of a history stays as it was, through later saves and compactions."""
+    events, repository = table(spark, folder, "events"), _repository(spark)
+    unclicked = events.filter("event_type <> 'click'")
+    versions = [repository.save_keyed(_daily(unclicked, "Size", "Mean"))]
+    held = repository.load()
+    versions.append(repository.save_keyed(_daily(events, "Size", "Maximum")))
+    versions.append(repository.compact(ResultKey.current_milli_time()))
+    versions.append(repository.save_keyed(_daily(unclicked, "Size")))
+    versions.append(repository.compact(ResultKey.current_milli_time()))
+    frames = [(0, held)] + [(version, repository.load(version)) for version in versions]
+    rows = [history.getSuccessMetricsAsDataFrame(["tag"]).withColumn("read_at", F.lit(at)) for at, history in frames]
+    return rounded(reduce(DataFrame.unionByName, rows))
+
+
+def _snapshot_sql() -> str:
+    measured = """
+        SELECT day, 'Dataset' AS entity, '*' AS instance, 'Size' AS name, CAST(count(*) AS DOUBLE) AS value, {0} AS rows_of
+        FROM e{1} GROUP BY day
+        UNION ALL SELECT day, 'Column', 'value', 'Mean', avg(value), {0} FROM e{1} GROUP BY day
+        UNION ALL SELECT day, 'Column', 'value', 'Maximum', max(value), {0} FROM e{1} GROUP BY day"""
+    # What the reader of each version is to find: metric, and whether it is that of all rows (2) or of some (1).
+    seen = {0: (("Size", 1), ("Mean", 1)), 1: (("Size", 1), ("Mean", 1))}
+    seen |= dict.fromkeys((2, 3), (("Size", 2), ("Mean", 1), ("Maximum", 2)))
+    seen |= dict.fromkeys((4, 5), (("Size", 1), ("Mean", 1), ("Maximum", 2)))
+    wanted = ", ".join(f"({at}, '{name}', {kind})" for at, found in seen.items() for name, kind in found)
+    return f"""
+WITH e AS (SELECT *, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) * {MILLIS_PER_DAY} AS day FROM events),
+     m AS ({measured.format(1, " WHERE event_type <> 'click'")} UNION ALL {measured.format(2, "")}),
+     w(read_at, name, rows_of) AS (VALUES {wanted}),
+     -- A day of clicks alone is not saved without them, so that its size stays that of all its rows.
+     found AS (SELECT w.read_at, m.* FROM w JOIN m USING (name, rows_of)
+               UNION ALL SELECT w.read_at, m.* FROM w JOIN m ON m.name = 'Size' AND m.rows_of = 2
+               WHERE w.read_at > 3 AND w.name = 'Size' AND m.day NOT IN (SELECT day FROM m WHERE rows_of = 1))
+SELECT entity, instance, name, round(value, 6) AS value, NULL AS filter, CAST(day AS BIGINT) AS dataset_date, 'daily' AS tag,
+       read_at
+FROM found
+"""
+
+
+def history_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """What was known at an instant of writing about the days up to another one; later corrections do not show."""
+    events, repository = table(spark, folder, "events"), _repository(spark)
+    unclicked = events.filter("event_type <> 'click'")
+    repository.save_keyed(_daily(unclicked, "Size", "Mean"))
+    repository.save_keyed(_daily(unclicked, "Size"))
+    known = ResultKey.current_milli_time()
+    time.sleep(0.01)
+    repository.save_keyed(_daily(events, "Size", "Mean"))
+    repository.compact(ResultKey.current_milli_time())
+    first, last = events.agg(
+        F.min(F.expr(DAY_MILLIS)).alias("first"), F.max(F.expr(DAY_MILLIS)).alias("last")
+    ).first()
+    history = repository.load(repository.version_at(known)).before((first + last) // 2)
+    return rounded(history.getSuccessMetricsAsDataFrame(["tag"]))
+
+
+HISTORY_AS_OF = f"""
+WITH e AS (SELECT *, datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) * {MILLIS_PER_DAY} AS day FROM events),
+     span AS (SELECT (min(day) + max(day)) // 2 AS middle FROM e),
+     m AS (SELECT 'Dataset' AS entity, '*' AS instance, 'Size' AS name, CAST(count(*) AS DOUBLE) AS value, day
+           FROM e WHERE event_type <> 'click' GROUP BY day
+           UNION ALL SELECT 'Column', 'value', 'Mean', avg(value), day FROM e WHERE event_type <> 'click' GROUP BY day)
+SELECT entity, instance, name, round(value, 6) AS value, NULL AS filter, CAST(day AS BIGINT) AS dataset_date, 'daily' AS tag
+FROM m, span WHERE day <= middle
+"""
+
+
 def analysis_to_history(spark: SparkSession, folder: str) -> DataFrame:
     """An analysis and a verification, each saved under its key and tags, read back together."""
     orders, repository = ORDERS.frame(spark, folder), _repository(spark)
@@ -300,6 +370,8 @@ PANDAS_INPUT = expected(
 QUERIES = {
     "history_before": Query(history_before, HISTORY_BEFORE),
     "history_upsert": Query(history_upsert, HISTORY_UPSERT),
+    "history_snapshot": Query(history_snapshot, _snapshot_sql()),
+    "history_as_of": Query(history_as_of, HISTORY_AS_OF),
     "analysis_to_history": Query(analysis_to_history, ANALYSIS_TO_HISTORY),
     "stamp_and_append": Query(stamp_and_append, STAMPED),
     "csv_typed": Query(csv_typed, CSV_TYPED),

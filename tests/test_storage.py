@@ -445,6 +445,94 @@ def test_history_tells_metrics_apart_and_compacts(spark):
     assert repository.load().getSuccessMetricsAsDataFrame().first().tags == {"value": "tagged"}
 
 
+def test_history_interleaved(spark, monkeypatch):
+    """Versions against a plain list of saves, with compactions, a save within one, and runs that die between."""
+    repository = FileSystemMetricsRepository(spark, scratch_folder(spark, "h"))
+    dice, values, versions = random.Random(7), {}, {0: {}}
+
+    def save():
+        day, value = dice.randrange(2), dice.random()
+        names = dice.sample(["Mean", "Sum", "Size"], 2)
+        version = repository.save(ResultKey(spark, day * DAY, {}), metrics(spark, **dict.fromkeys(names, value)))
+        values.update({(day * DAY, name): value for name in names})
+        versions[version] = dict(values)
+
+    commit = CommitLog.commit
+
+    def saved_within(log, rows, check=None):
+        monkeypatch.setattr(CommitLog, "commit", commit)
+        save()
+        return commit(log, rows, check)
+
+    def dies(log, rows, check=None):
+        raise OSError("lost")
+
+    for step in range(7):
+        save()
+        if step in (2, 5):
+            monkeypatch.setattr(CommitLog, "commit", saved_within)
+            version = repository.compact(3 * DAY)
+            versions[version] = dict(values)
+        if step in (3, 4):
+            monkeypatch.setattr(CommitLog, "commit", dies)
+            with pytest.raises(OSError):
+                repository.save(ResultKey(spark, DAY, {}), metrics(spark, Mean=-1)) if step == 3 else repository.compact(3 * DAY)
+            monkeypatch.setattr(CommitLog, "commit", commit)
+    assert repository.version() == max(versions) == 11 and len(versions) == 12
+    for version, expected in versions.items():
+        assert found(repository.load(version)) == expected
+    assert found(repository.load()) == values
+    repository.expire(7)
+    for version in range(7, 12):
+        assert found(repository.load(version)) == versions[version]
+    with pytest.raises(ValueError, match="expired"):
+        repository.load(6)
+
+
+def test_history_compacted_by_two(spark, monkeypatch):
+    """The second of two compactions of the same files is refused; what both read stays as it was."""
+    repository = FileSystemMetricsRepository(spark, scratch_folder(spark, "h"))
+    assert repository.compact(9 * DAY) == 0
+    for value in (1, 2):
+        repository.save(ResultKey(spark, DAY, {}), metrics(spark, Mean=value))
+    commit = CommitLog.commit
+
+    def overtaken(log, rows, check=None):
+        monkeypatch.setattr(CommitLog, "commit", commit)
+        repository.compact(3 * DAY)
+        return commit(log, rows, check)
+
+    monkeypatch.setattr(CommitLog, "commit", overtaken)
+    with pytest.raises(ValueError, match="meanwhile"):
+        repository.compact(3 * DAY)
+    assert found(repository.load()) == {(DAY, "Mean"): 2} and repository.load().rows.count() == 1
+    assert repository.compact(3 * DAY) == repository.version() == 3
+
+
+def test_history_saved_by_many(spark):
+    """Saves from several threads all count, each under a version of its own; the last commit wins."""
+    repository = FileSystemMetricsRepository(spark, scratch_folder(spark, "h"))
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda i: repository.save(ResultKey(spark, DAY, {}), metrics(spark, Mean=i, **{f"m{i}": i})), range(6)))
+    assert sorted(got) == list(range(1, 7))
+    last = max(range(6), key=lambda i: got[i])
+    assert found(repository.load()) == {(DAY, f"m{i}"): i for i in range(6)} | {(DAY, "Mean"): last}
+
+
+def test_history_reads_files_that_count(spark):
+    """After a compaction readers list its files only, and rows without a day are kept."""
+    repository = FileSystemMetricsRepository(spark, scratch_folder(spark, "h"))
+    undated = metrics(spark, Mean=9).selectExpr("*", "cast(NULL AS bigint) AS dataset_date", "map('tag', 'x') AS tags")
+    for value in range(4):
+        repository.save(ResultKey(spark, DAY, {}), metrics(spark, Mean=value))
+    repository.compact(3 * DAY)
+    files = repository.load().rows.inputFiles()
+    assert len([name for name in files if "/rows/" in name]) == 1
+    repository.save_keyed(undated)
+    repository.compact(9 * DAY)
+    assert found(repository.load()) == {(DAY, "Mean"): 3, (None, "Mean"): 9}
+
+
 def test_saving_needs_repository_and_key(spark):
     repository = FileSystemMetricsRepository(spark, scratch_folder(spark, "h"))
     builder = AnalysisRunner(spark).onData(spark.range(3)).addAnalyzer(Size())
