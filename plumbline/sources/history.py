@@ -113,12 +113,13 @@ class FileSystemMetricsRepository:
         read from the old files.  Of two compactions of the same files the second is refused.
         """
         at = self.version()
-        closed = live_files(self._log.read(at)).where(F.col("dataset_day") < before // MILLIS_PER_DAY)
+        log = self._log.read(at)
+        closed = live_files(log).where(F.col("dataset_day") < before // MILLIS_PER_DAY)
         many = closed.groupBy("dataset_day").agg(F.count("*").alias("files")).where("files > 1")
         replaced = closed.join(many, "dataset_day", "left_semi")
         if replaced.isEmpty():
             return at
-        rows = self._read(replaced)
+        rows = self._read(log, replaced, at)
         last = F.max_by(F.struct("value", "run", "written_at", "committed"), F.struct(*ORDER)).alias("last")
         kept = rows.groupBy(*IDENTITY, "dataset_day").agg(last)
         kept = kept.withColumn("tags", F.from_json("tags_key", "map<string,string>")).select("*", "last.*")
@@ -151,11 +152,9 @@ class FileSystemMetricsRepository:
 
     def load(self, at: int | None = None) -> History:
         """The history at the version ``at``, or the last now; ``ValueError`` if files of that version have expired."""
-        at = self.version() if at is None else at
-        horizon = self._log.read().agg(F.max("horizon")).first()[0]
-        if horizon is not None and at < horizon:
-            raise ValueError(f"versions before {horizon} have expired")
-        return History(self._read(live_files(self._log.read(at))))
+        last = self.version()
+        log, at = self._log.read(last), last if at is None else at
+        return History(self._read(log, live_files(log.where(F.col(VERSION) <= at)), at))
 
     def _write(self, rows: DataFrame, batch: str) -> None:
         names = [column.split()[0] for column in HISTORY_SCHEMA.split(", ")]
@@ -163,9 +162,13 @@ class FileSystemMetricsRepository:
         kept.write.format(self._format).partitionBy("dataset_day").save(f"{self._rows}/batch={batch}")
 
     def _days(self, batch: str) -> DataFrame:
-        """The files of a batch, by day."""
-        written = self._spark.read.format(self._format).schema(HISTORY_SCHEMA).load(f"{self._rows}/batch={batch}")
-        return written.select(F.lit(batch).alias("batch"), "dataset_day").distinct()
+        """The files of a batch, by day, as its folders name them."""
+        files = self._spark._jvm.org.apache.hadoop.fs
+        folder = files.Path(f"{self._rows}/batch={batch}")
+        found = folder.getFileSystem(self._spark._jsc.hadoopConfiguration()).listStatus(folder)
+        days = [one.getPath().getName().partition("=")[2] for one in found if one.isDirectory()]
+        rows = [(batch, int(day) if day.lstrip("-").isdigit() else None) for day in days if day]
+        return self._spark.createDataFrame(rows, "batch string, dataset_day bigint")
 
     def _entries(self, files: DataFrame, action: str, horizon: int | None = None) -> DataFrame:
         day = F.col("dataset_day") if "dataset_day" in files.columns else F.lit(None)
@@ -177,9 +180,15 @@ class FileSystemMetricsRepository:
             F.lit(horizon).cast("bigint").alias("horizon"),
         )
 
-    def _read(self, files: DataFrame) -> DataFrame:
+    def _read(self, log: DataFrame, files: DataFrame, at: int) -> DataFrame:
         """The rows of some files.  Only folders of their batches are listed: one for each commit not yet compacted."""
-        batches = [row.batch for row in files.select("batch").distinct().collect()]
+        horizon = log.where("action = 'expire'").select("batch", "horizon")
+        found = files.select("batch", F.lit(None).cast("bigint").alias("horizon")).unionByName(horizon)
+        rows = found.groupBy("batch").agg(F.max("horizon").alias("horizon")).collect()
+        oldest = max((row.horizon for row in rows if row.horizon is not None), default=0)
+        if at < oldest:
+            raise ValueError(f"versions before {oldest} have expired")
+        batches = [row.batch for row in rows if row.batch is not None]
         if not batches:
             return self._spark.createDataFrame([], HISTORY_SCHEMA)
         reader = self._spark.read.format(self._format).schema(f"{HISTORY_SCHEMA}, batch string")
