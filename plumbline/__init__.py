@@ -33,6 +33,7 @@ from plumbline.plans.suggestions import DEFAULT, ConstraintSuggestionRunner
 from plumbline.plans.verification import VerificationResult, VerificationSuite
 from plumbline.sources.frames import value_set
 from plumbline.sources.history import FileSystemMetricsRepository, ResultKey
+from plumbline.streaming.ranges import RangeStates
 from plumbline.streaming.states import StateStore
 
 

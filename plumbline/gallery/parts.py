@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from plumbline.gallery.base import EVENTS, Query, expected, rounded, table
 from plumbline.operators.metrics import (
     ApproxCountDistinct,
     ApproxQuantile,
+    ApproxQuantiles,
     Completeness,
     Compliance,
     Correlation,
@@ -29,6 +32,7 @@ from plumbline.operators.metrics import (
     Uniqueness,
 )
 from plumbline.session import scratch_folder
+from plumbline.streaming.ranges import RangeStates
 from plumbline.streaming.states import StateStore
 
 DAY = "cast(cast(ts AS date) AS string)"
@@ -268,7 +272,73 @@ def states_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(store.metrics(events, MERGED, at=before), 4)
 
 
+EXACT = [
+    ApproxQuantiles("value", [0.0, 0.1, 0.5, 0.95, 1.0], 0.0),
+    ApproxQuantiles("user_id", [0.25, 0.75], 0.0, "event_type = 'click'"),
+]
+
+
+def incremental_quantiles_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact quantiles from the sorted values of each day; the first days are saved short at first, then whole."""
+    events, store = EVENTS.frame(spark, folder), _store(spark)
+    day = F.expr(DAY)
+    early = events.where(F.col("ts") < events.agg(F.min("ts") + F.expr("INTERVAL 9 DAYS")).first()[0])
+    store.save(early.where("value > 20"), EXACT, day)
+    store.save(events, EXACT, day)
+    return store.metrics(events, EXACT)
+
+
+def _exact_sql() -> str:
+    rows = [("value", q, "") for q in EXACT[0].quantiles]
+    rows += [("user_id", q, " WHERE event_type = 'click'") for q in EXACT[1].quantiles]
+    return expected(
+        [
+            ("Column", column, f"ApproxQuantiles-{q}", f"SELECT quantile_disc({column}, {q}) FROM events{where}")
+            for column, q, where in rows
+        ]
+    )
+
+
+#: Days from the first of 2024 on, ends included; some reach beyond the data, one is a single day.
+RANGES = [(0, 29), (-5, 100), (3, 3), (1, 28), (7, 18), (12, 25), (16, 31)]
+RANGED = [Size(), Mean("value"), Maximum("value"), CountDistinct("user_id"), ApproxQuantile("value", 0.5, 0.0)]
+DAY_NUMBER = "datediff(ts, DATE '2024-01-01')"
+
+
+def states_any_range(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics of ranges of days, each from the few merged states that make it up; five days are saved again."""
+    events = table(spark, folder, "events")
+    store = RangeStates(spark, scratch_folder(spark, "ranges"), levels=5)
+    number = F.expr(DAY_NUMBER)
+    store.save(events.where((number < 10) | (number > 14) | (F.col("value") > 20)), RANGED, number)
+    store.save(events.where(number.between(10, 14)), RANGED, number)
+    found = [
+        store.metrics(events, RANGED, first, last).withColumns({"first": F.lit(first), "last": F.lit(last)})
+        for first, last in RANGES
+    ]
+    return rounded(reduce(DataFrame.unionByName, found), 4)
+
+
+def _ranges_sql() -> str:
+    values = [
+        ("Dataset", "*", "Size", "count(*)"),
+        ("Column", "value", "Mean", "avg(value)"),
+        ("Column", "value", "Maximum", "max(value)"),
+        ("Column", "user_id", "CountDistinct", "count(DISTINCT user_id)"),
+        ("Column", "value", "ApproxQuantile-0.5", "quantile_disc(value, 0.5)"),
+    ]
+    days = "FROM events WHERE date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) BETWEEN {} AND {}"
+    return " UNION ALL ".join(
+        f"SELECT *, {first} AS first, {last} AS last FROM ("
+        + expected([(*names, f"SELECT {value} {days.format(first, last)}") for *names, value in values], 4)
+        + ")"
+        for first, last in RANGES
+    )
+
+
 QUERIES = {
+    "incremental_quantiles_exact": Query(incremental_quantiles_exact, _exact_sql()),
+    "states_any_range": Query(states_any_range, _ranges_sql()),
     "incremental_late_part": Query(incremental_late_part, EVENTS_SQL),
     "incremental_rollup_twice": Query(incremental_rollup_twice, EVENTS_SQL),
     "incremental_null_part": Query(incremental_null_part, EVENTS_SQL),

@@ -2,8 +2,9 @@
 
 A part is a day, a partition, a micro-batch: whatever is computed once and seldom again.
 Saving a metric of a part replaces its state, so a retried or repeated save changes nothing, and other
-metrics of the part stay.  Two tables hold them: one row per part and scan metric, and the value
-counts of each column set per part, which are merged by summing.  A ledger says which rows count, so that saving,
+metrics of the part stay.  Three tables hold them: one row per part and scan metric, the value
+counts of each column set per part, which are merged by summing, and for exact quantiles the sorted values of a column
+per part (``streaming/runs.py``).  A ledger says which rows count, so that saving,
 rolling up and reading may go on side by side.  Reading checks that every part
 has a state of every metric asked for, and fails if one lacks: totals over some parts are never
 given for all.  Old parts can be rolled up into one.
@@ -34,10 +35,11 @@ from plumbline.operators.frequency import (
     sharing_counts,
     value_counts,
 )
-from plumbline.operators.rows import Placed, aggregate_rows
+from plumbline.operators.rows import Placed, aggregate_rows, local_rows
 from plumbline.operators.validation import Validator
 from plumbline.plans.evaluation import METRIC_COLUMNS
 from plumbline.streaming.log import CommitLog, stored
+from plumbline.streaming.runs import HEAD_SCHEMA, RUN_SCHEMA, SLOT_VALUES, heads_of, in_slots, quantile_values, run_counts
 
 TYPE_COUNTS = [kind.lower() for kind in M.DataType.CLASSES]
 SUMMED = ["n", "hits", *TYPE_COUNTS]
@@ -61,8 +63,8 @@ LARGEST_RANK_SKETCH, LARGEST_DISTINCT_SKETCH = 65_535, 21
 
 
 def has_state(metric: M.Metric) -> bool:
-    """Exact quantiles and comparisons with a table have no mergeable state of bounded size."""
-    return metric.family in ("scan", "frequency")
+    """Comparisons with a table have none: the table may have changed since."""
+    return metric.family in ("scan", "frequency", "selection")
 
 
 def _moments(x: Column, y: Column | None = None) -> dict[str, Column]:
@@ -116,10 +118,10 @@ def state_of(metric: M.Metric, scope: M.Scope) -> dict[str, Column]:
     raise ValueError(f"no mergeable state for {metric}")
 
 
-def merge_states(states: DataFrame) -> DataFrame:
-    """One state per metric from the states of its parts."""
+def merge_states(states: DataFrame, *by: str) -> DataFrame:
+    """One state per metric from the states of its parts, or one for each value of the columns ``by``."""
     n = F.sum("n")
-    centre = states.groupBy("metric").agg(
+    centre = states.groupBy("metric", *by).agg(
         F.try_divide(F.sum(F.col("n") * F.col("mean_x")), n).alias("centre_x"),
         F.try_divide(F.sum(F.col("n") * F.col("mean_y")), n).alias("centre_y"),
     )
@@ -137,10 +139,10 @@ def merge_states(states: DataFrame) -> DataFrame:
         "distinct_sketch": F.hll_union_agg("distinct_sketch", True),
         "rank_sketch": F.kll_merge_agg_double("rank_sketch"),
     }
-    # One row per requested metric, so the broadcast side is as long as the metric list.
+    # Without further columns the centres are one row per requested metric, as long as the metric list.
     return (
-        states.join(F.broadcast(centre), "metric")
-        .groupBy("metric")
+        states.join(centre if by else F.broadcast(centre), ["metric", *by])
+        .groupBy("metric", *by)
         .agg(*[value.alias(name) for name, value in merged.items()])
     )
 
@@ -191,6 +193,8 @@ def state_id(like: DataFrame, metric: M.Metric) -> str:
     """The folder that a metric's states are in."""
     if metric.family == "frequency":
         return _column_set(resolved(like, metric), metric.where)
+    if metric.family == "selection":
+        return hashlib.sha256(repr(("run", resolved(like, metric), metric.where)).encode()).hexdigest()[:32]
     return hashlib.sha256(repr(metric).encode()).hexdigest()[:32]
 
 
@@ -206,10 +210,12 @@ class StateStore:
     holds the state of a metric (or the counts of a column set) for a part; the last commit counts.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self._spark = spark
+    def __init__(self, spark: SparkSession, path: str, slot_values: int = SLOT_VALUES):
+        self._spark, self._slot_values = spark, slot_values
         self._scan_path = f"{path.rstrip('/')}/scan"
         self._counts_path = f"{path.rstrip('/')}/counts"
+        self._runs_path = f"{path.rstrip('/')}/runs"
+        self._heads_path = f"{path.rstrip('/')}/heads"
         self._ledger = CommitLog(spark, f"{path.rstrip('/')}/ledger", LEDGER_SCHEMA)
 
     def version(self) -> int:
@@ -221,6 +227,10 @@ class StateStore:
 
         A named part without rows is stored as such, and so replaces what it held before.  NULL is a part like others.
         """
+        return self._ledger.commit(self._entries(self._write_states(df, metrics, part), "save"))
+
+    def _write_states(self, df: DataFrame, metrics: Sequence[M.Metric], part: str | Column) -> str:
+        """Store states as a batch that does not count yet."""
         self._check(df, metrics)
         batch = uuid.uuid4().hex
         scan = [metric for metric in dict.fromkeys(metrics) if metric.family == "scan"]
@@ -232,7 +242,13 @@ class StateStore:
         if sets:
             frames = [count_states(df, columns, where, part) for columns, where in sets]
             self._write(reduce(DataFrame.unionByName, frames), self._counts_path, batch)
-        return self._ledger.commit(self._entries(batch, "save"))
+        runs = {state_id(df, metric): metric for metric in metrics if metric.family == "selection"}
+        if runs:
+            of_part = F.lit(part) if isinstance(part, str) else part.cast("string")
+            frames = [run_counts(df, one.columns[0], one.where, id_, of_part) for id_, one in runs.items()]
+            there = parts_of(df, part).withColumn("run_id", F.explode(F.lit(list(runs))))
+            self._write_runs(reduce(DataFrame.unionByName, frames), there, batch)
+        return batch
 
     def metrics(
         self, like: DataFrame, metrics: Sequence[M.Metric], parts: Sequence[str | None] | None = None, at: int | None = None
@@ -245,7 +261,9 @@ class StateStore:
         self._check(like, metrics)
         log = self._ledger.read(at)
         rolled = self._check_parts(like, metrics, log, parts)
-        live = live_states(log, parts, rolled)
+        return self._values(like, metrics, live_states(log, parts, rolled))
+
+    def _values(self, like: DataFrame, metrics: Sequence[M.Metric], live: DataFrame) -> DataFrame:
         placed = [Placed(i, metric) for i, metric in enumerate(dict.fromkeys(metrics))]
         frames = []
         scan = [one for one in placed if one.metric.family == "scan"]
@@ -256,21 +274,41 @@ class StateStore:
             of_set = live.where(F.col("id") == _column_set(columns, where))
             states = self._read(self._counts_path, COUNTS_SCHEMA, of_set).filter(F.col("count") > 0)
             frames += count_values(states, len(columns), group)
+        selected = [one for one in placed if one.metric.family == "selection"]
+        if selected:
+            frames.append(self._quantiles(like, selected, live))
         values = reduce(DataFrame.unionByName, frames)
         return values.filter(F.col("value").isNotNull()).select(*METRIC_COLUMNS)
 
+    def _quantiles(self, like: DataFrame, metrics: list[Placed], live: DataFrame) -> DataFrame:
+        """Exact quantiles, found right away: only as many rows as there are quantiles are left."""
+        runs = {one: state_id(like, one.metric) for one in metrics}
+        live = live.where(F.col("id").isin(*runs.values()))
+        heads = self._read(self._heads_path, HEAD_SCHEMA, live)
+        wanted = [(runs[one], q) for one in metrics for q in one.metric.quantiles]
+        found = quantile_values(heads, self._read(self._runs_path, RUN_SCHEMA, live), wanted)
+        rows = [
+            one.local_row(label, found.get((runs[one], q)))
+            for one in metrics
+            for label, q in zip(one.metric.labels(), one.metric.quantiles)
+        ]
+        return local_rows(self._spark, rows)
+
     def _check_parts(
         self, like: DataFrame, metrics: Sequence[M.Metric], log: DataFrame, parts: Sequence[str | None] | None
     ) -> bool:
         """Compare the parts that the ledger knows with those it has for each metric; whether any are rolled up."""
-        of_parts = F.col("action") == "save"
-        if parts is not None:
-            of_parts &= among(parts)
-        part = F.when(of_parts, F.struct("part"))
+        of_parts = F.lit(True) if parts is None else among(parts)
+        return self._check_held(like, metrics, log, of_parts, None if parts is None else len(set(parts)))
+
+    def _check_held(
+        self, like: DataFrame, metrics: Sequence[M.Metric], log: DataFrame, of_parts: Column, known: int | None = None
+    ) -> bool:
+        part = F.when((F.col("action") == "save") & of_parts, F.struct("part"))
         # A row of each metric, and one of all, in one pass.
         rows = log.rollup("id").agg(F.count_distinct(part).alias("parts"), F.max(F.col("action") == "cover").alias("rolled")).collect()
         found = {row["id"]: row["parts"] for row in rows}
-        known = found.get(None, 0) if parts is None else len(set(parts))
+        known = found.get(None, 0) if known is None else known
         lacking = [str(one) for one in metrics if found.get(state_id(like, one), 0) < known or not known]
         if lacking:
             raise ValueError(f"no state of every part ({known}): {', '.join(lacking)}")
@@ -289,12 +327,7 @@ class StateStore:
         held = {row["id"]: row["count"] for row in live.groupBy("id").count().collect()}
         if not held or min(held.values()) < len(parts):
             raise ValueError("some of the parts lack states that others have")
-        batch = uuid.uuid4().hex
-        scan = merge_states(self._read(self._scan_path, SCAN_SCHEMA, live)).withColumn("part", F.lit(name))
-        counts = self._read(self._counts_path, COUNTS_SCHEMA, live)
-        counts = counts.groupBy("column_set", "keys").agg(F.sum("count").alias("count")).withColumn("part", F.lit(name))
-        self._write(scan.withColumn("metric_id", _short_hash("metric")), self._scan_path, batch)
-        self._write(counts, self._counts_path, batch)
+        batch = self._write_merged(live, lambda states: states.withColumn("part", F.lit(name)))
         covered = live.select(F.lit("cover").alias("action"), "id", "part", "batch", F.lit(name).alias("name"))
         entries = self._entries(batch, "roll").withColumn("name", F.lit(name)).unionByName(covered)
 
@@ -310,6 +343,29 @@ class StateStore:
 
         return self._ledger.commit(entries, check)
 
+    def _write_merged(self, live: DataFrame, regroup: Callable[[DataFrame], DataFrame]) -> str:
+        """Merge states into those of the parts that ``regroup`` gives them, as a batch that does not count yet.
+
+        ``regroup`` may give a state to several parts.
+        """
+        batch = uuid.uuid4().hex
+        scan = merge_states(regroup(self._read(self._scan_path, SCAN_SCHEMA, live)), "part")
+        counts = regroup(self._read(self._counts_path, COUNTS_SCHEMA, live))
+        counts = counts.groupBy("column_set", "keys", "part").agg(F.sum("count").alias("count"))
+        self._write(scan.withColumn("metric_id", _short_hash("metric")), self._scan_path, batch)
+        self._write(counts, self._counts_path, batch)
+        there = regroup(self._read(self._heads_path, HEAD_SCHEMA, live).where("rows = 0")).select("run_id", "part").distinct()
+        if not there.isEmpty():
+            runs = regroup(self._read(self._runs_path, RUN_SCHEMA, live))
+            self._write_runs(runs.groupBy("run_id", "part", "value").agg(F.sum("count").alias("count")), there, batch)
+        return batch
+
+    def _write_runs(self, counts: DataFrame, there: DataFrame, batch: str) -> None:
+        """Runs in the order of their values, and their heads from what was written."""
+        in_slots(counts, self._slot_values).write.parquet(f"{self._runs_path}/batch={batch}")
+        written = stored(self._spark, f"{self._runs_path}/batch={batch}", RUN_SCHEMA)
+        self._write(heads_of(written, there), self._heads_path, batch)
+
     def batch_writer(self, metrics: Sequence[M.Metric], stream: str) -> Callable[[DataFrame, int], None]:
         """For ``writeStream.foreachBatch``: each micro-batch is a part; a replay replaces it.
 
@@ -333,6 +389,8 @@ class StateStore:
             if fault or not has_state(metric):
                 raise ValueError(f"{metric}: {': '.join(fault) if fault else 'no mergeable state'}")
             match metric:
+                case _ if metric.family != "scan":
+                    too_small = False
                 case M.ApproxCountDistinct():
                     too_small = _register_bits(metric.relativeDeviation) > LARGEST_DISTINCT_SKETCH
                 case M.ApproxQuantile() | M.ApproxQuantiles():
@@ -348,7 +406,12 @@ class StateStore:
     def _entries(self, batch: str, action: str) -> DataFrame:
         """Ledger rows for what a batch has written."""
         found = []
-        for path, schema, id_ in ((self._scan_path, SCAN_SCHEMA, "metric_id"), (self._counts_path, COUNTS_SCHEMA, "column_set")):
+        tables = (
+            (self._scan_path, SCAN_SCHEMA, "metric_id"),
+            (self._counts_path, COUNTS_SCHEMA, "column_set"),
+            (self._heads_path, HEAD_SCHEMA, "run_id"),
+        )
+        for path, schema, id_ in tables:
             written = stored(self._spark, f"{path}/batch={batch}", schema)
             found.append(written.select(F.col(id_).alias("id"), "part"))
         entries = reduce(DataFrame.unionByName, found).distinct()
@@ -358,11 +421,11 @@ class StateStore:
 
     def _read(self, path: str, schema: str, live: DataFrame) -> DataFrame:
         """The states that count: those of the batch that the ledger names for their part."""
-        id_ = "metric_id" if path == self._scan_path else "column_set"
+        id_ = {self._scan_path: "metric_id", self._counts_path: "column_set"}.get(path, "run_id")
         states = stored(self._spark, path, f"{schema}, batch string")
         named = live.select(F.col("id").alias("live_id"), F.col("part").alias("live_part"), F.col("batch").alias("live_batch"))
         same = (F.col(id_) == F.col("live_id")) & F.col("part").eqNullSafe(F.col("live_part")) & (F.col("batch") == F.col("live_batch"))
-        return states.join(named, same, "left_semi").drop("batch")
+        return states.join(named, same, "left_semi")
 
 
 def among(parts: Sequence[str | None]) -> Column:
@@ -417,6 +480,13 @@ def scan_states(df: DataFrame, metrics: Sequence[M.Metric], part: str | Column)
     return states.withColumn("metric_id", _short_hash("metric"))
 
 
+def parts_of(df: DataFrame, part: str | Column) -> DataFrame:
+    """The parts that a frame is saved as; one with a name is there without rows as well."""
+    if isinstance(part, str):
+        return df.sparkSession.range(1, numPartitions=1).select(F.lit(part).alias("part"))
+    return df.select(part.cast("string").alias("part")).distinct()
+
+
 def count_states(
     df: DataFrame, columns: tuple[str, ...], where: str | None, part: str | Column
 ) -> DataFrame:
@@ -432,11 +502,7 @@ def count_states(
     states = counts.select(
         F.array(*texts).alias("keys"), quoted(COUNT).alias("count"), of_set, of_part.alias("part")
     )
-    if isinstance(part, str):
-        there = df.sparkSession.range(1, numPartitions=1).select(of_part.alias("part"))
-    else:
-        there = df.select(part.cast("string").alias("part")).distinct()
-    nothing = there.select(
+    nothing = parts_of(df, part).select(
         F.lit(None).cast("array<string>").alias("keys"), F.lit(0).cast("bigint").alias("count"), of_set, "part"
     )
     return states.unionByName(nothing)

@@ -15,6 +15,7 @@ from plumbline import (
     ApproxQuantiles,
     Completeness,
     Compliance,
+    ContainedInTable,
     Correlation,
     CountDistinct,
     DataType,
@@ -273,7 +274,7 @@ def test_sketches_merge(spark):
 def test_metrics_without_states_are_refused(spark):
     store = StateStore(spark, scratch_folder(spark, "s"))
     with pytest.raises(ValueError, match="no mergeable state"):
-        store.save(spark.range(3), [ApproxQuantiles("id", [0.5], 0.0)], "p")
+        store.save(spark.range(3), [ContainedInTable("id", spark.range(2), label="two")], "p")
     with pytest.raises(ValueError, match="MissingColumn"):
         store.save(spark.range(3), [Mean("x")], "p")
 
