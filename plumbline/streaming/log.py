@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.java_gateway import JavaObject
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,18 +47,30 @@ class CommitLog:
                 return last + 1
 
     def _take(self, source: str, target: str) -> bool:
-        """Rename a folder to a name that must be free."""
-        gateway = self._spark.sparkContext._gateway
-        no_options = gateway.new_array(self._spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        context = self._hadoop.FileContext.getFileContext(self._files.getUri(), self._spark._jsc.hadoopConfiguration())
+        """Rename a folder, which is not empty, to a name that must be free."""
+        source, target = self._hadoop.Path(source), self._hadoop.Path(target)
         try:
-            context.rename(self._hadoop.Path(source), self._hadoop.Path(target), no_options)
+            if self._files.getUri().getScheme() == "file":
+                self._move(source, target)
+            else:
+                options = self._spark._jvm.org.apache.hadoop.fs.Options.Rename
+                no_options = self._spark.sparkContext._gateway.new_array(options, 0)
+                context = self._hadoop.FileContext.getFileContext(self._files.getUri(), self._spark._jsc.hadoopConfiguration())
+                context.rename(source, target, no_options)
         except Exception:
-            if self._files.exists(self._hadoop.Path(target)):
+            if self._files.exists(target):
                 return False
             raise
         return True
 
+    def _move(self, source: JavaObject, target: JavaObject) -> None:
+        """The system's own rename, which refuses a folder that holds files; Hadoop's looks first and then copies into it."""
+        nio, file = self._spark._jvm.java.nio.file, self._spark._jvm.java.io.File
+        options = self._spark.sparkContext._gateway.new_array(nio.CopyOption, 1)
+        options[0] = nio.StandardCopyOption.ATOMIC_MOVE
+        paths = [file(path.toUri().getPath()).toPath() for path in (source, target)]
+        nio.Files.move(*paths, options)
+
     def read(self, at: int | None = None) -> DataFrame:
         """The rows of all commits up to the version ``at``, or the last now; later ones are not met however late it runs."""
         at = self.version() if at is None else at

@@ -410,6 +410,22 @@ def test_writers_beside_each_other(spark):
     assert log.version() == 8
 
 
+def test_one_of_many_takes_a_version(spark, tmp_path):
+    """All try the same name at once, again and again: one gets it, and its files alone are there."""
+    log = CommitLog(spark, str(tmp_path / "log"), "who int")
+    with ThreadPoolExecutor(8) as pool:
+        for turn in range(40):
+            asides = []
+            for i in range(8):
+                asides.append(tmp_path / "log" / f"_aside-{turn}-{i}")
+                asides[i].mkdir(parents=True)
+                (asides[i] / f"rows-{i}").write_text("")
+            target = tmp_path / "log" / f"version={turn}"
+            took = list(pool.map(lambda aside: log._take(str(aside), str(target)), asides))
+            assert took.count(True) == 1
+            assert [one.name for one in target.iterdir()] == [f"rows-{took.index(True)}"]
+
+
 def test_two_frames_of_one_run_are_both_kept(spark):
     target = MetricTable(spark, f"stamped_{uuid.uuid4().hex}", scratch_folder(spark, "t"))
     df = days_of(spark, "a", "b")
