@@ -204,20 +204,21 @@ def lazy_success_frame(df: DataFrame, metrics: list[Metric], failures: bool = Fa
     tried = {texts: _probe(df, texts) for texts in {placed.metric.conditions for placed in good} - {()}}
     bad += [Failure(one.metric, "BadValue", "") for one in good if tried.get(one.metric.conditions) is not None]
     fine = [one for one in good if tried.get(one.metric.conditions) is None]
-    error = F.when(F.col("value").isNull(), "EmptyState")
-    values = with_bins(df, fine).withColumn("error", error).select(*METRIC_COLUMNS, "error")
-    # A metric of several values without any is one failure, named as the metric is.
+    # A metric of several values without any is one failure, named as the metric is.  Bins always have a value.
     names = small_frame(
         df.sparkSession, [(one.position, one.metric.name) for one in fine], "position int, asked string"
     )
-    empty = with_bins(df, fine).where("value IS NULL").join(names, "position").select(
-        "entity", "instance", F.col("asked").alias("name"), "value", F.lit("EmptyState").alias("error")
-    )
+    empty = F.col("value").isNull()
+    rows = metric_frame(df, fine).join(names, "position")
+    rows = rows.withColumns({"name": F.when(empty, F.col("asked")).otherwise(F.col("name")), "error": F.when(empty, "EmptyState")})
     failed = [(f.metric.entity, f.metric.instance, f.metric.name, None, f.error) for f in bad]
     told = small_frame(
         df.sparkSession, failed, "entity string, instance string, name string, value double, error string"
     )
-    return values.where("value IS NOT NULL").unionByName(empty.distinct()).unionByName(told)
+    frames = [rows.dropDuplicates(["position", "name"]).select(*METRIC_COLUMNS, "error")]
+    for bins in bin_frames(df, [one for one in fine if one.metric.family == "frequency"]):
+        frames.append(bins.withColumn("error", F.lit(None).cast("string")).select(*METRIC_COLUMNS, "error"))
+    return reduce(DataFrame.unionByName, [*frames, told])
 
 
 def with_bins(df: DataFrame, metrics: list[Placed]) -> DataFrame:

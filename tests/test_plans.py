@@ -8,6 +8,7 @@ from plumbline import (
     Completeness,
     ContainedInTable,
     CountDistinct,
+    DataType,
     Histogram,
     Maximum,
     Mean,
@@ -39,6 +40,15 @@ def test_scan_metrics_share_one_scan_of_their_columns(spark):
     assert "*(1) HashAggregate" in plan
 
 
+def test_failures_come_from_the_scan_of_the_values(spark):
+    metrics = [Size(), Mean("o_totalprice"), Maximum("o_totalprice", "o_orderkey < 0"), DataType("o_orderstatus", "o_orderkey < 0")]
+    found = AnalysisRunner(spark).onData(table(spark, "orders")).addAnalyzers(metrics).asDataFrame(failures=True)
+    assert final_plan(found).count("FileScan") == 1
+    failed = sorted((row.name, row.error) for row in found.collect() if row.value is None)
+    assert failed == [("DataType", "EmptyState"), ("Maximum", "EmptyState")]
+    assert len([row for row in found.collect() if row.name.startswith("DataType.abs.")]) == 5
+
+
 def test_a_common_condition_reaches_the_source(spark):
     where = "o_totalprice > 100000"
     plan = final_plan(lazy(table(spark, "orders"), Size(where), Mean("o_totalprice", where)))
